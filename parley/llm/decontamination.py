@@ -132,9 +132,9 @@ WITH d AS (
 ), i AS (
   SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM benchmark
 ), ds AS (
-  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), k -> list_slice(w, k, k + 4)) WHEN len(w) > 0 THEN [w] ELSE [] END) AS gram FROM d
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda k: list_slice(w, k, k + 4)) WHEN len(w) > 0 THEN [w] ELSE [] END) AS gram FROM d
 ), items AS (
-  SELECT DISTINCT item_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), k -> list_slice(w, k, k + 4)) WHEN len(w) > 0 THEN [w] ELSE [] END) AS gram FROM i
+  SELECT DISTINCT item_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda k: list_slice(w, k, k + 4)) WHEN len(w) > 0 THEN [w] ELSE [] END) AS gram FROM i
 ), sizes AS (SELECT item_id, count(*) AS item_size FROM items GROUP BY item_id)
 SELECT doc_id, item_id, item_size, count(*) AS shared, count(*) / item_size AS containment
 FROM ds JOIN items USING (gram) JOIN sizes USING (item_id)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm import decontamination, mixing, sharding
+from parley.llm import decontamination, jaccard_join, mixing, sharding
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -33,6 +33,14 @@ def op4_source_mix(spark, sf_dir):
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
+@query
+def op5_jaccard_join(spark, sf_dir):
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"), n=3, percent=90)
+
+
+ORACLES["op5_jaccard_join"] = jaccard_join.oracle_sql(3, 90)
+
+
 @query
 def op9_sharding(spark, sf_dir):
     return sharding.shards(table(spark, sf_dir, "documents"))
