@@ -14,6 +14,7 @@ def local_session(cpus: str | int = "*", name: str = "parley") -> SparkSession:
         .config("spark.sql.shuffle.partitions", os.environ.get("PARLEY_SHUFFLE", "8"))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("PARLEY_MEMORY", "8g"))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.cteRecursionLevelLimit", "100000")
