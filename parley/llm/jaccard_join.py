@@ -24,8 +24,9 @@ from parley.llm.graph import components
 from parley.llm.scratch import Scratch
 from parley.llm.words import mix, shingle_sets
 
-#: Orders by which a pair is filtered; the first one makes the candidates.
-ORDERS = 3
+#: Orders by which a pair is filtered; the first one makes the candidates. Under the others the
+#: filter looks at FRONT times the prefix.
+ORDERS, FRONT = 3, 3
 #: The frequent shingles that stand last: those that stand out within a partition, the most
 #: frequent of them. The list fixes the orders alone; results are the same with any list.
 FREQUENT_SHARE, FREQUENT_LEAST, FREQUENT_MOST = 0.001, 4, 500_000
@@ -119,7 +120,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     tokens = lead.select("doc_id", "n_shingles", F.posexplode("prefix").alias("at", "gram"))
     # size and place share a column to keep the shuffled rows narrow
     tokens = tokens.select("gram", F.col("doc_id").alias("node"), (F.shiftleft("n_shingles", 24) + F.col("at")).alias("held"))
-    shared = tokens.groupBy("gram").agg(F.min(F.struct(F.xxhash64("node").alias("h"), "node", "held")).alias("centre"), F.count("*").alias("rows")).where("rows > 1")
+    shared = tokens.groupBy("gram").agg(F.min(F.struct((F.col("held") % 2**24).alias("at"), F.xxhash64("node").alias("h"), "node", "held")).alias("centre"), F.count("*").alias("rows")).where("rows > 1")
     groups = scratch.save(
         tokens.join(shared, "gram").select("gram", "node", F.shiftright("held", 24).alias("size"), (F.col("held") % 2**24).alias("at"), F.col("centre.node").alias("centre"), F.shiftright("centre.held", 24).alias("centre_size"), (F.col("centre.held") % 2**24).alias("centre_at"))
     )
@@ -130,7 +131,8 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
         return left * (100 + percent) >= percent * (F.col(size) + F.col(other_size))
 
     first = scratch.save(groups.where((F.col("node") != F.col("centre")) & room("size", "at", "centre_size", "centre_at")).select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct())
-    links = scratch.save(_verified(texts, first, n, percent, given, scratch))
+    fronts = scratch.save(_fronts(texts, scratch.save(groups.select(F.col("node").alias("doc_id")).distinct()), n, percent, given))
+    links = scratch.save(_verified(texts, first, fronts, n, percent, scratch))
     known = scratch.save(components(links, scratch))
 
     # what is left: pairs of different components under a common prefix shingle
@@ -147,7 +149,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     )
     told = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = scratch.save(rest.join(told, ["a", "b"], "left_anti"))
-    more = links.unionByName(scratch.save(_verified(texts, rest, n, percent, given, scratch)))
+    more = links.unionByName(scratch.save(_verified(texts, rest, fronts, n, percent, scratch)))
     if kind != "string":
         same = member.where("doc_id <> node").groupBy("doc_id").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
         more = more.union(same.select("low", "high"))
@@ -162,42 +164,88 @@ def _few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
 
 
-def _verified(texts: DataFrame, pairs: DataFrame, n: int, percent: int, given, scratch: Scratch) -> DataFrame:
-    """Those of pairs(a, b) that share prefix shingles under the other orders, too, and have the similarity."""
+def _fronts(texts: DataFrame, ids: DataFrame, n: int, percent: int, given) -> DataFrame:
+    """id, size and, under each order but the first, the leading keys of the sets of some ids: FRONT
+    times as many as the prefix has, the upper half of each key, ascending."""
 
-    def sets(batches):
+    def fronts(batches):
         frequent = given.value
         for b in batches:
-            whole, lists = [], [[] for _ in range(1, ORDERS)]
+            sizes, keys = [], [[] for _ in range(1, ORDERS)]
             for _, grams in shingle_sets(b.column(1), n):
-                whole.append(grams)
-                for k, out in enumerate(lists):
-                    out.append(np.sort(_prefix(grams, frequent, k + 1, len(grams) - -(-len(grams) * percent // 100) + 1)) if len(grams) else grams)
-            yield pa.RecordBatch.from_arrays([b.column(0), _binary(whole), *map(_binary, lists)], names=["id", "grams", *[f"p{k}" for k in range(1, ORDERS)]])
+                a = len(grams)
+                sizes.append(a)
+                length = min(a, FRONT * (a - -(-a * percent // 100) + 1))
+                for k, out in enumerate(keys):
+                    key = _key(grams, frequent, k + 1)
+                    out.append((np.sort(np.partition(key, length - 1)[:length] if length else key) >> np.uint64(32)).astype(np.uint32))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), *map(_binary, keys)], names=["id", "size", *[f"k{k}" for k in range(1, ORDERS)]])
 
     kind = texts.schema[0].dataType.simpleString()
-    shape = f"id {kind}, grams binary, " + ", ".join(f"p{k} binary" for k in range(1, ORDERS))
-    centres = _few(pairs.select(F.col("a").alias("doc_id")).distinct())
-    others = _few(pairs.select(F.col("b").alias("doc_id")).distinct())
-    left = texts.join(centres, "doc_id", "left_semi").mapInArrow(sets, shape).select([F.col(c).alias(f"a_{c}") for c in ("id", "grams", *[f"p{k}" for k in range(1, ORDERS)])])
-    right = texts.join(others, "doc_id", "left_semi").mapInArrow(sets, shape).select([F.col(c).alias(f"b_{c}") for c in ("id", "grams", *[f"p{k}" for k in range(1, ORDERS)])])
-    met = right.join(pairs.withColumnRenamed("b", "b_id"), "b_id").join(left, F.col("a") == F.col("a_id"))
+    return texts.join(_few(ids), "doc_id", "left_semi").mapInArrow(fronts, f"id {kind}, size long, " + ", ".join(f"k{k} binary" for k in range(1, ORDERS)))
+
+
+def _sided(df: DataFrame, side: str) -> DataFrame:
+    return df.select([F.col(c).alias(f"{side}_{c}") for c in df.columns])
+
+
+def _met(pairs: DataFrame, of: DataFrame) -> DataFrame:
+    """pairs(a, b) with both sides' columns of a table by id."""
+    got = _sided(of, "b").join(pairs.select(F.col("a").alias("pair_a"), F.col("b").alias("pair_b")), F.col("b_id") == F.col("pair_b"))
+    return got.join(_sided(of, "a"), F.col("pair_a") == F.col("a_id")).drop("pair_a", "pair_b")
+
+
+def _may(pairs: DataFrame, fronts: DataFrame, percent: int) -> DataFrame:
+    """The pairs that the other orders leave: below the lesser last key everything common is seen,
+    and behind it lie no more than the rest of either set."""
+
+    def look(batches):
+        for b in batches:
+            cols = {name: b.column(i) for i, name in enumerate(b.schema.names)}
+            sizes_a, sizes_b = cols["a_size"].to_numpy(), cols["b_size"].to_numpy()
+            kept = []
+            for i in range(len(b)):
+                need = -(-percent * int(sizes_a[i] + sizes_b[i]) // (100 + percent))
+                for k in range(1, ORDERS):
+                    x, y = (np.frombuffer(cols[f"{side}_k{k}"][i].as_buffer(), np.uint32) for side in "ab")
+                    last = min(x[-1], y[-1])
+                    x, y = x[: np.searchsorted(x, last, "right")], y[: np.searchsorted(y, last, "right")]
+                    common = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()) if len(y) else 0
+                    if not common or common + min(sizes_a[i] - len(x), sizes_b[i] - len(y)) < need:
+                        break
+                else:
+                    kept.append(i)
+            at = pa.array(kept, pa.int64())
+            yield pa.RecordBatch.from_arrays([cols["a_id"].take(at), cols["b_id"].take(at)], names=["a", "b"])
+
+    kind = fronts.schema[0].dataType.simpleString()
+    return _met(pairs, fronts).mapInArrow(look, f"a {kind}, b {kind}")
+
+
+def _verified(texts: DataFrame, pairs: DataFrame, fronts: DataFrame, n: int, percent: int, scratch: Scratch) -> DataFrame:
+    """Those of pairs(a, b) that pass the other orders and have the similarity, by their whole sets."""
+    pairs = scratch.save(_may(pairs, fronts, percent))
+
+    def sets(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), _binary([grams for _, grams in shingle_sets(b.column(1), n)])], names=["id", "grams"])
 
     def compare(batches):
         for b in batches:
             cols = {name: b.column(i) for i, name in enumerate(b.schema.names)}
             kept = []
-            read = lambda name, i: np.frombuffer(cols[name][i].as_buffer(), np.uint64)
             for i in range(len(b)):
-                if all(len(np.intersect1d(read(f"a_p{k}", i), read(f"b_p{k}", i), assume_unique=True)) for k in range(1, ORDERS)):
-                    x, y = read("a_grams", i), read("b_grams", i)
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    if 100 * both >= percent * (len(x) + len(y) - both):
-                        kept.append(i)
+                x, y = (np.frombuffer(cols[f"{side}_grams"][i].as_buffer(), np.uint64) for side in "ab")
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                if 100 * both >= percent * (len(x) + len(y) - both):
+                    kept.append(i)
             at = pa.array(kept, pa.int64())
             yield pa.RecordBatch.from_arrays([cols["a_id"].take(at), cols["b_id"].take(at)], names=["a", "b"])
 
-    return met.select("a_id", "b_id", *[f"{s}_{c}" for s in "ab" for c in ("grams", *[f"p{k}" for k in range(1, ORDERS)])]).mapInArrow(compare, f"a {kind}, b {kind}")
+    kind = texts.schema[0].dataType.simpleString()
+    ids = _few(scratch.save(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()))
+    whole = scratch.save(texts.join(ids, "doc_id", "left_semi").mapInArrow(sets, f"id {kind}, grams binary"))
+    return _met(pairs, whole).mapInArrow(compare, f"a {kind}, b {kind}")
 
 
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
