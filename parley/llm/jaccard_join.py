@@ -3,7 +3,8 @@
 A document is its set of distinct word shingles. Of two sets with Jaccard similarity of at least
 t, the first a - ceil(t * a) + 1 shingles under any one global order share a shingle, a being the
 set's size. Rare shingles come first in every order: the corpus's frequent shingles stand by
-their counts at the end, and the others by a hash of each order's own. A pair must share a shingle
+their counts at the end, and the others by a hash of each order's own, or, in the first order, by
+their exact document frequency. A pair must share a shingle
 within the prefixes of all orders, and leave room for the needed overlap behind it, before its sets
 are compared.
 
@@ -17,7 +18,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parley.llm.graph import components
@@ -30,6 +31,9 @@ ORDERS, FRONT = 3, 3
 #: The frequent shingles that stand last: those that stand out within a partition, the most
 #: frequent of them. The list fixes the orders alone; results are the same with any list.
 FREQUENT_SHARE, FREQUENT_LEAST, FREQUENT_MOST = 0.001, 4, 500_000
+#: The first order begins with a sample of the other shingles, those with a hash in the lowest SAMPLED
+#: times (1 - t), in ascending order of their document frequency, which is counted exactly.
+SAMPLED = 1.6
 #: Tables of at most so many ids are broadcast; larger ones are joined by shuffles.
 BROADCAST_IDS = 2_000_000
 
@@ -61,9 +65,8 @@ def _key(grams: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], order: int)
     return key
 
 
-def _prefix(grams: np.ndarray, frequent, order: int, length: int) -> np.ndarray:
+def _leading(grams: np.ndarray, key: np.ndarray, length: int) -> np.ndarray:
     """The first shingles under an order, first first."""
-    key = _key(grams, frequent, order)
     if length < len(key):
         at = np.argpartition(key, length - 1)[:length]
         return grams[at[np.argsort(key[at])]]
@@ -90,40 +93,55 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     given = spark.sparkContext.broadcast(_frequent(texts, n))
     kind = texts.schema[0].dataType.simpleString()
 
+    bound = np.uint64(int(min(1.0, SAMPLED * (1 - percent / 100)) * 2**58))
+
     def described(batches):
         frequent = given.value
         for b in batches:
-            sizes, one, two, prefixes = [], [], [], []
+            sizes, one, two, firsts, leads = [], [], [], [], []
             for _, grams in shingle_sets(b.column(1), n):
                 a = len(grams)
                 sizes.append(a)
                 one.append(mix(grams, 11).sum())
                 two.append(mix(grams, 12).sum())
                 # sets so small that one shingle too many breaks the similarity link equal sets only
-                alone = 100 * a < percent * (a + 1)
-                prefixes.append(np.zeros(0, np.uint64) if alone else _prefix(grams, frequent, 0, a - -(-a * percent // 100) + 1))
-            flat = np.concatenate(prefixes) if prefixes else np.zeros(0, np.uint64)
-            cuts = np.concatenate(([0], np.cumsum([len(p) for p in prefixes])))
+                if 100 * a < percent * (a + 1):
+                    firsts.append(0)
+                    leads.append(grams[:0])
+                    continue
+                key = _key(grams, frequent, 0)
+                firsts.append(int((key < bound).sum()))
+                leads.append(_leading(grams, key, max(firsts[-1], a - -(-a * percent // 100) + 1)))
+            flat = np.concatenate(leads) if leads else np.zeros(0, np.uint64)
+            cuts = np.concatenate(([0], np.cumsum([len(p) for p in leads])))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(sizes, pa.int64()), pa.array(np.array(one, np.uint64).view(np.int64)), pa.array(np.array(two, np.uint64).view(np.int64)), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(flat.view(np.int64)))],
-                names=["doc_id", "n_shingles", "one", "two", "prefix"],
+                [b.column(0), pa.array(sizes, pa.int64()), pa.array(np.array(one, np.uint64).view(np.int64)), pa.array(np.array(two, np.uint64).view(np.int64)), pa.array(firsts, pa.int32()), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(flat.view(np.int64)))],
+                names=["doc_id", "n_shingles", "one", "two", "firsts", "lead"],
             )
 
-    rows = scratch.save(texts.mapInArrow(described, f"doc_id {kind}, n_shingles long, one long, two long, prefix array<long>"))
+    rows = scratch.save(texts.mapInArrow(described, f"doc_id {kind}, n_shingles long, one long, two long, firsts int, lead array<long>"))
+    slim = scratch.save(rows.select("doc_id", "n_shingles"))
     key = ["n_shingles", "one", "two"]
     full = rows.where("n_shingles > 0 and doc_id is not null")
     nodes = full.groupBy(*key).agg(F.min("doc_id").alias("node"))
     member = scratch.save(full.select("doc_id", *key).join(nodes, key).select("doc_id", "node"))
 
-    # the prefix rows of one document a node; more than one only where an id repeats
-    lead = rows.join(member.where("doc_id = node").select("doc_id").distinct(), "doc_id", "left_semi").where("size(prefix) > 0")
-    tokens = lead.select("doc_id", "n_shingles", F.posexplode("prefix").alias("at", "gram"))
-    # size and place share a column to keep the shuffled rows narrow
-    tokens = tokens.select("gram", F.col("doc_id").alias("node"), (F.shiftleft("n_shingles", 24) + F.col("at")).alias("held"))
-    shared = tokens.groupBy("gram").agg(F.min(F.struct((F.col("held") % 2**24).alias("at"), F.xxhash64("node").alias("h"), "node", "held")).alias("centre"), F.count("*").alias("rows")).where("rows > 1")
-    groups = scratch.save(
-        tokens.join(shared, "gram").select("gram", "node", F.shiftright("held", 24).alias("size"), (F.col("held") % 2**24).alias("at"), F.col("centre.node").alias("centre"), F.shiftright("centre.held", 24).alias("centre_size"), (F.col("centre.held") % 2**24).alias("centre_at"))
-    )
+    # the leading shingles of one document a node; more than one only where an id repeats
+    lead = rows.join(member.where("doc_id = node").select("doc_id").distinct(), "doc_id", "left_semi").where("size(lead) > 0")
+    lead = lead.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("size"), "firsts", "lead").withColumn("row", F.xxhash64("node", "size", "lead"))
+    prefix = F.col("size") - F.ceil(F.col("size") * percent / 100) + 1
+    # a shingle of the sample that no other node has only takes a place: the shared ones stand behind these, by frequency
+    sampled = lead.select("node", "row", F.explode(F.slice("lead", F.lit(1), F.col("firsts"))).alias("gram"))
+    shared = sampled.withColumn("rows", F.count("*").over(Window.partitionBy("gram"))).where("rows > 1")
+    shared = shared.groupBy("node", "row").agg(F.sort_array(F.collect_list(F.struct("rows", F.xxhash64("gram").alias("h"), "gram"))).alias("shared"))
+    sized = lead.select("node", "row", "size", "firsts", prefix.alias("prefix"), F.expr("slice(lead, firsts + 1, size(lead))").alias("behind"))
+    placed = sized.join(shared, ["node", "row"], "left").withColumn("own", F.col("firsts") - F.coalesce(F.size("shared"), F.lit(0)))
+    early = placed.select("node", "size", "prefix", "own", F.posexplode("shared").alias("k", "s")).select("node", "size", "prefix", (F.col("own") + F.col("k")).alias("at"), "s.gram")
+    late = placed.select("node", "size", "prefix", "firsts", F.posexplode("behind").alias("k", "gram")).select("node", "size", "prefix", (F.col("firsts") + F.col("k")).alias("at"), "gram")
+    tokens = scratch.save(early.union(late).where("at < prefix").select("gram", "node", "size", F.col("at").cast("long").alias("at")))
+    scratch.drop(rows)
+    centre = tokens.groupBy("gram").agg(F.min(F.struct("at", F.xxhash64("node").alias("h"), "node", "size")).alias("c"), F.count("*").alias("rows")).where("rows > 1")
+    groups = scratch.save(tokens.join(centre, "gram").select("gram", "node", "size", "at", F.col("c.node").alias("centre"), F.col("c.size").alias("centre_size"), F.col("c.at").alias("centre_at")))
 
     def room(size, at, other_size, other_at):
         """Enough shingles from the common one on, in both sets, for the needed overlap."""
@@ -155,8 +173,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
         more = more.union(same.select("low", "high"))
     roots = scratch.save(components(more, scratch)) if more.limit(1).count() else known
     final = scratch.save(member.join(roots, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root")).groupBy("doc_id").agg(F.min("root").alias("root")))
-    out = rows.select("doc_id", "n_shingles").join(final, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
-    return out
+    return slim.join(final, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
 
 
 def _few(df: DataFrame) -> DataFrame:
