@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm import decontamination, jaccard_join, mixing, sharding
+from parley.llm import decontamination, jaccard_join, language, mixing, sharding, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -20,6 +20,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def held_out(id_col: str = "doc_id"):
+    return F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0
+
+
+@query
+def op1_language(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    found = language.identify(docs, language.learn(docs.where(~held_out())))
+    return found.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score", F.to_json("mixture").alias("mixture"))
+
+
 @query
 def op3_decontamination(spark, sf_dir):
     return decontamination.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -41,6 +52,20 @@ def op5_jaccard_join(spark, sf_dir):
 ORACLES["op5_jaccard_join"] = jaccard_join.oracle_sql(3, 90)
 
 
+def toxicity_model(docs: DataFrame, labels: DataFrame):
+    """The model learned from the labels of documents that are not held out; an id that repeats in
+    the labels counts once, as toxic if any of its labels is."""
+    known = labels.where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("label"))
+    return toxicity.learn(docs.select("doc_id", "text").join(known, "doc_id"), label_col="label")
+
+
+@query
+def op6_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    found = toxicity.score(docs, toxicity_model(docs, table(spark, sf_dir, "labels")))
+    return found.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 @query
 def op9_sharding(spark, sf_dir):
     return sharding.shards(table(spark, sf_dir, "documents"))
