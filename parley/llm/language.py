@@ -9,6 +9,7 @@ languages in the order of their share in the full mixture.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -24,16 +25,10 @@ SET_MOST, ROUNDS, PENALTY = 3, 8, 1.0
 SLICE_CHARS = 1_000_000
 
 
-class _Letters:
-    """Is a code point a letter? A table for the basic plane, made once in a worker."""
-
-    table: np.ndarray | None = None
-
-    @classmethod
-    def get(cls) -> np.ndarray:
-        if cls.table is None:
-            cls.table = np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
-        return cls.table
+@cache
+def _letters() -> np.ndarray:
+    """Is a code point a letter?"""
+    return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
 
 
 def trigrams(texts: list[str | None]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -48,7 +43,7 @@ def trigrams(texts: list[str | None]) -> Iterator[tuple[int, int, np.ndarray, np
             end += 1
         codes = np.frombuffer("".join(parts).encode("utf-32-le", "replace"), np.uint32)
         rows = np.repeat(np.arange(end - first), [len(p) for p in parts])
-        letter = _Letters.get()[np.minimum(codes, 0x10FFFF)]
+        letter = _letters()[np.minimum(codes, 0x10FFFF)]
         codes = np.where(letter, codes, np.uint32(32)).astype(np.uint64)
         kept = letter.copy()
         kept[1:] |= letter[:-1]  # the first space behind a letter stays

@@ -12,6 +12,8 @@ represented by its strongest sentence, chosen anew after a first fit (multiple-i
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -32,7 +34,9 @@ WITNESSES = 5
 #: The share of clean documents that a toxic document's sentence must surpass to be a witness.
 COST, QUIET = 10.0, 0.99
 #: Words whose scores a task keeps at once; more are scored again.
-CACHE = 300_000
+CACHE = 1_000_000
+#: Texts whose words are scored together.
+TEXTS = 200
 
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+|\s\|\s")
 _SPACED = re.compile(r"(?<!\S)(?:\w[.\-_*]?\s){2,}\w[.,!?]*(?!\S)")
@@ -48,13 +52,19 @@ def sentences(text: str | None) -> list[list[str]]:
     return [words for s in _SENTENCE.split(text) if s and (words := s.split())]
 
 
+@cache
+def _plain() -> np.ndarray:
+    """Is a code point a letter or digit?"""
+    return np.fromiter((chr(c).isalnum() for c in range(0x110000)), bool, 0x110000)
+
+
 def _features(words: list[str], only: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(word, subsequence code, weight) with one row for each distinct subsequence of a word.
 
     only: sorted codes; words without any of them are left out."""
     codes = np.frombuffer("".join(words).encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
     of = np.repeat(np.arange(len(words)), [len(w) for w in words])
-    plain = np.fromiter((c.isalnum() for c in "".join(words)), bool, len(codes))
+    plain = _plain()[codes]
     keys, owners, weights = [], [], []
     for a in range(1, SPAN - 1):
         for b in range(a + 1, SPAN):
@@ -124,14 +134,15 @@ class Scorer:
             self.known.update(zip(part, (self.kernel(part) @ self.weights).tolist()))
         return self.known
 
-    def strongest(self, text: str | None, most: int = 1) -> list[tuple[float, list[str]]]:
-        """The sentences of the highest scores, and these; one without words of score 0 if there is none."""
-        found = sentences(text)
-        if not found:
-            return [(0.0, [])]
-        score = self.words(set().union(*found)).__getitem__
-        told = [(sum(map(score, s)), s) for s in found]
-        return [max(told, key=lambda x: x[0])] if most == 1 else sorted(told, key=lambda x: -x[0])[:most]
+    def strongest(self, texts: list[str | None], most: int = 1) -> Iterator[list[tuple[float, list[str]]]]:
+        """For each text the sentences of the highest scores, and these; one without words of score 0
+        if there is none."""
+        for i in range(0, len(texts), TEXTS):
+            held = [sentences(t) for t in texts[i : i + TEXTS]]
+            score = self.words({w for found in held for s in found for w in s}).__getitem__
+            for found in held:
+                told = [(sum(map(score, s)), s) for s in found] or [(0.0, [])]
+                yield [max(told, key=lambda x: x[0])] if most == 1 else sorted(told, key=lambda x: -x[0])[:most]
 
 
 def _fit_svm(x: np.ndarray, y: np.ndarray, cost: float) -> tuple[np.ndarray, float]:
@@ -222,8 +233,8 @@ def learn(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic",
             scorer = Scorer(kernel, weights)
             for f in frames:
                 out = []
-                for text, toxic in zip(f["text"], f["toxic"]):
-                    for rank, (value, s) in enumerate(scorer.strongest(text, WITNESSES if toxic > 0 else 1)):
+                for toxic, found in zip(f["toxic"], scorer.strongest(f["text"].tolist(), WITNESSES)):
+                    for rank, (value, s) in enumerate(found if toxic > 0 else found[:1]):
                         out.append(((kernel(s).sum(0) if s else np.zeros(len(kernel.landmarks))).tolist(), int(toxic > 0), rank, value))
                 yield pd.DataFrame(out, columns=["k", "toxic", "rank", "value"])
 
@@ -239,7 +250,7 @@ def learn(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic",
 
 
 def score_batch(texts: list[str | None], scorer: Scorer, a: float, b: float) -> np.ndarray:
-    f = np.array([scorer.strongest(t)[0][0] for t in texts], float)
+    f = np.array([found[0][0] for found in scorer.strongest(texts)], float)
     return 1 / (1 + np.exp(-np.clip(a * f + b, -30, 30)))
 
 
