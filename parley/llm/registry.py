@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm import decontamination, jaccard_join, language, mixing, sharding, toxicity
+from parley.llm import decontamination, html, jaccard_join, language, licenses, line_dedup, mixing, neighbours, sharding, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -31,6 +31,11 @@ def op1_language(spark, sf_dir):
     return found.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score", F.to_json("mixture").alias("mixture"))
 
 
+@query
+def op2_nearest_neighbours(spark, sf_dir):
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"))
+
+
 @query
 def op3_decontamination(spark, sf_dir):
     return decontamination.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -66,6 +71,21 @@ def op6_toxicity(spark, sf_dir):
     return found.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+@query
+def op7_html_extraction(spark, sf_dir):
+    return html.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+@query
+def op8_license_scan(spark, sf_dir):
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 @query
 def op9_sharding(spark, sf_dir):
     return sharding.shards(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_line_dedup(spark, sf_dir):
+    return line_dedup.fuzzy_lines(table(spark, sf_dir, "documents"))
