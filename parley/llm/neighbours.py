@@ -19,9 +19,9 @@ from pyspark.sql import functions as F
 
 from parley.llm.scratch import Scratch
 
-LINES, SHARE, WIDTH, GROW = 96, 0.9, 1.0, 1.08
-#: The windows grow until about this share of a block (and the neighbours asked for) is verified.
-VERIFIED = 0.06
+LINES, SHARE, WIDTH, GROW = 128, 0.9, 1.0, 1.08
+#: The windows grow until this share of a block and MANY times the neighbours asked for are verified.
+VERIFIED, MANY = 0.1, 15
 #: A block of vectors and a chunk of queries meet in one task.
 BLOCK, CHUNK, SEED = 16_384, 1_024, 13
 
@@ -51,7 +51,7 @@ class Index:
 
     def candidates(self, query: np.ndarray, wanted: int) -> np.ndarray:
         n = len(self.vectors)
-        least = min(n, int(np.ceil(wanted + VERIFIED * n)))
+        least = min(n, int(np.ceil(max(MANY * wanted, VERIFIED * n))))
         at = np.append(query / np.sqrt((query**2).sum()), 0) @ self.lines
         found = self._near(at, self.level)
         while len(found) >= least and self.level > 0:  # the level follows the last query's: down to the first that suffices
