@@ -2,22 +2,201 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from parley.functions import text as T
+from parley.operators import transcript as P
+from parley.operators import vectors as V
+from parley.sources.tables import table
+from parley.streaming import jobs
+
 QUERIES: dict = {}
 ORACLES: dict = {}
 
 
-def query(name: str, oracle: str | None = None):
+def query(oracle: str | None = None):
     def keep(f):
-        QUERIES[name] = f
+        QUERIES[f.__name__] = f
         if oracle:
-            ORACLES[name] = oracle
+            ORACLES[f.__name__] = oracle
         return f
 
     return keep
 
 
-@query("conversation_digest")
-def conversation_digest(spark, sf_dir):
-    from pyspark.sql import functions as F
+WORDS = r"len(regexp_extract_all(text, '[^\x20\x09-\x0D]+'))"
+
+
+@query(f"""SELECT conv_id, string_agg(role || ': ' || trim(text), chr(10) ORDER BY turn) AS transcript, count(*) AS turns, CAST(sum({WORDS}) AS BIGINT) AS words, count(DISTINCT role) AS speakers
+FROM conversations WHERE trim(text) <> '' GROUP BY conv_id""")
+def conversation_digest(spark, sf):
+    """Clean, flatten and count: one row a conversation."""
+    c = table(spark, sf, "conversations").where(F.trim("text") != "")
+    stats = c.groupBy("conv_id").agg(F.count("*").alias("turns"), F.sum(T.word_count(F.col("text"))).alias("words"), F.count_distinct("role").alias("speakers"))
+    return P.flatten(c, "conv_id", "turn", "role", "text").join(stats, "conv_id")
+
+
+@query("SELECT conv_id, string_agg(role || ': ' || trim(text), chr(10) ORDER BY turn) AS transcript FROM conversations WHERE trim(text) <> '' GROUP BY conv_id")
+def flatten_transcript(spark, sf):
+    return P.flatten(table(spark, sf, "conversations"), "conv_id", "turn", "role", "text")
+
+
+@query(f"SELECT conv_id, turn, {WORDS} AS words FROM conversations")
+def word_count(spark, sf):
+    return table(spark, sf, "conversations").select("conv_id", "turn", T.word_count(F.col("text")).alias("words"))
+
+
+@query("SELECT conv_id, turn, len(regexp_extract_all(text, '[^.!?]+[.!?]*')) AS sentences FROM conversations")
+def sentence_count(spark, sf):
+    return table(spark, sf, "conversations").select("conv_id", "turn", T.sentence_count(F.col("text")).alias("sentences"))
+
+
+@query("SELECT conv_id, turn, role FROM conversations WHERE lower(text) LIKE '%the%' ORDER BY conv_id DESC, turn DESC LIMIT 50")
+def title_search(spark, sf):
+    return table(spark, sf, "conversations").where(F.lower("text").like("%the%")).orderBy(F.desc("conv_id"), F.desc("turn")).limit(50).select("conv_id", "turn", "role")
+
+
+POSITIVES = [(-1, "Thank you for watching!"), (-2, "..."), (-3, " , , "), (-4, "www.example.com"), (-5, "x"), (-6, "Please subscribe"), (-7, "kept text")]
+
+
+@query(
+    "WITH d AS (SELECT doc_id, text FROM documents UNION ALL SELECT * FROM (VALUES " + ", ".join(f"({i}, '{t}')" for i, t in POSITIVES) + ") v(doc_id, text)), p AS (SELECT doc_id, lower(trim(text)) AS t FROM d)"
+    " SELECT doc_id FROM p WHERE NOT (length(t) < 2 OR contains(t, 'thank you for watching') OR contains(t, 'please subscribe') OR contains(t, 'hit the bell') OR regexp_matches(t, '^[.,\\s]+$') OR regexp_matches(t, '^www\\.'))"
+)
+def hallucination_filter(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text").union(spark.createDataFrame(POSITIVES, "doc_id long, text string"))
+    return docs.where(~T.invented(F.col("text"))).select("doc_id")
+
+
+@query("SELECT md5(text) AS file_hash, min(doc_id) AS first_id, count(*) AS copies FROM documents GROUP BY 1")
+def dedupe_by_hash(spark, sf):
+    return P.first_by_hash(table(spark, sf, "documents"), "doc_id", "text")
+
+
+@query("SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
+def pending_anti_join(spark, sf):
+    return P.pending(table(spark, sf, "documents").select("doc_id"), table(spark, sf, "labels").select("doc_id"), "doc_id")
+
+
+@query("SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, coalesce(b.quality, a.quality) AS quality FROM (SELECT doc_id, quality FROM labels WHERE doc_id % 3 <> 0) a FULL JOIN (SELECT doc_id, 1 - quality AS quality FROM labels WHERE doc_id % 2 = 0) b ON a.doc_id = b.doc_id")
+def merge_saved_new(spark, sf):
+    labels = table(spark, sf, "labels")
+    return P.merge_saved(labels.where("doc_id % 3 <> 0"), labels.where("doc_id % 2 = 0").select("doc_id", (1 - F.col("quality")).alias("quality")), "doc_id", "quality")
+
+
+@query("""WITH e AS (SELECT *, lag(event_type) OVER w AS p, row_number() OVER w AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+r AS (SELECT *, CAST(sum(CASE WHEN n > 1 AND p = event_type THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY n) AS BIGINT) AS run FROM e)
+SELECT user_id, run, event_type, count(*) AS rows, min(ts) AS first_ts, max(ts) AS last_ts FROM r GROUP BY user_id, run, event_type""")
+def speaker_runs(spark, sf):
+    return P.runs(table(spark, sf, "events"), "user_id", ["ts", "event_id"], "event_type")
+
+
+PAIRS = [("hello world again", "world again and on"), ("abcdef", "abcdef"), ("abcde", "abcde"), ("none", "other"), ("x", "")]
+
+
+@query("WITH v AS (SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in PAIRS) + ") t(a, b)), c AS (SELECT a, b FROM v UNION ALL SELECT text, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) FROM conversations) SELECT md5(a) AS a, md5(b) AS b, coalesce(list_max(list_filter(range(6, least(120, length(a), length(b)) + 1), lambda k: right(a, k) = left(b, k))), 0) AS k FROM c WHERE b IS NOT NULL")
+def overlap_len(spark, sf):
+    c = table(spark, sf, "conversations").select(F.col("text").alias("a"), F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn")).alias("b"))
+    c = spark.createDataFrame(PAIRS, "a string, b string").union(c).where("b is not null")
+    return c.select(F.md5(F.col("a").cast("binary")).alias("a"), F.md5(F.col("b").cast("binary")).alias("b"), P.overlap("a", "b").cast("bigint").alias("k"))
+
+
+@query("""SELECT a.vec_id AS a, b.vec_id AS b, round(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) / sqrt(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(a.embedding AS DOUBLE[])) * list_dot_product(CAST(b.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))), 5) AS cosine
+FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id""")
+def pairwise_cosine(spark, sf):
+    e = table(spark, sf, "embeddings")
+    a, b = (e.select(F.col("vec_id").alias(s), "label", F.col("embedding").alias(f"e_{s}")) for s in "ab")
+    return a.join(b, "label").where("a < b").select("a", "b", F.round(V.cosine(F.col("e_a"), F.col("e_b")), 5).alias("cosine"))
+
+
+@query()
+def top2_gap(spark, sf):
+    e = table(spark, sf, "embeddings")
+    return V.top2(e.select("vec_id", "embedding"), "vec_id", "embedding", V.centroids(e, "label", "embedding"), "label")
+
+
+@query("""WITH f AS (SELECT user_id, event_type, min(ts) AS t, arg_min(event_id, (ts, event_id)) AS i FROM events GROUP BY 1, 2), r AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY t, i) AS speaker_no FROM f)
+SELECT event_id, user_id, event_type, speaker_no FROM events JOIN r USING (user_id, event_type)""")
+def first_appearance_rank(spark, sf):
+    return P.appearance(table(spark, sf, "events").select("event_id", "ts", "user_id", "event_type"), "user_id", ["ts", "event_id"], "event_type").select("event_id", "user_id", "event_type", "speaker_no")
+
+
+@query("""WITH d AS (SELECT user_id, value, value - lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS delta FROM events)
+SELECT user_id, round(avg(value), 4) AS mean, round(stddev_pop(value), 4) AS std, round(quantile_cont(value, 0.5), 4) AS median, round(quantile_cont(value, 0.1), 4) AS p10, round(quantile_cont(value, 0.9), 4) AS p90, round(stddev_pop(delta), 4) AS delta_std, count(*) AS n FROM d GROUP BY user_id""")
+def pitch_like_stats(spark, sf):
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    d = table(spark, sf, "events").withColumn("delta", F.col("value") - F.lag("value").over(w))
+    r = lambda c: F.round(c, 4)
+    p = lambda q: r(F.percentile("value", F.lit(q)))
+    return d.groupBy("user_id").agg(r(F.avg("value")).alias("mean"), r(F.stddev_pop("value")).alias("std"), p(0.5).alias("median"), p(0.1).alias("p10"), p(0.9).alias("p90"), r(F.stddev_pop("delta")).alias("delta_std"), F.count("*").alias("n"))
+
+
+@query("SELECT conv_id, turn, CAST(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS chars FROM conversations")
+def running_bytes(spark, sf):
+    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
+    return table(spark, sf, "conversations").select("conv_id", "turn", F.sum(F.length("text")).over(w).alias("chars"))
+
+
+@query("SELECT source, count(*) AS files, CAST(sum(n_chars) AS BIGINT) AS size, count(*) <= 10 AND max(n_chars) <= 1048576 AND sum(n_chars) <= 2097152 AS allowed FROM documents GROUP BY source")
+def attachment_quota(spark, sf):
+    return table(spark, sf, "documents").groupBy("source").agg(F.count("*").alias("files"), F.sum("n_chars").alias("size"), ((F.count("*") <= 10) & (F.max("n_chars") <= 1048576) & (F.sum("n_chars") <= 2097152)).alias("allowed"))
+
+
+@query("SELECT conv_id, CAST(floor(turn / 4) AS BIGINT) AS part, md5(string_agg(text, chr(10) ORDER BY turn)) AS digest FROM conversations GROUP BY 1, 2")
+def map_reduce_groups(spark, sf):
+    c = table(spark, sf, "conversations").groupBy("conv_id", F.floor(F.col("turn") / 4).alias("part")).agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
+    return c.select("conv_id", "part", F.md5(F.array_join(F.transform("t", lambda x: x["text"]), "\n").cast("binary")).alias("digest"))
+
+
+@query("SELECT event_id, lpad(CAST(CAST(floor(value) AS BIGINT) // 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(CAST(floor(value) AS BIGINT) % 60 AS VARCHAR), 2, '0') AS clock FROM events WHERE value >= 0")
+def fmt_mmss(spark, sf):
+    return table(spark, sf, "events").where("value >= 0").select("event_id", T.clock(F.col("value")).alias("clock"))
+
+
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+def json_props(spark, sf):
+    return table(spark, sf, "events").select("event_id", F.get_json_object("props", "$.k").cast("bigint").alias("k"))
+
+
+@query("SELECT c_custkey, CASE WHEN length(c_name) <= 8 THEN '****' ELSE left(c_name, 4) || '****' || right(c_name, 4) END AS masked FROM customer")
+def mask_secret(spark, sf):
+    return table(spark, sf, "customer").select("c_custkey", T.masked(F.col("c_name")).alias("masked"))
+
+
+@query("SELECT page_id, trim(regexp_replace(regexp_replace(url, '[^A-Za-z0-9._-]+', '_', 'g'), '_{2,}', '_', 'g')) AS name FROM pages")
+def safe_filename(spark, sf):
+    return table(spark, sf, "pages").select("page_id", T.safe_filename(F.col("url")).alias("name"))
+
+
+@query("SELECT user_id, arg_max(event_type, (ts, event_id)) AS state, max(ts) AS ts FROM events GROUP BY user_id")
+def job_latest_state(spark, sf):
+    return jobs.latest(table(spark, sf, "events"))
+
+
+@query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS events, round(sum(value), 4) AS value FROM events GROUP BY 1, 2")
+def tumbling_1h(spark, sf):
+    return jobs.tumbling(table(spark, sf, "events")).select(F.col("w.start").cast("timestamp_ntz").alias("start"), "event_type", "events", F.round("value", 4).alias("value"))
+
+
+@query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS n FROM g)
+SELECT user_id, min(ts) AS start, count(*) AS events FROM s GROUP BY user_id, n""")
+def session_30m(spark, sf):
+    return jobs.sessions(table(spark, sf, "events")).select("user_id", F.col("w.start").cast("timestamp_ntz").alias("start"), "events")
+
+
+@query("SELECT conv_id, turn, round(600.0 * length(text) / sum(length(text)) OVER (PARTITION BY conv_id), 4) AS seconds FROM conversations")
+def apportion_time(spark, sf):
+    return table(spark, sf, "conversations").select("conv_id", "turn", F.round(600.0 * F.length("text") / F.sum(F.length("text")).over(Window.partitionBy("conv_id")), 4).alias("seconds"))
+
+
+@query("SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n <= 5")
+def last_n_ring(spark, sf):
+    w = Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))
+    return table(spark, sf, "events").withColumn("n", F.row_number().over(w)).where("n <= 5").select("user_id", "event_id")
+
 
-    return spark.read.parquet(f"{sf_dir}/conversations.parquet").groupBy("conv_id").agg(F.count("*").alias("turns"))
+@query("""SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_disc_price, count(*) AS count_order FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY 1, 2""")
+def star_pricing(spark, sf):
+    d = table(spark, sf, "lineitem").where("l_shipdate <= timestamp_ntz'1998-09-02'")
+    return d.groupBy("l_returnflag", "l_linestatus").agg(F.round(F.sum("l_quantity"), 2).alias("sum_qty"), F.round(F.sum(F.expr("l_extendedprice * (1 - l_discount)")), 2).alias("sum_disc_price"), F.count("*").alias("count_order"))
