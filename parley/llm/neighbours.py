@@ -54,7 +54,7 @@ class Index:
         least = min(n, int(np.ceil(max(MANY * wanted, VERIFIED * n))))
         at = np.append(query / np.sqrt((query**2).sum()), 0) @ self.lines
         found = self._near(at, self.level)
-        while len(found) >= least and self.level > 0:  # the level follows the last query's: down to the first that suffices
+        while len(found) >= 2 * least and self.level > 0:  # the level follows the last query's, down while far more is found than needed
             lower = self._near(at, self.level - 1)
             if len(lower) < least:
                 break
