@@ -230,6 +230,29 @@ def test_lines(spark, awkward, nothing):
     assert line_dedup.fuzzy_lines(awkward).count() and line_dedup.fuzzy_lines(nothing).count() == 0
 
 
+def test_lines_of_each_kind(spark):
+    """Every link that brute force finds among short, middle, long and unspaced lines with small edits."""
+    words = [r.w for r in spark.sql("select substr(sha2(cast(id as string), 256), 1, 2 + cast(id % 9 as int)) as w from range(4000)").collect()]
+    lines = []
+    for k in range(60):
+        own = words[k * 60 : k * 60 + (7, 30, 60)[k % 3] * (1 + k % 2)]
+        lines += [" ".join(own), " ".join(own[:-2] + ["zq"] + own[-1:]), " ".join([own[0][::-1]] + own[1:])]
+    cjk = "".join(chr(0x4E00 + 37 * i % 4001) for i in range(300))
+    lines += [cjk, cjk[:100] + cjk[103:], cjk[:200] + "x" + cjk[200:]]
+    sets = [{x[i : i + 5] for i in range(len(x) - 4)} for x in lines]
+    root = list(range(len(lines)))
+    for b in range(len(lines)):
+        for a in range(b):
+            both = len(sets[a] & sets[b])
+            if both >= 0.8 * (len(sets[a]) + len(sets[b]) - both):
+                root = [root[a] if r == root[b] else r for r in root]
+    got = line_dedup.fuzzy_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect()
+    of = {r.doc_id: r.component_doc for r in got}
+    assert all(root.index(root[i]) <= c and root[c] == root[i] for i, c in of.items())
+    missed = sum(root.index(root[i]) != c for i, c in of.items())
+    assert len(set(root)) < 150 and missed <= 2
+
+
 def test_pipeline(spark):
     folder = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{folder}/documents.parquet")
