@@ -50,3 +50,23 @@ def appearance(rows: DataFrame, key: str, order: list[str], label: str) -> DataF
     w = Window.partitionBy(key).orderBy(*order)
     first = rows.groupBy(key, label).agg(F.min(F.struct(*order)).alias("f")).withColumn("speaker_no", F.row_number().over(Window.partitionBy(key).orderBy("f"))).drop("f")
     return rows.join(first, [key, label])
+
+
+def insert_new(saved: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """Saved rows and those new rows whose key is not there yet; of new rows with one key, one stays."""
+    return saved.unionByName(new.dropDuplicates(keys).join(saved.select(*keys), keys, "left_anti").select(*saved.columns))
+
+
+def upsert(saved: DataFrame, new: DataFrame, keys: list[str], values: list[str], defaults: dict) -> DataFrame:
+    """Saved rows with the values of the new row of their key; keys not there yet are added, their other
+    columns by defaults. new has one row a key."""
+    told = new.select(*keys, *[F.col(v).alias(f"new_{v}") for v in values], F.lit(True).alias("is_new"))
+    old = saved.withColumn("is_old", F.lit(True))
+    out = {c: F.when(F.col("is_new"), F.col(f"new_{c}")).otherwise(F.col(c)) for c in values}
+    out |= {c: F.when(F.col("is_old"), F.col(c)).otherwise(F.lit(v)) for c, v in defaults.items()}
+    return old.join(told, keys, "full").select(*[out[c].alias(c) if c in out else F.col(c) for c in saved.columns])
+
+
+def last_written(writes: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
+    """A key-value table from its writes: the last value of each key wins."""
+    return writes.groupBy(key).agg(F.max_by(value, F.struct(*order)).alias(value))

@@ -200,3 +200,29 @@ def last_n_ring(spark, sf):
 def star_pricing(spark, sf):
     d = table(spark, sf, "lineitem").where("l_shipdate <= timestamp_ntz'1998-09-02'")
     return d.groupBy("l_returnflag", "l_linestatus").agg(F.round(F.sum("l_quantity"), 2).alias("sum_qty"), F.round(F.sum(F.expr("l_extendedprice * (1 - l_discount)")), 2).alias("sum_disc_price"), F.count("*").alias("count_order"))
+
+
+@query("SELECT conv_id, turn, text FROM conversations WHERE turn < 3 UNION ALL SELECT conv_id, turn, 'new ' || text FROM conversations WHERE turn >= 3 AND turn < 5")
+def insert_or_ignore(spark, sf):
+    """Rows that are there stay as they are; only new keys are added."""
+    c = table(spark, sf, "conversations").select("conv_id", "turn", "text")
+    return P.insert_new(c.where("turn < 3"), c.where("turn < 5").withColumn("text", F.concat(F.lit("new "), "text")), ["conv_id", "turn"])
+
+
+@query("SELECT conv_id, turn, CASE WHEN turn >= 2 AND turn < 5 THEN 'new ' || text ELSE text END AS text, CASE WHEN turn < 3 THEN length(text) ELSE 0 END AS end_ms FROM conversations WHERE turn < 5")
+def upsert_chunks(spark, sf):
+    """A chunk's text is updated in place; a chunk without a plan gets bounds of 0."""
+    c = table(spark, sf, "conversations").where("turn < 5").select("conv_id", "turn", "text", F.length("text").cast("bigint").alias("end_ms"))
+    return P.upsert(c.where("turn < 3"), c.where("turn >= 2").withColumn("text", F.concat(F.lit("new "), "text")), ["conv_id", "turn"], ["text"], {"end_ms": 0})
+
+
+@query("SELECT event_type, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY event_type")
+def settings_last_write(spark, sf):
+    return P.last_written(table(spark, sf, "events"), "event_type", ["ts", "event_id"], "value")
+
+
+@query("SELECT doc_id, source FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND l.toxic = 1)")
+def cascade_delete(spark, sf):
+    """The rows left when parents are deleted and their children go with them."""
+    gone = table(spark, sf, "labels").where("toxic = 1").select("doc_id")
+    return P.pending(table(spark, sf, "documents").select("doc_id", "source"), gone, "doc_id")
