@@ -57,6 +57,12 @@ def title_search(spark, sf):
     return table(spark, sf, "conversations").where(F.lower("text").like("%the%")).orderBy(F.desc("conv_id"), F.desc("turn")).limit(50).select("conv_id", "turn", "role")
 
 
+@query("SELECT conv_id, turn, role FROM conversations WHERE lower(text) LIKE '%the%'")
+def title_search_all(spark, sf):
+    """Every match, as the reference's search has them; title_search shows the last 50 only."""
+    return table(spark, sf, "conversations").where(F.lower("text").like("%the%")).select("conv_id", "turn", "role")
+
+
 POSITIVES = [(-1, "Thank you for watching!"), (-2, "..."), (-3, " , , "), (-4, "www.example.com"), (-5, "x"), (-6, "Please subscribe"), (-7, "kept text")]
 
 
