@@ -91,6 +91,13 @@ def merge_saved_new(spark, sf):
     return P.merge_saved(labels.where("doc_id % 3 <> 0"), labels.where("doc_id % 2 = 0").select("doc_id", (1 - F.col("quality")).alias("quality")), "doc_id", "quality")
 
 
+@query("SELECT d.doc_id, coalesce(l.quality, d.n_chars) AS value FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
+def merge_saved_new_all(spark, sf):
+    """All documents, saved with their length, against all labels, whose quality wins."""
+    saved, new = table(spark, sf, "documents"), table(spark, sf, "labels")
+    return P.merge_saved(saved.select("doc_id", F.col("n_chars").alias("value")), new.select("doc_id", F.col("quality").cast("bigint").alias("value")), "doc_id", "value")
+
+
 @query("""WITH e AS (SELECT *, lag(event_type) OVER w AS p, row_number() OVER w AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
 r AS (SELECT *, CAST(sum(CASE WHEN n > 1 AND p = event_type THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY n) AS BIGINT) AS run FROM e)
 SELECT user_id, run, event_type, count(*) AS rows, min(ts) AS first_ts, max(ts) AS last_ts FROM r GROUP BY user_id, run, event_type""")
@@ -222,6 +229,20 @@ def upsert_chunks(spark, sf):
     return P.upsert(c.where("turn < 3"), c.where("turn >= 2").withColumn("text", F.concat(F.lit("new "), "text")), ["conv_id", "turn"], ["text"], {"end_ms": 0})
 
 
+@query("SELECT conv_id, turn, CASE WHEN turn < 3 THEN text ELSE 'new ' || text END AS text FROM conversations")
+def insert_or_ignore_all(spark, sf):
+    """The earlier turns are there; every row of the table is given again."""
+    c = table(spark, sf, "conversations").select("conv_id", "turn", "text")
+    return P.insert_new(c.where("turn < 3"), c.withColumn("text", F.concat(F.lit("new "), "text")), ["conv_id", "turn"])
+
+
+@query("SELECT conv_id, turn, 'new ' || text AS text, CASE WHEN turn < 3 THEN length(text) ELSE 0 END AS end_ms FROM conversations")
+def upsert_chunks_all(spark, sf):
+    """The earlier turns are there; every row of the table brings its text anew."""
+    c = table(spark, sf, "conversations").select("conv_id", "turn", "text", F.length("text").cast("bigint").alias("end_ms"))
+    return P.upsert(c.where("turn < 3"), c.withColumn("text", F.concat(F.lit("new "), "text")), ["conv_id", "turn"], ["text"], {"end_ms": 0})
+
+
 @query("SELECT event_type, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY event_type")
 def settings_last_write(spark, sf):
     return P.last_written(table(spark, sf, "events"), "event_type", ["ts", "event_id"], "value")

@@ -13,3 +13,9 @@ def test_title_search_returns_every_match(spark):
     want = [(r.conv_id, r.turn) for r in table_of(spark, "conversations").collect() if "the" in r.text.lower()]
     got = [(r.conv_id, r.turn) for r in QUERIES["title_search_all"](spark, FOLDER).collect()]
     assert len(want) > 50 and sorted(got) == sorted(want)
+
+
+def test_writes_reach_every_row(spark):
+    for name, key, source in [("insert_or_ignore_all", ["conv_id", "turn"], "conversations"), ("upsert_chunks_all", ["conv_id", "turn"], "conversations"), ("merge_saved_new_all", ["doc_id"], "documents")]:
+        want = sorted(map(tuple, table_of(spark, source).select(*key).collect()))
+        assert sorted(map(tuple, QUERIES[name](spark, FOLDER).select(*key).collect())) == want, name
