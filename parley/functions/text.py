@@ -5,8 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Phrases that speech models invent over silence.
-INVENTED = ("thank you for watching", "please subscribe", "hit the bell")
+#: Patterns of what speech models invent over silence, as the reference has them.
+INVENTED = (
+    r"hãy subscribe cho kênh", r"ghiền mì gõ", r"để không bỏ lỡ nh[uư]ng video hấp dẫn", r"đừng quên like và subscribe", r"nhấn nút đăng ký", r"cảm ơn các bạn đã theo dõi", r"hãy đăng ký kênh",
+    r"xin chào các bạn.*kênh", r"hẹn gặp lại.*video", r"like.*share.*subscribe", r"thank you for watching", r"please subscribe", r"like and subscribe", r"don'?t forget to subscribe", r"hit the bell",
+    r"©.*all rights reserved", r"subtitles? by", r"www\.\w+\.\w+", r"^meeting\.?$", r"^meeting discussion\.?$", r"^cuộc họp công việc\.?$", r"^\.+$", r"^,+$",
+)
+#: Texts of at most so many characters, trimmed, are inventions too.
+SHORTEST = 3
+#: What Python's strip() takes off, and its \n before the end: Java's defaults differ.
+BLANK = " \t\n\r\v\f\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def word_count(text: Column) -> Column:
@@ -19,12 +27,9 @@ def sentence_count(text: Column) -> Column:
 
 
 def invented(text: Column) -> Column:
-    """Is a transcript part an invention: one of the known phrases, dots only, or fewer than two characters?"""
-    plain = F.lower(F.trim(text))
-    found = F.length(plain) < 2
-    for phrase in INVENTED:
-        found = found | F.contains(plain, F.lit(phrase))
-    return F.coalesce(found | plain.rlike(r"^[.,\s]+$") | plain.rlike(r"^www\."), F.lit(True))
+    """Is a transcript part an invention: does it match one of the patterns, or has it at most SHORTEST characters?"""
+    plain = F.btrim(text, F.lit(BLANK))
+    return F.coalesce((F.length(plain) <= SHORTEST) | plain.rlike("(?iUd)" + "|".join(INVENTED)), F.lit(True))
 
 
 def clock(seconds: Column) -> Column:

@@ -75,6 +75,24 @@ def hallucination_filter(spark, sf):
     return docs.where(~T.invented(F.col("text"))).select("doc_id")
 
 
+#: One text for each pattern, and some that stay.
+ALL_POSITIVES = [(-100 - i, t) for i, t in enumerate((
+    "Hãy SUBSCRIBE cho kênh", "ghiền mì gõ", "để không bỏ lỡ nhưng video hấp dẫn", "đừng quên like và subscribe", "Nhấn nút ĐĂNG KÝ", "CẢM ƠN các bạn đã theo dõi", "hãy đăng ký kênh", "xin chào các bạn đến với kênh", "hẹn gặp lại ở video",
+    "like it, share it, subscribe", "Thank you for watching", "please subscribe", "like and subscribe", "dont forget to subscribe", "hit the bell", "© 2020 All Rights Reserved", "Subtitles by x", "see www.example.com there",
+    " Meeting. ", "meeting discussion", "Cuộc họp công việc.", ".....", ",,,,,", "abc", " ab ", "abcd", "meetings", "a meeting.", "the www. of old", "share and like",
+))]
+
+
+@query(
+    "WITH d AS (SELECT doc_id, text FROM documents UNION ALL SELECT * FROM (VALUES " + ", ".join(f"({i}, '{t}')" for i, t in ALL_POSITIVES) + ") v(doc_id, text))"
+    " SELECT doc_id FROM d WHERE NOT (length(trim(text)) <= 3 OR regexp_matches(trim(text), '" + "|".join(T.INVENTED).replace("'", "''").replace(r"\w", r"[\pL\pM\pN_]") + "', 'i'))"
+)
+def hallucination_filter_all(spark, sf):
+    """The rule of hallucination_filter, with an oracle and positives for each of its patterns."""
+    docs = table(spark, sf, "documents").select("doc_id", "text").union(spark.createDataFrame(ALL_POSITIVES, "doc_id long, text string"))
+    return docs.where(~T.invented(F.col("text"))).select("doc_id")
+
+
 @query("SELECT md5(text) AS file_hash, min(doc_id) AS first_id, count(*) AS copies FROM documents GROUP BY 1")
 def dedupe_by_hash(spark, sf):
     return P.first_by_hash(table(spark, sf, "documents"), "doc_id", "text")
