@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 #: Documents a language is learned from, about: the bound of the labelled sample.
 TRAIN_DOCS = 5_000
 BUCKETS, SMOOTHING = 1 << 16, 0.5
-#: Languages of one document at most, rounds of expectation-maximisation, penalty for each language.
-SET_MOST, ROUNDS, PENALTY = 3, 8, 1.0
+#: Rounds of expectation-maximisation, penalty for each language.
+ROUNDS, PENALTY = 8, 1.0
 SLICE_CHARS = 1_000_000
 
 
@@ -120,13 +120,21 @@ def infer(texts: list[str | None], model: np.ndarray) -> tuple[np.ndarray, np.nd
         single = np.add.reduceat(np.log(np.maximum(like, 1e-30)) * count[:, None], starts)
         best, best_share = single.max(1), np.eye(k)[single.argmax(1)]
         best = best - PENALTY * np.log(total + 1) / 2
-        for size in range(2, min(SET_MOST, k) + 1):
-            allowed = np.zeros((len(docs), k), np.float32)
-            np.put_along_axis(allowed, order[:, :size], 1, 1)
-            share, fit = _mixture(like, count, starts, row, allowed)
-            fit = fit - PENALTY * (2 * size - 1) * np.log(total + 1) / 2
-            better = fit > best
-            best[better], best_share[better] = fit[better], share[better]
+        # three languages are always tried; from then on a set grows while its likelihood does
+        still = np.ones(len(docs), bool)
+        for size in range(2, k + 1):
+            own = still[row]
+            if not still.any():
+                break
+            allowed = np.zeros((int(still.sum()), k), np.float32)
+            np.put_along_axis(allowed, order[still][:, :size], 1, 1)
+            parts = np.diff(np.append(starts, len(rows)))[still]
+            share, fit = _mixture(like[own], count[own], np.cumsum(parts) - parts, np.repeat(np.arange(len(parts)), parts), allowed)
+            fit = fit - PENALTY * (2 * size - 1) * np.log(total[still] + 1) / 2
+            better, at = fit > best[still], np.flatnonzero(still)
+            best[at[better]], best_share[at[better]] = fit[better], share[better]
+            if size > 2:
+                still[at[~better]] = False
         out[first + docs] = best_share
         seen[first + docs] = True
     return out, seen
