@@ -2,19 +2,30 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folders of local sessions without spark.checkpoint.dir, by application.
+_LOCAL: dict[str, str] = {}
+
 
 def folder(spark: SparkSession) -> str:
-    """The shared folder named in spark.checkpoint.dir; one of our own only where it is unset."""
+    """The shared folder named in spark.checkpoint.dir. Only where all of Spark is this one process, as
+    in tests, a folder of our own stands in for it; on a cluster a missing setting is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="spark-parley-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    if found:
+        return found
+    context = spark.sparkContext
+    if not context.master.startswith("local[") and context.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    if context.applicationId not in _LOCAL:
+        _LOCAL[context.applicationId] = own = tempfile.mkdtemp(prefix="spark-parley-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+    return f"file://{_LOCAL[context.applicationId]}"
 
 
 class Scratch:

@@ -3,16 +3,23 @@
 The kernel of two words counts their common subsequences of three letters, each weighted by
 DECAY ** (the span it takes in a word), over spans of SPAN characters at most, normalised by the
 words' own kernels. Characters other than letters and digits match nothing but widen spans, so
-``i.d.i.o.t`` and ``idxiot`` stay near ``idiot``. A sentence's kernel with a landmark is the sum of
-its words' kernels to the power SHARPEN. Landmarks are words that labelled texts single out; the
-Nyström map K^(-1/2) turns the kernel values into features. Labels are of documents: a document is
-represented by its strongest sentence, chosen anew after a first fit (multiple-instance training).
+``i.d.i.o.t`` and ``idxiot`` stay near ``idiot``. Values below NEAR count as 0, the others are taken to
+the power SHARPEN; a sentence's kernel with a landmark is the sum of its words' values.
+
+Landmarks are chosen greedily: the word whose kernel neighbourhood tells most about the labels comes
+first, then what its neighbourhood explains is taken off and the next one is chosen. So words of one
+stem add up, and every family of insults gets landmarks, whatever its language and however rare it is.
+The Nyström map K^(-1/2) turns kernel values into features of the support vector machine, which learns
+from sentences: those of toxic documents that are near a landmark against all of clean documents. A
+document's probability follows from its sentences' decision values: the highest, and their positive
+sum, alone and against the document's length (a logistic fit on the labelled documents).
 """
 
 from __future__ import annotations
 
+import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cache
 
 import numpy as np
@@ -25,18 +32,17 @@ from parley.llm.scratch import Scratch
 
 #: About so many labelled documents are learned from: the bound of the sample.
 TRAIN_DOCS = 20_000
-LANDMARKS = 64
-#: A landmark's log-likelihood gain, at least, and at least as a share of the best one's.
-GAIN_LEAST, GAIN_SHARE = 5.0, 0.1
-DECAY, SPAN, SHARPEN = 0.9, 7, 4
-#: Sentences that stand for a toxic document in training, at most.
-WITNESSES = 5
-#: The share of clean documents that a toxic document's sentence must surpass to be a witness.
-COST, QUIET = 10.0, 0.99
+#: The rank of the Nyström map, and the words of the sample that landmarks are chosen from, by their gain.
+LANDMARKS, CANDIDATES = 128, 1_500
+#: The log-likelihood gain that a landmark's neighbourhood must have.
+GAIN_LEAST = 10.0
+DECAY, SPAN, SHARPEN, NEAR = 0.9, 7, 4, 0.45
+#: Sentences of a toxic document that the machine learns from, at most, and its cost of an error.
+WITNESSES, COST = 20, 10.0
 #: Words whose scores a task keeps at once; more are scored again.
-CACHE = 1_000_000
-#: Texts whose words are scored together.
-TEXTS = 200
+CACHE = 200_000
+#: Characters of texts whose words are scored together; a longer text stands alone.
+CHARS = 400_000
 
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+|\s\|\s")
 _SPACED = re.compile(r"(?<!\S)(?:\w[.\-_*]?\s){2,}\w[.,!?]*(?!\S)")
@@ -58,68 +64,90 @@ def _plain() -> np.ndarray:
     return np.fromiter((chr(c).isalnum() for c in range(0x110000)), bool, 0x110000)
 
 
-def _features(words: list[str], only: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word, subsequence code, weight) with one row for each distinct subsequence of a word.
-
-    only: sorted codes; words without any of them are left out."""
+def _occurrences(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word, subsequence code, weight) of every subsequence of three letters within SPAN, repeated ones too."""
     codes = np.frombuffer("".join(words).encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
-    of = np.repeat(np.arange(len(words)), [len(w) for w in words])
+    of = np.repeat(np.arange(len(words), dtype=np.int32), [len(w) for w in words])
     plain = _plain()[codes]
     keys, owners, weights = [], [], []
-    for a in range(1, SPAN - 1):
-        for b in range(a + 1, SPAN):
-            n = len(codes) - b
-            if n <= 0:
-                continue
-            ok = (of[:n] == of[b:]) & plain[:n] & plain[a : a + n] & plain[b:]
-            at = np.flatnonzero(ok)
-            keys.append((codes[at] << np.uint64(42)) | (codes[at + a] << np.uint64(21)) | codes[at + b])
-            owners.append(of[at])
-            weights.append(np.full(len(at), DECAY ** (b + 1)))
+    for b in range(2, SPAN):
+        n = len(codes) - b
+        if n <= 0:
+            break
+        ends = np.flatnonzero((of[:n] == of[b:]) & plain[:n] & plain[b:])
+        outer, owner = (codes[ends] << np.uint64(42)) | codes[ends + b], of[ends]
+        for a in range(1, b):
+            inner = plain[ends + a]
+            whole = inner.all()
+            keys.append((outer if whole else outer[inner]) | (codes[(ends if whole else ends[inner]) + a] << np.uint64(21)))
+            owners.append(owner if whole else owner[inner])
+            weights.append(np.full(len(keys[-1]), DECAY ** (b + 1)))
     if not keys:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0)
-    key, owner, weight = map(np.concatenate, (keys, owners, weights))
-    if only is not None:
-        near = np.zeros(len(words), bool)
-        near[owner[only[np.minimum(np.searchsorted(only, key), len(only) - 1)] == key]] = True
-        kept = near[owner]
-        key, owner, weight = key[kept], owner[kept], weight[kept]
+        return np.zeros(0, np.int32), np.zeros(0, np.uint64), np.zeros(0)
+    return np.concatenate(owners), np.concatenate(keys), np.concatenate(weights)
+
+
+def _features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same with one row for each distinct subsequence of a word, its weights added."""
+    owner, key, weight = _occurrences(words)
+    if not len(key):
+        return owner, key, weight
     order = np.lexsort((key, owner))
     key, owner, weight = key[order], owner[order], weight[order]
-    new = np.concatenate(([True], (key[1:] != key[:-1]) | (owner[1:] != owner[:-1]))) if len(key) else np.zeros(0, bool)
-    at = np.flatnonzero(new)
-    return owner[at], key[at], np.add.reduceat(weight, at) if len(at) else weight
+    at = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (owner[1:] != owner[:-1]))))
+    return owner[at], key[at], np.add.reduceat(weight, at)
+
+
+def _norms(words: list[str]) -> np.ndarray:
+    owner, _, weight = _features(words)
+    return np.sqrt(np.bincount(owner, weight**2, len(words)))
 
 
 class Kernel:
-    """Normalised kernels of words with the landmarks, to the power SHARPEN."""
+    """Normalised kernels of words with the landmarks: below NEAR 0, else to the power SHARPEN."""
+
+    BITS = 18
 
     def __init__(self, landmarks: list[str]):
         self.landmarks = landmarks
         owner, key, weight = _features(landmarks)
-        norm = np.sqrt(np.bincount(owner, weight**2, len(landmarks)))
-        self.keys, at = np.unique(key, return_inverse=True)
-        self.table = np.zeros((len(self.keys) + 1, len(landmarks)))
-        self.table[at, owner] = weight / norm[owner]
+        weight = weight / np.sqrt(np.bincount(owner, weight**2, len(landmarks)))[owner]
+        order = np.argsort(key, kind="stable")
+        self.owner, self.weight = owner[order], weight[order]
+        self.keys, self.first = np.unique(key[order], return_index=True)
+        self.count = np.diff(np.append(self.first, len(key)))
+        self.seen = np.zeros(1 << self.BITS, bool)
+        self.seen[self._place(self.keys)] = True
+
+    def _place(self, key: np.ndarray) -> np.ndarray:
+        return (key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.BITS)
 
     def __call__(self, words: list[str]) -> np.ndarray:
-        out = np.zeros((len(words), len(self.landmarks)))
+        most = len(self.landmarks)
+        out = np.zeros((len(words), most))
         if not words or not len(self.keys):
             return out
-        owner, key, weight = _features(words, self.keys)
-        norm = np.sqrt(np.bincount(owner, weight**2, len(words)))
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        known = self.keys[at] == key
-        owner, at, weight = owner[known], at[known], weight[known]
-        if len(owner):
-            starts = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
-            out[owner[starts]] = np.add.reduceat(self.table[at] * weight[:, None], starts)
-            out /= np.maximum(norm, 1e-12)[:, None]
-        return out**SHARPEN
+        owner, key, weight = _occurrences(words)
+        # the squares of single occurrences bound a word's norm from below: most words are too far already by that
+        least = np.sqrt(np.bincount(owner, weight**2, len(words)))
+        hit = np.flatnonzero(self.seen[self._place(key)])
+        at = np.minimum(np.searchsorted(self.keys, key[hit]), len(self.keys) - 1)
+        same = self.keys[at] == key[hit]
+        hit, at = hit[same], at[same]
+        count = self.count[at]
+        posted = np.repeat(self.first[at] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        pair = np.repeat(owner[hit].astype(np.int64) * most, count) + self.owner[posted]
+        dot = np.bincount(pair, np.repeat(weight[hit], count) * self.weight[posted], len(words) * most).reshape(-1, most)
+        near = np.flatnonzero(dot.max(1) >= NEAR * least * (1 - 1e-9))
+        near = near[least[near] > 0]
+        if len(near):
+            found = dot[near] / _norms([words[k] for k in near])[:, None]
+            out[near] = np.where(found < NEAR, 0, found) ** SHARPEN
+        return out
 
 
 class Scorer:
-    """Scores of sentences under weights for the landmarks; words are scored once while they are kept."""
+    """Decision values of sentences under weights for the landmarks; words are scored once while they are kept."""
 
     def __init__(self, kernel: Kernel, weights: np.ndarray):
         self.kernel, self.weights, self.known = kernel, weights, {}
@@ -129,20 +157,34 @@ class Scorer:
         if len(self.known) + len(new) > CACHE:
             self.known = {}
             new = list(wanted)
-        for i in range(0, len(new), 5_000):
-            part = new[i : i + 5_000]
+        for i in range(0, len(new), 2_000):
+            part = new[i : i + 2_000]
             self.known.update(zip(part, (self.kernel(part) @ self.weights).tolist()))
         return self.known
 
-    def strongest(self, texts: list[str | None], most: int = 1) -> Iterator[list[tuple[float, list[str]]]]:
-        """For each text the sentences of the highest scores, and these; one without words of score 0
-        if there is none."""
-        for i in range(0, len(texts), TEXTS):
-            held = [sentences(t) for t in texts[i : i + TEXTS]]
-            score = self.words({w for found in held for s in found for w in s}).__getitem__
-            for found in held:
-                told = [(sum(map(score, s)), s) for s in found] or [(0.0, [])]
-                yield [max(told, key=lambda x: x[0])] if most == 1 else sorted(told, key=lambda x: -x[0])[:most]
+    def sentences(self, texts: Iterable[str | None]) -> Iterator[list[tuple[float, list[str]]]]:
+        """For each text its sentences and their decision values, in order."""
+        held, chars = [], 0
+        for text in texts:
+            held.append(sentences(text))
+            chars += len(text or "")
+            if chars >= CHARS:
+                yield from self._told(held)
+                held, chars = [], 0
+        yield from self._told(held)
+
+    def _told(self, held: list[list[list[str]]]) -> Iterator[list[tuple[float, list[str]]]]:
+        score = self.words({w for found in held for s in found for w in s}).__getitem__
+        for found in held:
+            yield [(sum(map(score, s)), s) for s in found]
+
+
+def features(told: list[tuple[float, list[str]]]) -> tuple[float, float, float, float]:
+    """What a document's probability follows from: the highest decision value of a sentence, the logarithm of
+    the sum of positive ones, that of the number of words, and the sum to a number of words."""
+    words = sum(len(s) for _, s in told)
+    total = sum(v for v, _ in told if v > 0)
+    return max([v for v, _ in told], default=0.0), math.log1p(total), math.log1p(words), total / (words + 20) * 20
 
 
 def _fit_svm(x: np.ndarray, y: np.ndarray, cost: float) -> tuple[np.ndarray, float]:
@@ -161,32 +203,64 @@ def _fit_svm(x: np.ndarray, y: np.ndarray, cost: float) -> tuple[np.ndarray, flo
     return w[:-1], w[-1]
 
 
-def _fit_sigmoid(f: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Platt's probabilities 1 / (1 + exp(-(a * f + b))), by Newton steps; smoothed labels."""
+def _fit_logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Weights and, last, the constant of a logistic regression (Platt's smoothed labels), by Newton steps.
+
+    The classes weigh the same, so that a probability of one half is the line between them."""
     t = np.where(y > 0, ((y > 0).sum() + 1) / ((y > 0).sum() + 2), 1 / ((y <= 0).sum() + 2))
-    z = np.stack([f, np.ones_like(f)], 1)
-    w = np.array([1.0, 0.0])
-    for _ in range(100):
+    z = np.hstack([x, np.ones((len(x), 1))])
+    share = np.where(y > 0, len(y) / (2 * max(1, (y > 0).sum())), len(y) / (2 * max(1, (y <= 0).sum())))
+    ridge = 1e-2 * np.eye(z.shape[1])
+    w = np.zeros(z.shape[1])
+    for _ in range(200):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + 1e-6 * np.eye(2), z.T @ (t - p) - 1e-6 * w)
+        step = np.linalg.solve((z * (share * p * (1 - p))[:, None]).T @ z + ridge, z.T @ (share * (t - p)) - ridge @ w)
         w += np.clip(step, -2, 2)
         if abs(step).max() < 1e-9:
             break
-    return float(w[0]), float(w[1])
+    return w
+
+
+def _gain(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int) -> np.ndarray:
+    """Signed likelihood ratio: how far a rate in toxic sentences is above that in others (0: not above)."""
+    rate = (toxic + clean) / (n_toxic + n_clean)
+    gain = toxic * np.log((toxic + 0.5) / (rate * n_toxic + 0.5)) + clean * np.log((clean + 0.5) / (rate * n_clean + 0.5))
+    return np.where(toxic * n_clean > clean * n_toxic, gain, 0.0)
+
+
+def choose_landmarks(words: list[str], toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int, most: int = LANDMARKS) -> list[str]:
+    """The words whose kernel neighbourhoods tell most about the labels, each after what those before explain."""
+    told = np.unique(_features(words)[0]) if words else np.zeros(0, int)
+    words, toxic, clean = [words[k] for k in told], toxic[told].astype(float), clean[told].astype(float)
+    if not words:
+        return []
+    near = np.zeros((len(words), len(words)), np.float32)
+    for i in range(0, len(words), 500):
+        near[:, i : i + 500] = Kernel(words[i : i + 500])(words)
+    out: list[int] = []
+    while len(out) < most:
+        gain = _gain(near @ toxic, near @ clean, n_toxic, n_clean)
+        gain[out] = 0
+        best = int(gain.argmax())
+        if gain[best] < GAIN_LEAST:
+            break
+        out.append(best)
+        toxic *= 1 - near[best]
+        clean *= 1 - near[best]
+    return [words[k] for k in out]
 
 
 def learn(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", id_col: str = "doc_id", train_docs: int = TRAIN_DOCS):
-    """(landmarks, weight of each landmark's kernel, a, b): what score() needs.
+    """(landmarks, weight of each landmark's kernel, weights of the document's features): what score() needs.
 
     About train_docs rows with a label and a text are learned from, chosen by a hash of their id.
-    With no row of either class the model gives every text the score 0.
+    With no row of either class the model gives every text a score near 0.
     """
     spark = labelled.sparkSession
     rows = labelled.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("toxic"))
-    share = min(1.0, train_docs / max(1, rows.count()))
-    sample = rows.where(F.pmod(F.xxhash64("id", F.lit(6)), F.lit(10**6)) < share * 10**6).select("text", "toxic")
     scratch = Scratch(spark)
-    sample = scratch.save(sample)
+    share = min(1.0, train_docs / max(1, rows.count()))
+    sample = scratch.save(rows.where(F.pmod(F.xxhash64("id", F.lit(6)), F.lit(10**6)) < share * 10**6).select("text", "toxic").repartition(spark.sparkContext.defaultParallelism))
 
     # a sentence is one example however many documents share it, and clean if any of these is
     def told(frames):
@@ -208,50 +282,60 @@ def learn(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic",
 
     distinct = scratch.save(sample.mapInPandas(told, "sentence string, toxic int").groupBy("sentence").agg(F.min("toxic").alias("toxic")))
     n = {bool(r.toxic): r["count"] for r in distinct.groupBy("toxic").count().collect()}
+    none = [], np.zeros(0), np.array([0.0, 0.0, 0.0, 0.0, -30.0])
     if len(n) < 2:
-        return [], np.zeros(0), 0.0, -30.0
-    words = distinct.mapInPandas(counted, "word string, clean long, toxic long").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).where("length(word) > 2")
-    words = scratch.save(words)
-    # signed likelihood ratio: how far the word's rate in toxic texts is above that in others
+        scratch.drop(sample, distinct)
+        return none
+    words = distinct.mapInPandas(counted, "word string, clean long, toxic long").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).where("length(word) > 2 and toxic > 0")
     rate = (F.col("clean") + F.col("toxic")) / (n[True] + n[False])
     gain = F.col("toxic") * F.log((F.col("toxic") + 0.5) / (rate * n[True] + 0.5)) + F.col("clean") * F.log((F.col("clean") + 0.5) / (rate * n[False] + 0.5))
     gain = F.when(F.col("toxic") * n[False] > F.col("clean") * n[True], gain).otherwise(0.0)
-    best = words.withColumn("gain", gain).orderBy(F.desc("gain"), "word").limit(LANDMARKS).select("word", "gain").toPandas()
-    top = best[best["gain"] >= max(GAIN_LEAST, GAIN_SHARE * best["gain"].max())]["word"].tolist()
-    landmarks = [w for w in top if len(_features([w])[0])]
+    best = words.withColumn("gain", gain).orderBy(F.desc("gain"), "word").limit(CANDIDATES).select("word", "clean", "toxic").toPandas()
+    landmarks = choose_landmarks(best["word"].tolist(), best["toxic"].to_numpy(), best["clean"].to_numpy(), n[True], n[False])
     if not landmarks:
-        return [], np.zeros(0), 0.0, -30.0
+        scratch.drop(sample, distinct)
+        return none
     kernel = Kernel(landmarks)
-    values, vectors = np.linalg.eigh(kernel(landmarks))
+    given = spark.sparkContext.broadcast(kernel)
+
+    # of each labelled sentence only its kernels with the landmarks, where it has any, and the number of words
+    def kernels(frames):
+        scorer = Scorer(given.value, np.ones(len(given.value.landmarks)))
+        for f in frames:
+            out, rows = [], {}
+            for toxic, found in zip(f["toxic"], scorer.sentences(f["text"])):
+                close = [s for v, s in sorted((x for x in found if x[0] > 0), key=lambda x: -x[0])]
+                near = sorted({w for s in close for w in s if w not in rows and scorer.words({w})[w] > 0})
+                rows.update(zip(near, given.value(near)))
+                k = [sum(rows[w] for w in s if w in rows).tolist() for s in close]
+                out.append((int(toxic > 0), sum(len(s) for _, s in found), len(found) > len(close), k))
+            yield pd.DataFrame(out, columns=["toxic", "words", "other", "k"])
+
+    held = sample.mapInPandas(kernels, "toxic int, words long, other boolean, k array<array<double>>").toPandas()
+    given.destroy()
+    scratch.drop(sample, distinct)
+    weights = fit_sentences(kernel, held)
+    x = []
+    for words_in, other, k in zip(held["words"], held["other"], held["k"]):
+        value = [float(np.dot(row, weights)) for row in k] + [0.0] * bool(other)
+        total = sum(v for v in value if v > 0)
+        x.append((max(value, default=0.0), math.log1p(total), math.log1p(words_in), total / (words_in + 20) * 20))
+    return landmarks, weights, _fit_logistic(np.array(x), held["toxic"].to_numpy())
+
+
+def fit_sentences(kernel: Kernel, held: pd.DataFrame) -> np.ndarray:
+    """Weights of the landmarks' kernels, by a support vector machine on the Nyström features of sentences."""
+    values, vectors = np.linalg.eigh(kernel(kernel.landmarks))
     root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-3))) @ vectors.T
-    weights = np.ones(len(landmarks))
-    for last in (False, True):
-        given = spark.sparkContext.broadcast((kernel, weights))
-
-        def witnesses(frames):
-            kernel, weights = given.value
-            scorer = Scorer(kernel, weights)
-            for f in frames:
-                out = []
-                for toxic, found in zip(f["toxic"], scorer.strongest(f["text"].tolist(), WITNESSES)):
-                    for rank, (value, s) in enumerate(found if toxic > 0 else found[:1]):
-                        out.append(((kernel(s).sum(0) if s else np.zeros(len(kernel.landmarks))).tolist(), int(toxic > 0), rank, value))
-                yield pd.DataFrame(out, columns=["k", "toxic", "rank", "value"])
-
-        held = sample.mapInPandas(witnesses, "k array<double>, toxic int, rank int, value double").toPandas()
-        x, y, value = np.stack(held["k"].tolist()), held["toxic"].to_numpy(), held["value"].to_numpy()
-        if last:  # the probability is that of a document by its strongest sentence
-            first = held["rank"].to_numpy() == 0
-            return landmarks, weights, *_fit_sigmoid(x[first] @ weights, y[first])
-        # sentences of toxic documents that look like those of clean ones are no witnesses
-        kept = (y == 0) | (value > np.quantile(value[y == 0], QUIET))
-        w, _ = _fit_svm(x[kept] @ root, y[kept], COST)
-        weights = root @ w
-
-
-def score_batch(texts: list[str | None], scorer: Scorer, a: float, b: float) -> np.ndarray:
-    f = np.array([found[0][0] for found in scorer.strongest(texts)], float)
-    return 1 / (1 + np.exp(-np.clip(a * f + b, -30, 30)))
+    rows = [(row, toxic) for toxic, k in zip(held["toxic"], held["k"]) for row in list(k)[: WITNESSES if toxic else None]]
+    rows += [(np.zeros(len(kernel.landmarks)), 0)] * int(((held["toxic"] == 0) & held["other"]).sum())
+    x, y = np.stack([r for r, _ in rows]), np.array([t for _, t in rows])
+    return root @ _fit_svm(x @ root, y, COST)[0]
+
+
+def score_batch(texts: Iterable[str | None], scorer: Scorer, document: np.ndarray) -> np.ndarray:
+    x = np.array([features(told) for told in scorer.sentences(texts)], float).reshape(-1, 4)
+    return 1 / (1 + np.exp(-np.clip(x @ document[:-1] + document[-1], -30, 30)))
 
 
 def _scorer(model) -> Scorer:
@@ -259,30 +343,30 @@ def _scorer(model) -> Scorer:
 
 
 def score(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and score (0 to 1) of every row: that of the text's strongest sentence.
+    """doc_id and score (0 to 1) of every row.
 
-    Null, empty and wordless texts get the score of a sentence without any toxic word. Repeated rows
+    Null, empty and wordless texts get the score of a text without any toxic word. Repeated rows
     get equal scores, one each; other columns are ignored, whatever their names.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    given = docs.sparkSession.sparkContext.broadcast(model)
 
     def rows(batches):
-        scorer, (_, _, a, b) = _scorer(given.value), given.value
+        scorer = _scorer(model)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score_batch(batch.column(1).to_pylist(), scorer, a, b))], names=["doc_id", "score"])
+            texts = (x.as_py() for x in batch.column(1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score_batch(texts, scorer, model[2]))], names=["doc_id", "score"])
 
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(rows, f"doc_id {kind}, score double")
 
 
 def without_toxic(docs: DataFrame, model, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """The rows of docs with a score below the threshold, whole and in one pass."""
-    given = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 
     def rows(batches):
-        scorer, (_, _, a, b) = _scorer(given.value), given.value
+        scorer = _scorer(model)
         for batch in batches:
-            yield batch.filter(pa.array(score_batch(batch.column(at).to_pylist(), scorer, a, b) < threshold))
+            texts = (x.as_py() for x in batch.column(at))
+            yield batch.filter(pa.array(score_batch(texts, scorer, model[2]) < threshold))
 
     return docs.mapInArrow(rows, docs.schema)
