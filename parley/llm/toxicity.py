@@ -235,8 +235,8 @@ def choose_landmarks(words: list[str], toxic: np.ndarray, clean: np.ndarray, n_t
     if not words:
         return []
     near = np.zeros((len(words), len(words)), np.float32)
-    for i in range(0, len(words), 500):
-        near[:, i : i + 500] = Kernel(words[i : i + 500])(words)
+    for i in range(0, len(words), 100):
+        near[:, i : i + 100] = Kernel(words[i : i + 100])(words)
     out: list[int] = []
     while len(out) < most:
         gain = _gain(near @ toxic, near @ clean, n_toxic, n_clean)
@@ -298,39 +298,53 @@ def learn(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic",
     kernel = Kernel(landmarks)
     given = spark.sparkContext.broadcast(kernel)
 
-    # of each labelled sentence only its kernels with the landmarks, where it has any, and the number of words
-    def kernels(frames):
-        scorer = Scorer(given.value, np.ones(len(given.value.landmarks)))
-        for f in frames:
-            out, rows = [], {}
-            for toxic, found in zip(f["toxic"], scorer.sentences(f["text"])):
+    # of the labelled sentences only their kernels that are not 0 come to the driver, and of each document a row
+    # (landmark -1) with its number of words and, as its sentence, whether it has other sentences too
+    def kernels(batches):
+        kernel = given.value
+        scorer = Scorer(kernel, np.ones(len(kernel.landmarks)))
+        for batch in batches:
+            rows, near, toxic = [], {}, batch.column(1).to_pylist()
+            for doc, found in enumerate(scorer.sentences(x.as_py() for x in batch.column(0))):
                 close = [s for v, s in sorted((x for x in found if x[0] > 0), key=lambda x: -x[0])]
-                near = sorted({w for s in close for w in s if w not in rows and scorer.words({w})[w] > 0})
-                rows.update(zip(near, given.value(near)))
-                k = [sum(rows[w] for w in s if w in rows).tolist() for s in close]
-                out.append((int(toxic > 0), sum(len(s) for _, s in found), len(found) > len(close), k))
-            yield pd.DataFrame(out, columns=["toxic", "words", "other", "k"])
-
-    held = sample.mapInPandas(kernels, "toxic int, words long, other boolean, k array<array<double>>").toPandas()
+                new = sorted({w for s in close for w in s if w not in near and scorer.words({w})[w] > 0})
+                near.update(zip(new, kernel(new)))
+                rows.append((doc, toxic[doc], int(len(found) > len(close)), -1, sum(len(s) for _, s in found)))
+                for i, s in enumerate(close):
+                    k = sum(near[w] for w in s if w in near)
+                    rows += [(doc, toxic[doc], i, at, k[at]) for at in np.flatnonzero(k)]
+            told = np.array(rows, float).reshape(-1, 5)
+            yield pa.RecordBatch.from_arrays([pa.array(told[:, i].astype(t)) for i, t in enumerate((np.int32, np.int32, np.int32, np.int32, np.float32))], names=["doc", "toxic", "sentence", "landmark", "value"])
+
+    held = sample.mapInArrow(kernels, "doc int, toxic int, sentence int, landmark int, value float").toArrow()
     given.destroy()
     scratch.drop(sample, distinct)
-    weights = fit_sentences(kernel, held)
-    x = []
-    for words_in, other, k in zip(held["words"], held["other"], held["k"]):
-        value = [float(np.dot(row, weights)) for row in k] + [0.0] * bool(other)
-        total = sum(v for v in value if v > 0)
-        x.append((max(value, default=0.0), math.log1p(total), math.log1p(words_in), total / (words_in + 20) * 20))
-    return landmarks, weights, _fit_logistic(np.array(x), held["toxic"].to_numpy())
+    return landmarks, *fit(kernel, *(held[c].to_numpy() for c in ("toxic", "sentence", "landmark", "value")))
 
 
-def fit_sentences(kernel: Kernel, held: pd.DataFrame) -> np.ndarray:
-    """Weights of the landmarks' kernels, by a support vector machine on the Nyström features of sentences."""
+def fit(kernel: Kernel, toxic: np.ndarray, sentence: np.ndarray, landmark: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of the landmarks' kernels, by a support vector machine on the Nyström features of sentences, and
+    weights of the document's features. A document's rows stand together, its own one (landmark -1) first."""
+    size = len(kernel.landmarks)
     values, vectors = np.linalg.eigh(kernel(kernel.landmarks))
     root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-3))) @ vectors.T
-    rows = [(row, toxic) for toxic, k in zip(held["toxic"], held["k"]) for row in list(k)[: WITNESSES if toxic else None]]
-    rows += [(np.zeros(len(kernel.landmarks)), 0)] * int(((held["toxic"] == 0) & held["other"]).sum())
-    x, y = np.stack([r for r, _ in rows]), np.array([t for _, t in rows])
-    return root @ _fit_svm(x @ root, y, COST)[0]
+    own = landmark < 0
+    doc = np.cumsum(own) - 1
+    entry = ~own
+    keys, of = np.unique(doc[entry].astype(np.int64) << 32 | sentence[entry], return_inverse=True)
+    near = np.zeros((len(keys), size), np.float32)
+    near[of, landmark[entry]] = value[entry]
+    at, label = keys >> 32, toxic[own] > 0
+    kept = ~label[at] | ((keys & 0xFFFFFFFF) < WITNESSES)
+    other = np.flatnonzero(~label & (sentence[own] > 0))  # sentences of clean documents without a near word
+    x, y = np.vstack([near[kept] @ root, np.zeros((len(other), size))]), np.append(label[at[kept]], np.zeros(len(other), bool))
+    weights = root @ _fit_svm(x, y, COST)[0]
+    told = near @ weights
+    words, best, total = value[own].astype(float), np.where(sentence[own] > 0, 0.0, -np.inf), np.zeros(own.sum())
+    np.maximum.at(best, at, told)
+    np.add.at(total, at, np.maximum(told, 0))
+    best[np.isinf(best)] = 0
+    return weights, _fit_logistic(np.stack([best, np.log1p(total), np.log1p(words), total / (words + 20) * 20], 1), label)
 
 
 def score_batch(texts: Iterable[str | None], scorer: Scorer, document: np.ndarray) -> np.ndarray:
