@@ -37,8 +37,8 @@ LANDMARKS, CANDIDATES = 128, 1_500
 #: The log-likelihood gain that a landmark's neighbourhood must have.
 GAIN_LEAST = 10.0
 DECAY, SPAN, SHARPEN, NEAR = 0.9, 7, 4, 0.45
-#: Sentences of a toxic document that the machine learns from, at most, and its cost of an error.
-WITNESSES, COST = 20, 10.0
+#: Sentences of a document that the machine learns from, those nearest to landmarks, and its cost of an error.
+WITNESSES, COST = 5, 10.0
 #: Words whose scores a task keeps at once; more are scored again.
 CACHE = 200_000
 #: Characters of texts whose words are scored together; a longer text stands alone.
@@ -189,14 +189,20 @@ def features(told: list[tuple[float, list[str]]]) -> tuple[float, float, float,
 
 def _fit_svm(x: np.ndarray, y: np.ndarray, cost: float) -> tuple[np.ndarray, float]:
     """A linear support vector machine with squared hinge loss, by Newton steps on its active set."""
-    z = np.hstack([x, np.ones((len(x), 1))])
+    z = np.hstack([x, np.ones((len(x), 1), x.dtype)])
     s = np.where(y > 0, 1.0, -1.0)
     c = cost * np.where(y > 0, len(y) / (2 * max(1, (y > 0).sum())), len(y) / (2 * max(1, (y <= 0).sum())))
     ridge = np.diag([1.0] * x.shape[1] + [1e-6])
     w = np.zeros(z.shape[1])
     for _ in range(50):
-        on = s * (z @ w) < 1
-        new = np.linalg.solve(ridge + (z[on] * c[on, None]).T @ z[on], (z[on] * c[on, None]).T @ s[on])
+        left, right = ridge.copy(), np.zeros(len(w))
+        for i in range(0, len(z), 10_000):  # a part at a time bounds the memory
+            part = z[i : i + 10_000].astype(float)
+            on = s[i : i + 10_000] * (part @ w) < 1
+            part, cost_on = part[on], c[i : i + 10_000][on]
+            left += (part * cost_on[:, None]).T @ part
+            right += part.T @ (cost_on * s[i : i + 10_000][on])
+        new = np.linalg.solve(left, right)
         if np.allclose(new, w, atol=1e-9):
             break
         w = 0.5 * w + 0.5 * new if _ > 20 else new
@@ -329,17 +335,20 @@ def fit(kernel: Kernel, toxic: np.ndarray, sentence: np.ndarray, landmark: np.nd
     values, vectors = np.linalg.eigh(kernel(kernel.landmarks))
     root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-3))) @ vectors.T
     own = landmark < 0
-    doc = np.cumsum(own) - 1
-    entry = ~own
-    keys, of = np.unique(doc[entry].astype(np.int64) << 32 | sentence[entry], return_inverse=True)
-    near = np.zeros((len(keys), size), np.float32)
-    near[of, landmark[entry]] = value[entry]
+    doc = np.cumsum(own, dtype=np.int64) - 1
+    entry = np.flatnonzero(~own)
+    keys, of = np.unique(doc[entry] << 32 | sentence[entry], return_inverse=True)
     at, label = keys >> 32, toxic[own] > 0
-    kept = ~label[at] | ((keys & 0xFFFFFFFF) < WITNESSES)
-    other = np.flatnonzero(~label & (sentence[own] > 0))  # sentences of clean documents without a near word
-    x, y = np.vstack([near[kept] @ root, np.zeros((len(other), size))]), np.append(label[at[kept]], np.zeros(len(other), bool))
-    weights = root @ _fit_svm(x, y, COST)[0]
-    told = near @ weights
+    first = np.flatnonzero((keys & 0xFFFFFFFF) < WITNESSES)  # sentences come strongest first
+    place = np.full(len(keys), -1)
+    place[first] = np.arange(len(first))
+    shown = place[of] >= 0
+    near = np.zeros((len(first), size), np.float32)
+    near[place[of[shown]], landmark[entry[shown]]] = value[entry[shown]]
+    other = int((~label & (sentence[own] > 0)).sum())  # clean documents with sentences without a near word
+    x = np.vstack([near @ root.astype(np.float32), np.zeros((other, size), np.float32)])
+    weights = root @ _fit_svm(x, np.append(label[at[first]], np.zeros(other, bool)), COST)[0]
+    told = np.bincount(of, value[entry] * weights[landmark[entry]], len(keys))
     words, best, total = value[own].astype(float), np.where(sentence[own] > 0, 0.0, -np.inf), np.zeros(own.sum())
     np.maximum.at(best, at, told)
     np.add.at(total, at, np.maximum(told, 0))
