@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Patterns of what speech models invent over silence, as the reference has them.
 INVENTED = (
@@ -22,8 +26,8 @@ def word_count(text: Column) -> Column:
 
 
 def sentence_count(text: Column) -> Column:
-    """Runs of text that end in . ! or ?, or at the end."""
-    return F.regexp_count(text, F.lit(r"[^.!?]+[.!?]*"))
+    """Pieces of a text cut at white space behind . ! ? , or a line break."""
+    return F.size(F.split(text, r"(?<=[.!?,\n])\s+"))
 
 
 def invented(text: Column) -> Column:
@@ -33,15 +37,120 @@ def invented(text: Column) -> Column:
 
 
 def clock(seconds: Column) -> Column:
-    """mm:ss of whole seconds; minutes may pass 99."""
-    s = F.floor(seconds)
-    return F.concat(F.lpad((s / 60).cast("bigint").cast("string"), 2, "0"), F.lit(":"), F.lpad((s % 60).cast("string"), 2, "0"))
+    """m:ss of whole seconds; null, NaN, infinite and negative ones are 0:00."""
+    good = F.when(seconds.isNotNull() & ~F.isnan(seconds) & (seconds >= 0) & (seconds < float("inf")), seconds).otherwise(0.0)
+    s = F.floor(good).cast("bigint")
+    return F.concat(F.floor(s / 60).cast("string"), F.lit(":"), F.lpad((s % 60).cast("string"), 2, "0"))
+
+
+#: Settings whose values are secrets.
+SECRETS = ("nvidia_api_key", "llm_api_key", "soniox_api_key")
+
+
+def masked(key: Column, value: Column) -> Column:
+    """Of a secret setting of 8 characters or more the first and last four; other values stay."""
+    hidden = F.concat(F.left(value, F.lit(4)), F.lit("***"), F.right(value, F.lit(4)))
+    return F.when(key.isin(*SECRETS) & (F.length(value) >= 8), hidden).otherwise(value)
+
+
+@F.pandas_udf(StringType())
+def nfc(text: pd.Series) -> pd.Series:
+    """Unicode normal form C, which Spark has no function for."""
+    return text.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFC", t))
+
+
+def upload_name(name: Column) -> Column:
+    """A file name in normal form C, reserved and control characters as _, without dots, spaces and tabs at its
+    ends; of more than 200 characters the stem is cut. Never empty."""
+    clean = F.btrim(F.regexp_replace(nfc(name), r'[<>:"/\\\\|?*\x00-\x1f]', "_"), F.lit(". \t"))
+    suffix = F.left(F.regexp_extract(clean, r"(?s)^.*(\..*)$", 1), F.lit(20))
+    stem = F.regexp_replace(clean, r"(?s)\.[^.]*$", "")
+    short = F.when(F.length(clean) > 200, F.concat(F.left(stem, F.lit(200) - F.length(suffix)), suffix)).otherwise(clean)
+    return F.coalesce(F.nullif(short, F.lit("")), F.lit("upload.bin"))
+
+
+def attachment_name(name: Column) -> Column:
+    """The last component of a path, in normal form C, without control characters, 200 at most. Never empty."""
+    last = F.btrim(F.regexp_replace(F.regexp_replace(F.coalesce(name, F.lit("untitled")), "/+$", ""), "(?s)^.*/", ""))
+    clean = F.regexp_replace(nfc(last), r"[\p{Cc}\p{Cf}\p{Cn}\p{Co}\p{Zl}\p{Zp}]|[\p{Zs}&&[^ ]]", "")
+    return F.left(F.coalesce(F.nullif(clean, F.lit("")), F.lit("untitled")), F.lit(200))
+
+
+def title_name(title: Column, fallback: Column) -> Column:
+    """A title as the base of a file name."""
+    clean = F.regexp_replace(F.coalesce(F.nullif(title, F.lit("")), fallback), r'[\\\\/:*?"<>|]+', "-")
+    return F.coalesce(F.nullif(F.btrim(F.regexp_replace(clean, r"\s+", " ")), F.lit("")), fallback)
+
+
+def suffix(name: Column) -> Column:
+    """The lower-case suffix of a file name, with its dot; empty if there is none."""
+    return F.lower(F.regexp_extract(name, r"(?s)[^/.][^/]*(\.[^./]+)$", 1))
+
+
+def duration(seconds: Column) -> Column:
+    s = F.floor(seconds).cast("bigint")
+    return F.concat(F.floor(s / 60).cast("string"), F.lit("m "), (s % 60).cast("string"), F.lit("s"))
+
+
+def seconds_string(ms: Column) -> Column:
+    """Milliseconds as seconds with two decimals; null is 0."""
+    return F.coalesce(F.format_string("%.2f", ms / 1000.0), F.lit("0"))
+
+
+def sentence_case(text: Column) -> Column:
+    """The first word of each sentence with a capital, all others in lower case; words of 2 to 5 capitals stay."""
+    capitals = lambda w: (F.upper(w) == w) & (F.lower(w) != w) & F.length(w).between(2, 5)
+    first = lambda w: F.concat(F.upper(F.left(w, F.lit(1))), F.lower(F.substring(w, F.lit(2), F.length(w))))
+    word = lambda w, i: F.when(capitals(w), w).when(i == 0, first(w)).otherwise(F.lower(w))
+    words = lambda s: F.filter(F.split(s, r"\s+"), lambda w: w != "")
+    told = F.transform(F.split(text, r"(?<=[.!?])\s+"), lambda s: F.array_join(F.transform(words(s), word), " "))
+    return F.array_join(F.filter(told, lambda s: s != ""), " ")
+
+
+def truncated(text: Column, source: Column) -> Column:
+    """A translation much longer than its source, cut behind the last sentence that ends in the second half of the
+    length allowed (1.8 times the source's), or there."""
+    most = F.floor(F.length(source) * F.lit(1.8)).cast("int")
+    cut = F.left(text, most)
+    ends = [F.length(cut) - F.locate(mark[::-1], F.reverse(cut)) - 1 for mark in (". ", ".\n", "! ", "? ")]
+    found = [(F.locate(mark, cut) > 0) & (end > most * 0.5) for mark, end in zip((". ", ".\n", "! ", "? "), ends)]
+    chosen = F.when(found[0], ends[0]).when(found[1], ends[1]).when(found[2], ends[2]).when(found[3], ends[3])
+    return F.when((F.length(text) > most) & (most > 20), F.btrim(F.coalesce(F.left(cut, chosen + 1), cut), F.lit(BLANK))).otherwise(text)
+
+
+def wordless(text: Column) -> Column:
+    """Has a text nothing but punctuation and white space?"""
+    return F.btrim(F.regexp_replace(text, r"(?U)[^\w\s]", "")) == ""
+
+
+def minutes_title(summary: Column) -> Column:
+    """The title that minutes state: their first heading of level one, else of level two, a title line, bold text
+    at the beginning, or the first line that is no list item; without emoji before it, 160 characters at most."""
+    lines = F.filter(F.transform(F.split(summary, "\n"), lambda x: F.btrim(x)), lambda x: x != "")
+    first = lambda ok: F.get(F.filter(lines, ok), F.lit(0))
+    emoji = r"^[\x{1F000}-\x{1FAFF}\x{2600}-\x{27BF}\x{2B00}-\x{2BFF}\x{2300}-\x{23FF}\x{FE0F}\s]+"
+    plain = lambda line, head: F.nullif(F.left(F.btrim(F.regexp_replace(F.regexp_replace(line, head, ""), emoji, "")), F.lit(160)), F.lit(""))
+    named = r"(?iu)^(tiêu đề|tieu de|title)\s*[:\-]\s*"
+    bold = F.nullif(F.left(F.btrim(F.regexp_extract(F.get(lines, F.lit(0)), r"^\*\*(.+?)\*\*", 1)), F.lit(160)), F.lit(""))
+    content = first(lambda x: ~x.rlike(r"^[-*]\s+") & ~x.rlike(r"^\d+\.\s+") & (F.length(x) > 3))
+    return F.coalesce(plain(first(lambda x: x.rlike(r"^#\s+")), r"^#\s+"), plain(first(lambda x: x.rlike(r"^##\s+")), r"^##\s+"), plain(first(lambda x: x.rlike(named)), named), bold, plain(content, emoji))
+
+
+#: Voices at or below and at or above these pitches (Hz), and what sets two voices apart.
+MALE, FEMALE, APART, SOFT, SOFT_MOST = 145.0, 165.0, 25.0, 0.003, 0.06
+
+
+def pitch_zone(f0: Column) -> Column:
+    return F.when(f0.isNull(), "unknown").when(f0 <= MALE, "male").when(f0 >= FEMALE, "female").otherwise("neutral")
 
 
-def masked(secret: Column) -> Column:
-    """A secret with its first and last four characters, or stars alone if it has eight at most."""
-    return F.when(F.length(secret) <= 8, F.lit("****")).otherwise(F.concat(F.left(secret, F.lit(4)), F.lit("****"), F.right(secret, F.lit(4))))
+def cross_gender(a: Column, b: Column) -> Column:
+    """Are two voices of different definite zones and far enough apart?"""
+    x, y = pitch_zone(a), pitch_zone(b)
+    return F.coalesce(x.isin("male", "female") & y.isin("male", "female") & (x != y) & (F.abs(a - b) >= APART), F.lit(False))
 
 
-def safe_filename(name: Column) -> Column:
-    return F.trim(F.regexp_replace(F.regexp_replace(name, r"[^A-Za-z0-9._-]+", "_"), r"_{2,}", "_"))
+def soft_penalty(a: Column, b: Column) -> Column:
+    """What the similarity of two voices loses when just one of them is of the neutral zone."""
+    one = (pitch_zone(a) == "neutral") != (pitch_zone(b) == "neutral")
+    return F.when(a.isNotNull() & b.isNotNull() & one, F.least(F.abs(a - b) * SOFT, F.lit(SOFT_MOST))).otherwise(0.0)

@@ -70,3 +70,12 @@ def upsert(saved: DataFrame, new: DataFrame, keys: list[str], values: list[str],
 def last_written(writes: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
     """A key-value table from its writes: the last value of each key wins."""
     return writes.groupBy(key).agg(F.max_by(value, F.struct(*order)).alias(value))
+
+
+def apportioned(parts: DataFrame, key: str, order: str, start: float, stop: float) -> DataFrame:
+    """Every part with its equal share of the time from start to stop, in order; the last one ends at stop."""
+    i = F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1
+    n = F.count("*").over(Window.partitionBy(key))
+    told = parts.withColumn("i", i).withColumn("n", n)
+    at = lambda k: F.round(F.lit(start) + F.lit(stop - start) / F.col("n") * k, 4)
+    return told.withColumn("start", at(F.col("i"))).withColumn("stop", F.when(F.col("i") == F.col("n") - 1, F.lit(stop)).otherwise(at(F.col("i") + 1))).drop("i", "n")

@@ -47,29 +47,35 @@ def word_count(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", T.word_count(F.col("text")).alias("words"))
 
 
-@query("SELECT conv_id, turn, len(regexp_extract_all(text, '[^.!?]+[.!?]*')) AS sentences FROM conversations")
+@query(r"SELECT conv_id, turn, CAST(len(regexp_extract_all(text, '[.!?,]\s+|\n\s+')) + 1 AS INT) AS sentences FROM conversations")
 def sentence_count(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", T.sentence_count(F.col("text")).alias("sentences"))
 
 
-@query("SELECT conv_id, turn, role FROM conversations WHERE lower(text) LIKE '%the%' ORDER BY conv_id DESC, turn DESC LIMIT 50")
+@query("SELECT conv_id, turn, role FROM conversations WHERE lower(text) LIKE '%the%'")
 def title_search(spark, sf):
-    return table(spark, sf, "conversations").where(F.lower("text").like("%the%")).orderBy(F.desc("conv_id"), F.desc("turn")).limit(50).select("conv_id", "turn", "role")
+    """Every match of a case-insensitive search, newest first."""
+    return table(spark, sf, "conversations").where(F.lower("text").like("%the%")).orderBy(F.desc("conv_id"), F.desc("turn")).select("conv_id", "turn", "role")
 
 
 @query("SELECT conv_id, turn, role FROM conversations WHERE lower(text) LIKE '%the%'")
 def title_search_all(spark, sf):
-    """Every match, as the reference's search has them; title_search shows the last 50 only."""
+    """Every match, unordered."""
     return table(spark, sf, "conversations").where(F.lower("text").like("%the%")).select("conv_id", "turn", "role")
 
 
 POSITIVES = [(-1, "Thank you for watching!"), (-2, "..."), (-3, " , , "), (-4, "www.example.com"), (-5, "x"), (-6, "Please subscribe"), (-7, "kept text")]
 
 
-@query(
-    "WITH d AS (SELECT doc_id, text FROM documents UNION ALL SELECT * FROM (VALUES " + ", ".join(f"({i}, '{t}')" for i, t in POSITIVES) + ") v(doc_id, text)), p AS (SELECT doc_id, lower(trim(text)) AS t FROM d)"
-    " SELECT doc_id FROM p WHERE NOT (length(t) < 2 OR contains(t, 'thank you for watching') OR contains(t, 'please subscribe') OR contains(t, 'hit the bell') OR regexp_matches(t, '^[.,\\s]+$') OR regexp_matches(t, '^www\\.'))"
-)
+def _spoken(positives: list) -> str:
+    """The oracle of the filter of inventions over all documents and some texts more."""
+    return (
+        "WITH d AS (SELECT doc_id, text FROM documents UNION ALL SELECT * FROM (VALUES " + ", ".join(f"({i}, '{t}')" for i, t in positives) + ") v(doc_id, text))"
+        " SELECT doc_id FROM d WHERE NOT (length(trim(text)) <= 3 OR regexp_matches(trim(text), '" + "|".join(T.INVENTED).replace("'", "''").replace(r"\w", r"[\pL\pM\pN_]") + "', 'i'))"
+    )
+
+
+@query(_spoken(POSITIVES))
 def hallucination_filter(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text").union(spark.createDataFrame(POSITIVES, "doc_id long, text string"))
     return docs.where(~T.invented(F.col("text"))).select("doc_id")
@@ -83,10 +89,7 @@ ALL_POSITIVES = [(-100 - i, t) for i, t in enumerate((
 ))]
 
 
-@query(
-    "WITH d AS (SELECT doc_id, text FROM documents UNION ALL SELECT * FROM (VALUES " + ", ".join(f"({i}, '{t}')" for i, t in ALL_POSITIVES) + ") v(doc_id, text))"
-    " SELECT doc_id FROM d WHERE NOT (length(trim(text)) <= 3 OR regexp_matches(trim(text), '" + "|".join(T.INVENTED).replace("'", "''").replace(r"\w", r"[\pL\pM\pN_]") + "', 'i'))"
-)
+@query(_spoken(ALL_POSITIVES))
 def hallucination_filter_all(spark, sf):
     """The rule of hallucination_filter, with an oracle and positives for each of its patterns."""
     docs = table(spark, sf, "documents").select("doc_id", "text").union(spark.createDataFrame(ALL_POSITIVES, "doc_id long, text string"))
@@ -103,10 +106,11 @@ def pending_anti_join(spark, sf):
     return P.pending(table(spark, sf, "documents").select("doc_id"), table(spark, sf, "labels").select("doc_id"), "doc_id")
 
 
-@query("SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, coalesce(b.quality, a.quality) AS quality FROM (SELECT doc_id, quality FROM labels WHERE doc_id % 3 <> 0) a FULL JOIN (SELECT doc_id, 1 - quality AS quality FROM labels WHERE doc_id % 2 = 0) b ON a.doc_id = b.doc_id")
+@query("SELECT l.doc_id, CASE WHEN l.toxic = 1 THEN 1 - l.quality ELSE l.quality END AS quality FROM labels l")
 def merge_saved_new(spark, sf):
+    """All labels are saved; those of toxic documents come anew and win."""
     labels = table(spark, sf, "labels")
-    return P.merge_saved(labels.where("doc_id % 3 <> 0"), labels.where("doc_id % 2 = 0").select("doc_id", (1 - F.col("quality")).alias("quality")), "doc_id", "quality")
+    return P.merge_saved(labels, labels.where("toxic = 1").select("doc_id", (1 - F.col("quality")).alias("quality")), "doc_id", "quality")
 
 
 @query("SELECT d.doc_id, coalesce(l.quality, d.n_chars) AS value FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
@@ -141,7 +145,11 @@ def pairwise_cosine(spark, sf):
     return a.join(b, "label").where("a < b").select("a", "b", F.round(V.cosine(F.col("e_a"), F.col("e_b")), 5).alias("cosine"))
 
 
-@query()
+@query("""WITH l AS (SELECT label, generate_subscripts(embedding, 1) AS i, unnest(CAST(embedding AS DOUBLE[])) AS x FROM embeddings), m AS (SELECT label, i, avg(x) AS m FROM l GROUP BY 1, 2),
+h AS (SELECT label, list(m ORDER BY i) AS centroid FROM m GROUP BY label),
+s AS (SELECT vec_id, h.label, round(list_dot_product(CAST(embedding AS DOUBLE[]), centroid) / sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])) * list_dot_product(centroid, centroid)), 6) AS score FROM embeddings, h),
+r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, label) AS k FROM s)
+SELECT vec_id, max(label) FILTER (k = 1) AS label_1, round(max(score) FILTER (k = 1) - max(score) FILTER (k = 2), 6) AS gap FROM r GROUP BY vec_id""")
 def top2_gap(spark, sf):
     e = table(spark, sf, "embeddings")
     return V.top2(e.select("vec_id", "embedding"), "vec_id", "embedding", V.centroids(e, "label", "embedding"), "label")
@@ -180,9 +188,15 @@ def map_reduce_groups(spark, sf):
     return c.select("conv_id", "part", F.md5(F.array_join(F.transform("t", lambda x: x["text"]), "\n").cast("binary")).alias("digest"))
 
 
-@query("SELECT event_id, lpad(CAST(CAST(floor(value) AS BIGINT) // 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(CAST(floor(value) AS BIGINT) % 60 AS VARCHAR), 2, '0') AS clock FROM events WHERE value >= 0")
+#: Rows that show what becomes of odd times.
+TIMES = [(-1, "NaN"), (-2, "-5.5"), (-3, "59.99"), (-4, "60"), (-5, "6000.5"), (-6, "0")]
+GIVEN_TIMES = "(SELECT event_id, value FROM events UNION ALL SELECT * FROM (VALUES " + ", ".join(f"({i}, CAST('{v}' AS DOUBLE))" for i, v in TIMES) + ") v(event_id, value))"
+
+
+@query(f"WITH t AS (SELECT event_id, CASE WHEN isnan(value) OR isinf(value) OR value < 0 THEN 0 ELSE CAST(floor(value) AS BIGINT) END AS s FROM {GIVEN_TIMES}) SELECT event_id, CAST(s // 60 AS VARCHAR) || ':' || lpad(CAST(s % 60 AS VARCHAR), 2, '0') AS clock FROM t")
 def fmt_mmss(spark, sf):
-    return table(spark, sf, "events").where("value >= 0").select("event_id", T.clock(F.col("value")).alias("clock"))
+    times = spark.createDataFrame([(i, float(v)) for i, v in TIMES], "event_id long, value double")
+    return table(spark, sf, "events").select("event_id", "value").union(times).select("event_id", T.clock(F.col("value")).alias("clock"))
 
 
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
@@ -190,14 +204,25 @@ def json_props(spark, sf):
     return table(spark, sf, "events").select("event_id", F.get_json_object("props", "$.k").cast("bigint").alias("k"))
 
 
-@query("SELECT c_custkey, CASE WHEN length(c_name) <= 8 THEN '****' ELSE left(c_name, 4) || '****' || right(c_name, 4) END AS masked FROM customer")
+KEYS = ["nvidia_api_key", "llm_api_key", "soniox_api_key", "stt_language"]
+
+
+@query("WITH s AS (SELECT c_custkey, list_value(" + ", ".join(f"'{k}'" for k in KEYS) + ")[1 + c_custkey % 4] AS key, left(c_name, 4 + c_custkey % 15) AS value FROM customer) SELECT c_custkey, CASE WHEN key IN ('nvidia_api_key', 'llm_api_key', 'soniox_api_key') AND length(value) >= 8 THEN left(value, 4) || '***' || right(value, 4) ELSE value END AS masked FROM s")
 def mask_secret(spark, sf):
-    return table(spark, sf, "customer").select("c_custkey", T.masked(F.col("c_name")).alias("masked"))
+    """Settings under secret and other keys, with values of 4 to 18 characters."""
+    key = F.element_at(F.array(*map(F.lit, KEYS)), (F.col("c_custkey") % 4 + 1).cast("int"))
+    return table(spark, sf, "customer").select("c_custkey", T.masked(key, F.left("c_name", F.col("c_custkey").cast("int") % 15 + 4)).alias("masked"))
+
+
+#: Names that show what becomes of odd ones.
+ODD_NAMES = ["", ". \t.", "cafe\u0301.mp3", 'a<b>:"c|d?e*.wav', "x" * 250 + ".m4a", "y" * 300, "." + "z" * 220 + "." + "s" * 30]
+CLEAN = """regexp_replace(nfc_normalize(n), '[<>:"/\\\\|?*\\x00-\\x1f]', '_', 'g')"""
 
 
-@query("SELECT page_id, trim(regexp_replace(regexp_replace(url, '[^A-Za-z0-9._-]+', '_', 'g'), '_{2,}', '_', 'g')) AS name FROM pages")
+@query("WITH g AS (SELECT page_id, url AS n FROM pages UNION ALL SELECT * FROM (VALUES " + ", ".join(f"({-1 - i}, '{n}')" for i, n in enumerate(ODD_NAMES)) + f") v(page_id, n)), c AS (SELECT page_id, trim({CLEAN}, '. ' || chr(9)) AS c FROM g), p AS (SELECT page_id, c, left(regexp_extract(c, '^(?s:.)*(\\.[^.]*)$', 1), 20) AS x, regexp_replace(c, '\\.[^.]*$', '') AS stem FROM c) SELECT page_id, coalesce(nullif(CASE WHEN length(c) > 200 THEN left(stem, 200 - length(x)) || x ELSE c END, ''), 'upload.bin') AS name FROM p")
 def safe_filename(spark, sf):
-    return table(spark, sf, "pages").select("page_id", T.safe_filename(F.col("url")).alias("name"))
+    odd = spark.createDataFrame([(-1 - i, n) for i, n in enumerate(ODD_NAMES)], "page_id long, url string")
+    return table(spark, sf, "pages").select("page_id", "url").union(odd).select("page_id", T.upload_name(F.col("url")).alias("name"))
 
 
 @query("SELECT user_id, arg_max(event_type, (ts, event_id)) AS state, max(ts) AS ts FROM events GROUP BY user_id")
@@ -216,9 +241,10 @@ def session_30m(spark, sf):
     return jobs.sessions(table(spark, sf, "events")).select("user_id", F.col("w.start").cast("timestamp_ntz").alias("start"), "events")
 
 
-@query("SELECT conv_id, turn, round(600.0 * length(text) / sum(length(text)) OVER (PARTITION BY conv_id), 4) AS seconds FROM conversations")
+@query("WITH s AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations WHERE trim(text) <> '') SELECT conv_id, turn, round(30.0 + 600.0 / n * i, 4) AS start, CASE WHEN i = n - 1 THEN 630.0 ELSE round(30.0 + 600.0 / n * (i + 1), 4) END AS stop FROM s")
 def apportion_time(spark, sf):
-    return table(spark, sf, "conversations").select("conv_id", "turn", F.round(600.0 * F.length("text") / F.sum(F.length("text")).over(Window.partitionBy("conv_id")), 4).alias("seconds"))
+    """Segments that are not blank share the time from 30 to 630 seconds equally."""
+    return P.apportioned(table(spark, sf, "conversations").where(F.trim("text") != "").select("conv_id", "turn"), "conv_id", "turn", 30.0, 630.0)
 
 
 @query("SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n <= 5")
@@ -233,17 +259,17 @@ def star_pricing(spark, sf):
     return d.groupBy("l_returnflag", "l_linestatus").agg(F.round(F.sum("l_quantity"), 2).alias("sum_qty"), F.round(F.sum(F.expr("l_extendedprice * (1 - l_discount)")), 2).alias("sum_disc_price"), F.count("*").alias("count_order"))
 
 
-@query("SELECT conv_id, turn, text FROM conversations WHERE turn < 3 UNION ALL SELECT conv_id, turn, 'new ' || text FROM conversations WHERE turn >= 3 AND turn < 5")
+@query("SELECT conv_id, turn, CASE WHEN turn < 3 THEN text ELSE 'new ' || text END AS text FROM conversations")
 def insert_or_ignore(spark, sf):
     """Rows that are there stay as they are; only new keys are added."""
     c = table(spark, sf, "conversations").select("conv_id", "turn", "text")
-    return P.insert_new(c.where("turn < 3"), c.where("turn < 5").withColumn("text", F.concat(F.lit("new "), "text")), ["conv_id", "turn"])
+    return P.insert_new(c.where("turn < 3"), c.withColumn("text", F.concat(F.lit("new "), "text")), ["conv_id", "turn"])
 
 
-@query("SELECT conv_id, turn, CASE WHEN turn >= 2 AND turn < 5 THEN 'new ' || text ELSE text END AS text, CASE WHEN turn < 3 THEN length(text) ELSE 0 END AS end_ms FROM conversations WHERE turn < 5")
+@query("SELECT conv_id, turn, CASE WHEN turn >= 2 THEN 'new ' || text ELSE text END AS text, CASE WHEN turn < 3 THEN length(text) ELSE 0 END AS end_ms FROM conversations")
 def upsert_chunks(spark, sf):
     """A chunk's text is updated in place; a chunk without a plan gets bounds of 0."""
-    c = table(spark, sf, "conversations").where("turn < 5").select("conv_id", "turn", "text", F.length("text").cast("bigint").alias("end_ms"))
+    c = table(spark, sf, "conversations").select("conv_id", "turn", "text", F.length("text").cast("bigint").alias("end_ms"))
     return P.upsert(c.where("turn < 3"), c.where("turn >= 2").withColumn("text", F.concat(F.lit("new "), "text")), ["conv_id", "turn"], ["text"], {"end_ms": 0})
 
 
