@@ -128,20 +128,22 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
 
     # the leading shingles of one document a node; more than one only where an id repeats
     lead = rows.join(member.where("doc_id = node").select("doc_id").distinct(), "doc_id", "left_semi").where("size(lead) > 0")
-    lead = lead.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("size"), "firsts", "lead").withColumn("row", F.xxhash64("node", "size", "lead"))
+    lead = scratch.save(lead.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("size"), "firsts", "lead").withColumn("row", F.monotonically_increasing_id()))
+    scratch.drop(rows)
     prefix = F.col("size") - F.ceil(F.col("size") * percent / 100) + 1
     # a shingle of the sample that no other node has only takes a place: the shared ones stand behind these, by frequency
-    sampled = lead.select("node", "row", F.explode(F.slice("lead", F.lit(1), F.col("firsts"))).alias("gram"))
+    sampled = lead.select("row", F.explode(F.slice("lead", F.lit(1), F.col("firsts"))).alias("gram"))
     shared = sampled.withColumn("rows", F.count("*").over(Window.partitionBy("gram"))).where("rows > 1")
-    shared = shared.groupBy("node", "row").agg(F.sort_array(F.collect_list(F.struct("rows", F.xxhash64("gram").alias("h"), "gram"))).alias("shared"))
+    shared = shared.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("rows", "gram"))).alias("shared"))
     sized = lead.select("node", "row", "size", "firsts", prefix.alias("prefix"), F.expr("slice(lead, firsts + 1, size(lead))").alias("behind"))
-    placed = sized.join(shared, ["node", "row"], "left").withColumn("own", F.col("firsts") - F.coalesce(F.size("shared"), F.lit(0)))
+    placed = sized.join(shared, "row", "left").withColumn("own", F.col("firsts") - F.coalesce(F.size("shared"), F.lit(0)))
     early = placed.select("node", "size", "prefix", "own", F.posexplode("shared").alias("k", "s")).select("node", "size", "prefix", (F.col("own") + F.col("k")).alias("at"), "s.gram")
     late = placed.select("node", "size", "prefix", "firsts", F.posexplode("behind").alias("k", "gram")).select("node", "size", "prefix", (F.col("firsts") + F.col("k")).alias("at"), "gram")
     tokens = scratch.save(early.union(late).where("at < prefix").select("gram", "node", "size", F.col("at").cast("long").alias("at")))
-    scratch.drop(rows)
+    scratch.drop(lead)
     centre = tokens.groupBy("gram").agg(F.min(F.struct("at", F.xxhash64("node").alias("h"), "node", "size")).alias("c"), F.count("*").alias("rows")).where("rows > 1")
     groups = scratch.save(tokens.join(centre, "gram").select("gram", "node", "size", "at", F.col("c.node").alias("centre"), F.col("c.size").alias("centre_size"), F.col("c.at").alias("centre_at")))
+    scratch.drop(tokens)
 
     def room(size, at, other_size, other_at):
         """Enough shingles from the common one on, in both sets, for the needed overlap."""
@@ -150,7 +152,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
 
     first = scratch.save(groups.where((F.col("node") != F.col("centre")) & room("size", "at", "centre_size", "centre_at")).select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct())
     fronts = scratch.save(_fronts(texts, scratch.save(groups.select(F.col("node").alias("doc_id")).distinct()), n, percent, given))
-    links = scratch.save(_verified(texts, first, fronts, n, percent, scratch))
+    links = _verified(texts, first, fronts, n, percent, scratch)
     known = scratch.save(components(links, scratch))
 
     # what is left: pairs of different components under a common prefix shingle
@@ -167,7 +169,9 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     )
     told = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = scratch.save(rest.join(told, ["a", "b"], "left_anti"))
-    more = links.unionByName(scratch.save(_verified(texts, rest, fronts, n, percent, scratch)))
+    scratch.drop(groups, open_rows, first)
+    more = links.unionByName(_verified(texts, rest, fronts, n, percent, scratch))
+    scratch.drop(fronts, rest)
     if kind != "string":
         same = member.where("doc_id <> node").groupBy("doc_id").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
         more = more.union(same.select("low", "high"))
@@ -262,7 +266,9 @@ def _verified(texts: DataFrame, pairs: DataFrame, fronts: DataFrame, n: int, per
     kind = texts.schema[0].dataType.simpleString()
     ids = _few(scratch.save(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()))
     whole = scratch.save(texts.join(ids, "doc_id", "left_semi").mapInArrow(sets, f"id {kind}, grams binary"))
-    return _met(pairs, whole).mapInArrow(compare, f"a {kind}, b {kind}")
+    found = scratch.save(_met(pairs, whole).mapInArrow(compare, f"a {kind}, b {kind}"))
+    scratch.drop(pairs, whole)
+    return found
 
 
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -22,7 +22,7 @@ TRAIN_DOCS = 5_000
 BUCKETS, SMOOTHING = 1 << 16, 0.5
 #: Rounds of expectation-maximisation, penalty for each language.
 ROUNDS, PENALTY = 8, 1.0
-SLICE_CHARS = 1_000_000
+SLICE_CHARS = 300_000
 
 
 @cache

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -29,7 +30,10 @@ def folder(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Tables of one run of an operator; drop() removes those that no later step reads."""
+    """Tables of one run of an operator; drop() removes those that no later step reads.
+
+    Shuffle files of finished jobs go when the driver collects their plans as garbage, which a driver with
+    room to spare would put off until disks are full: drop() asks for it."""
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
@@ -50,3 +54,5 @@ class Scratch:
             if path := df.__dict__.pop("scratch_path", None):
                 p = jvm.org.apache.hadoop.fs.Path(path)
                 p.getFileSystem(conf).delete(p, True)
+        gc.collect()
+        jvm.java.lang.System.gc()
