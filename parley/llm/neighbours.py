@@ -22,8 +22,9 @@ from parley.llm.scratch import Scratch
 LINES, SHARE, WIDTH, GROW = 128, 0.9, 1.0, 1.08
 #: The windows grow until this share of a block and MANY times the neighbours asked for are verified.
 VERIFIED, MANY = 0.1, 15
-#: A block of vectors and a chunk of queries meet in one task.
-BLOCK, CHUNK, SEED = 16_384, 1_024, 13
+#: A block of vectors and a chunk of queries meet in one task, which builds the block's index; chunks are large,
+#: so that blocks are copied and indexed seldom. Where that gives fewer tasks than cores, chunks are smaller.
+BLOCK, CHUNK, CHUNK_LEAST, SEED = 16_384, 65_536, 256, 13
 
 
 class Index:
@@ -83,10 +84,10 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec
     """(query_id, rank, vec_id, score): for each id divisible by ``every`` the k vectors of the largest
     inner product found, of all but its own.
 
-    Vectors that are null, empty, zero, of another length than the first id's, or hold a null or
-    non-finite component take no part, nor do null ids. An id that repeats counts once, with its least
+    Vectors that are null, empty, zero, of another length than most (of two equally frequent lengths the
+    shorter counts), or hold a null or non-finite component take no part, nor do null ids. An id that repeats counts once, with its least
     vector. Fewer than k candidates give fewer rows, an empty table none; other columns are ignored.
-    Tasks hold BLOCK vectors and CHUNK queries whatever the table's size.
+    Tasks hold BLOCK vectors and CHUNK queries at most, whatever the table's size.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark)
@@ -95,13 +96,17 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec
         F.col("id").isNotNull() & (F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0)
     )
     rows = scratch.save(rows.groupBy("id").agg(F.min("v").alias("v")))
-    total = rows.agg(F.count("*"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)), F.sum((F.col("id") % every == 0).cast("long")), F.min(F.struct("id", F.size("v").alias("d")))["d"]).first()
-    n, longest, asked, width = total
+    lengths = rows.groupBy(F.size("v").alias("width")).agg(
+        F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("longest"), F.sum((F.col("id") % every == 0).cast("long")).alias("asked")
+    )
+    usual = lengths.orderBy(F.desc("n"), "width").first()
     schema = "query_id long, vec_id long, score double"
-    if not n or not asked:
+    if not usual or not usual.asked:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    width, n, longest, asked = usual
     rows = rows.where(F.size("v") == width)
-    blocks, chunks = -(-n // BLOCK), -(-asked // CHUNK)
+    blocks = -(-n // BLOCK)
+    chunks = max(-(-asked // CHUNK), min(-(-spark.sparkContext.defaultParallelism // blocks), -(-asked // CHUNK_LEAST)))
     numbers = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
     base = rows.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), numbers(chunks).alias("chunk"))
     asks = rows.where(F.col("id") % every == 0).select("id", "v", numbers(blocks).alias("block"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(chunks)).cast("int").alias("chunk"))
