@@ -22,6 +22,8 @@ WEIGHTS = (5, 2, 1)
 REPEATS = 3
 #: The mix is cut into about so many blocks; a source into so many shards at most, of about so many rows.
 BLOCKS, SHARDS, ROWS = 1_000_000, 1_024, 256
+#: Plans of at most so many sources, or sources and shards, are broadcast (100 MB at most).
+BROADCAST_ROWS = 1_000_000
 
 
 def apportion(votes, seats: int) -> np.ndarray:
@@ -72,18 +74,23 @@ def targets(sizes: list[int], weights: list[float], cap: float = REPEATS) -> lis
         full |= over
 
 
+def _few(df: DataFrame, rows: int) -> DataFrame:
+    """A broadcast hint for a table of so many slim rows, if these are few enough."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
 def mix_sources(docs: DataFrame, weights: tuple = WEIGHTS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 11) -> DataFrame:
     """doc_id, size, source, source_size, target, taken for every row of docs.
 
     size is the number of words of the whole text (null or empty text: 0, nothing taken); a null
-    source is a source like others, the last one. The driver sees one row a source and shard: a
+    source is a source like others, the last one; sources of other types count as their strings. The driver sees one row a source and shard: a
     source has SHARDS shards at most. Repeated rows are documents of their own; other columns are
     ignored, whatever their names; an empty table gives an empty result. Reruns agree.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
     rows = scratch.save(
-        docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long").alias("size"))
+        docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long").alias("size"))
     )
     found = sorted(((r.source, int(r.size), r.rows) for r in rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("rows")).collect()), key=lambda r: (r[0] is None, r[0] or ""))
     of = pd.DataFrame(found, columns=["source", "source_size", "rows"])
@@ -97,7 +104,7 @@ def mix_sources(docs: DataFrame, weights: tuple = WEIGHTS, id_col: str = "doc_id
         [(int(r.at), r.source if isinstance(r.source, str) else None, int(r.source_size), float(r.target), int(r.shards)) for r in of.itertuples()],
         "at int, source string, source_size long, target double, shards long",
     )
-    placed = rows.withColumn("order", F.xxhash64("doc_id", "size", F.lit(seed))).join(F.broadcast(plan.withColumnRenamed("source", "of")), F.col("source").eqNullSafe(F.col("of")))
+    placed = rows.withColumn("order", F.xxhash64("doc_id", "size", F.lit(seed))).join(_few(plan.withColumnRenamed("source", "of"), len(of)), F.col("source").eqNullSafe(F.col("of")))
     placed = placed.withColumn("shard", F.pmod(F.shiftrightunsigned("order", 20), F.col("shards")))
 
     held = placed.groupBy("at", "shard").agg(F.sum("size").alias("shard_size")).toPandas().sort_values(["at", "shard"]).reset_index(drop=True)
@@ -115,7 +122,7 @@ def mix_sources(docs: DataFrame, weights: tuple = WEIGHTS, id_col: str = "doc_id
     rounds = F.when(F.col("shard_size") > 0, F.floor(F.col("quota") / F.col("shard_size"))).otherwise(0)
     return (
         placed.withColumn("before", before)
-        .join(F.broadcast(quotas), ["at", "shard"])
+        .join(_few(quotas, len(held)), ["at", "shard"])
         .withColumn("rounds", rounds.cast("long"))
         .withColumn("rest", F.col("quota") - F.col("rounds") * F.col("shard_size"))
         .select(
