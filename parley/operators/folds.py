@@ -6,6 +6,7 @@ step function. A task holds the state of one key and one Arrow batch, however lo
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
@@ -177,3 +178,45 @@ class Average(_Fold):
     def step(self, row):
         self.now = row.value if self.now is None else (1 - self.alpha) * self.now + self.alpha * row.value
         yield row.event_id, self.now
+
+
+class Switch(_Fold):
+    """Which speaker stands after each match. A match of another speaker than the last one counts at once if its
+    similarity and its lead over the second are high (either of two pairs of bounds), else when it comes hits times
+    with no more than recent seconds between. Rows: at (seconds), speaker, similarity, lead. Gives at, speaker."""
+
+    def __init__(self, hits: int = 2, recent: float = 5.0, sure: tuple = ((0.80, 0.15), (0.75, 0.08))):
+        self.hits, self.recent, self.sure = hits, recent, sure
+        self.last, self.waiting, self.seen, self.at = None, None, 0, 0.0
+
+    def step(self, row):
+        if self.last is None or row.speaker == self.last or any(row.similarity >= s and row.lead >= g for s, g in self.sure):
+            self.last, self.waiting, self.seen = row.speaker, None, 0
+        elif self.waiting == row.speaker and row.at - self.at <= self.recent:
+            self.seen, self.at = self.seen + 1, row.at
+            if self.seen >= self.hits:
+                self.last, self.waiting, self.seen = row.speaker, None, 0
+        else:
+            self.waiting, self.seen, self.at = row.speaker, 1, row.at
+        yield row.event_id, self.last
+
+
+class Voices(_Fold):
+    """Speakers of a session by their pitch alone, as they come: the nearest profile, if nearer than ``near``, takes
+    the row and moves towards it; else the row begins a new one. Rows: event_id and features. Gives event_id, speaker,
+    is_new. The state is one profile a speaker."""
+
+    def __init__(self, near: float = 1.2, keep: float = 0.85):
+        self.near, self.keep, self.profiles = near, keep, []
+
+    def step(self, row):
+        x = [float(v) for v in row.features]
+        apart = [math.dist(x, p) for p in self.profiles]
+        k = min(range(len(apart)), key=apart.__getitem__, default=None)
+        new = k is None or apart[k] >= self.near
+        if new:
+            k = len(self.profiles)
+            self.profiles.append(x)
+        else:
+            self.profiles[k] = [p * self.keep + v * (1 - self.keep) for p, v in zip(self.profiles[k], x)]
+        yield row.event_id, k, new

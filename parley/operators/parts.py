@@ -43,6 +43,26 @@ def averaged(values: DataFrame, key: str, order: list[str], alpha: float = 0.1)
     return folds.fold(values, [key], order, lambda: folds.Average(alpha), f"{key} {_kind(values, key)}, event_id long, average double")
 
 
+def switched(matches: DataFrame, key: str) -> DataFrame:
+    """key, event_id, speaker of each match, after it (see folds.Switch)."""
+    return folds.fold(matches, [key], ["at", "event_id"], folds.Switch, f"{key} {_kind(matches, key)}, event_id long, speaker string")
+
+
+def voices(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """key, event_id, speaker, is_new of rows with features (see folds.Voices)."""
+    return folds.fold(rows, [key], order, folds.Voices, f"{key} {_kind(rows, key)}, event_id long, speaker int, is_new boolean")
+
+
+def parsed(transcripts: DataFrame, key: str, text: str) -> DataFrame:
+    """key, part, speaker, speaker_id, text of transcripts that are JSON arrays of parts, under either spelling of
+    their fields; of another text one part with all of it. Blank parts go."""
+    schema = "array<struct<text:string,speaker:string,speakerId:int,speaker_id:int>>"
+    array = F.when(F.col(text).startswith("["), F.from_json(text, schema))
+    alone = F.array(F.struct(F.col(text).alias("text"), F.lit(None).cast("string").alias("speaker"), F.lit(None).cast("int").alias("speakerId"), F.lit(None).cast("int").alias("speaker_id")))
+    told = transcripts.select(key, F.posexplode(F.coalesce(array, alone)).alias("part", "p")).where(F.btrim("p.text") != "")
+    return told.select(key, "part", F.coalesce("p.speaker", F.lit("Speaker 1")).alias("speaker"), F.greatest(F.lit(0), F.coalesce("p.speakerId", "p.speaker_id", F.lit(0))).alias("speaker_id"), F.col("p.text").alias("text"))
+
+
 def segments(tokens: DataFrame, key: str, order: list[str]) -> DataFrame:
     """key, speaker, start_ms, end_ms, text of runs of tokens of one speaker. Empty tokens, end marks and tokens
     without times do not count, a missing speaker is 1, and segments of inventions or of nothing go."""

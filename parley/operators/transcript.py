@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from parley.functions import text as T
+
 
 def flatten(parts: DataFrame, key: str, order: str, speaker: str, text: str) -> DataFrame:
     """One transcript a key: ``speaker: text`` lines in order, blank parts left out."""
@@ -13,6 +15,15 @@ def flatten(parts: DataFrame, key: str, order: str, speaker: str, text: str) ->
     return kept.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), line.alias("l")))), lambda x: x["l"]), "\n").alias("transcript"))
 
 
+def digest(parts: DataFrame, key: str, order: str, speaker: str, text: str) -> DataFrame:
+    """The transcript of each key, as flatten has it, with its turns, words and speakers, in one shuffle."""
+    kept = parts.where(F.trim(text) != "")
+    line = F.struct(F.col(order).alias("o"), F.concat(F.col(speaker), F.lit(": "), F.trim(text)).alias("l"))
+    return kept.groupBy(key).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["l"]), "\n").alias("transcript"), F.count("*").alias("turns"), F.sum(T.word_count(F.col(text))).alias("words"), F.size(F.collect_set(speaker)).cast("bigint").alias("speakers")
+    )
+
+
 def runs(events: DataFrame, key: str, order: list[str], speaker: str) -> DataFrame:
     """Runs of consecutive rows of one speaker: key, run (from 1), speaker, first and last row, rows."""
     w = Window.partitionBy(key).orderBy(*order)

@@ -11,6 +11,7 @@ from parley.operators import parts as M
 from parley.operators import vectors as V
 from parley.plans.registry import query
 from parley.sources.tables import table
+from parley.streaming import jobs
 
 #: A turn that begins with the last 40 characters of the one before, as chunks cut with a lap do; every fifth is nothing else.
 LAPPED = """(SELECT conv_id, turn, role, CASE WHEN turn % 5 = 4 THEN coalesce(right(lag(text) OVER w, 40), '') WHEN turn % 2 = 1 THEN coalesce(right(lag(text) OVER w, 40), '') || ' ' || text ELSE text END AS text FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))"""
@@ -279,3 +280,50 @@ def minutes_title(spark, sf):
     i, nl = F.col("doc_id").cast("string"), F.lit("\n")
     headed = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("# The title of "), i, nl, "text")).when(F.col("doc_id") % 4 == 1, F.concat(F.lit("x\n## Second "), i, nl, "text")).when(F.col("doc_id") % 4 == 2, F.concat(F.lit("ab\nTitle: named "), i, nl, "text"))
     return d.select("doc_id", T.minutes_title(F.coalesce(headed, "text")).alias("title"))
+
+
+STATES_IN_ORDER = ["view", "click", "signup", "purchase", "error"]
+
+
+@query("""WITH o AS (SELECT user_id, event_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events),
+p AS (SELECT *, list_position(KINDS, event_type) AS b, list_position(KINDS, before) AS a FROM o)
+SELECT user_id, event_id, before, event_type, before IS NULL OR (coalesce(b, 0) > coalesce(a, 0) AND coalesce(a, 0) < 5) AS allowed FROM p""".replace("KINDS", str(STATES_IN_ORDER)))
+def job_transitions(spark, sf):
+    return jobs.transitions(table(spark, sf, "events"), STATES_IN_ORDER)
+
+
+@query("""WITH p AS (SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INT) AS part, role, turn, text FROM conversations)
+SELECT conv_id, part, role AS speaker, greatest(0, CAST(turn AS INT) % 3 - 1) AS speaker_id, md5(text) AS text FROM p WHERE conv_id % 3 <> 0 AND trim(text) <> ''
+UNION ALL SELECT conv_id, 0, 'Speaker 1', 0, md5(string_agg(text, chr(10) ORDER BY turn)) FROM p WHERE conv_id % 3 = 0 GROUP BY conv_id""")
+def parse_transcripts(spark, sf):
+    """Transcripts stored as JSON, under two spellings of a field, and as plain text."""
+    c = table(spark, sf, "conversations")
+    number = F.greatest(F.lit(-1), F.col("turn").cast("int") % 3 - 1)
+    item = lambda name: F.struct("turn", F.to_json(F.struct("text", F.col("role").alias("speaker"), number.alias(name))).alias("j"))
+    joined = lambda items: F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.collect_list(items)), lambda x: x["j"]), ","), F.lit("]"))
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), "\n")
+    stored = c.groupBy("conv_id").agg(F.when(F.col("conv_id") % 3 == 0, lines).when(F.col("conv_id") % 3 == 1, joined(item("speakerId"))).otherwise(joined(item("speaker_id"))).alias("transcript"))
+    return M.parsed(stored, "conv_id", "transcript").withColumn("text", F.md5(F.col("text").cast("binary")))
+
+
+@query("SELECT d.doc_id, md5(d.text) AS text, e.vec_id IS NOT NULL AS embedded, e.label FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id AND e.embedding IS NOT NULL")
+def chunk_embeddings(spark, sf):
+    """The text of each chunk beside its embedding, where that is there."""
+    d, e = table(spark, sf, "documents"), table(spark, sf, "embeddings").where("embedding is not null")
+    return d.join(e, d["doc_id"] == e["vec_id"], "left").select("doc_id", F.md5(F.col("text").cast("binary")).alias("text"), F.col("vec_id").isNotNull().alias("embedded"), "label")
+
+
+@query()
+def speaker_switches(spark, sf):
+    """Events as matches of speakers, with similarities from their values."""
+    e = table(spark, sf, "events")
+    matches = e.select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).cast("double").alias("t"), F.col("event_type").alias("speaker"), (F.abs("value") % 1).alias("similarity"), (F.abs("value") * 10 % 1 / 4).alias("lead"))
+    return M.switched(matches.select("user_id", "event_id", (F.col("t") / 1e10).alias("at"), "speaker", "similarity", "lead"), "user_id")
+
+
+@query()
+def voice_profiles(spark, sf):
+    """Speakers of each user's events by four features of their values."""
+    v = F.abs("value")
+    rows = table(spark, sf, "events").select("user_id", "ts", "event_id", F.array(v / 100, v % 7 / 50, v % 3 / 10, v % 2 / 5).alias("features"))
+    return M.voices(rows, "user_id", ["ts", "event_id"])

@@ -32,9 +32,7 @@ WORDS = r"len(regexp_extract_all(text, '[^\x20\x09-\x0D]+'))"
 FROM conversations WHERE trim(text) <> '' GROUP BY conv_id""")
 def conversation_digest(spark, sf):
     """Clean, flatten and count: one row a conversation."""
-    c = table(spark, sf, "conversations").where(F.trim("text") != "")
-    stats = c.groupBy("conv_id").agg(F.count("*").alias("turns"), F.sum(T.word_count(F.col("text"))).alias("words"), F.count_distinct("role").alias("speakers"))
-    return P.flatten(c, "conv_id", "turn", "role", "text").join(stats, "conv_id")
+    return P.digest(table(spark, sf, "conversations"), "conv_id", "turn", "role", "text")
 
 
 @query("SELECT conv_id, string_agg(role || ': ' || trim(text), chr(10) ORDER BY turn) AS transcript FROM conversations WHERE trim(text) <> '' GROUP BY conv_id")
@@ -140,9 +138,9 @@ def overlap_len(spark, sf):
 @query("""SELECT a.vec_id AS a, b.vec_id AS b, round(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) / sqrt(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(a.embedding AS DOUBLE[])) * list_dot_product(CAST(b.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))), 5) AS cosine
 FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id""")
 def pairwise_cosine(spark, sf):
+    """All pairs of vectors of one label."""
     e = table(spark, sf, "embeddings")
-    a, b = (e.select(F.col("vec_id").alias(s), "label", F.col("embedding").alias(f"e_{s}")) for s in "ab")
-    return a.join(b, "label").where("a < b").select("a", "b", F.round(V.cosine(F.col("e_a"), F.col("e_b")), 5).alias("cosine"))
+    return V.pairs(e, "vec_id", "label", "embedding").select("a", "b", F.round("cosine", 5).alias("cosine"))
 
 
 @query("""WITH l AS (SELECT label, generate_subscripts(embedding, 1) AS i, unnest(CAST(embedding AS DOUBLE[])) AS x FROM embeddings), m AS (SELECT label, i, avg(x) AS m FROM l GROUP BY 1, 2),

@@ -131,3 +131,21 @@ def test_a_fold_spans_batches_and_keys(spark):
     for i in range(100):
         want[i] = float(i) if i < 3 else 0.5 * want[i - 3] + 0.5 * i
     assert {r.event_id: r.average for r in got} == pytest.approx(want)
+
+
+def test_switch(spark):
+    rows = [(0, "a", 0.6, 0.0), (1, "b", 0.6, 0.0), (9, "b", 0.6, 0.0), (10, "b", 0.6, 0.0), (11, "a", 0.81, 0.16), (12, "c", 0.76, 0.09), (13, "a", 0.7, 0.5), (14, "c", 0.1, 0.0), (15, "a", 0.7, 0.5)]
+    df = spark.createDataFrame([(1, i, float(at), s, x, g) for i, (at, s, x, g) in enumerate(rows)], "k int, event_id long, at double, speaker string, similarity double, lead double")
+    assert [r.speaker for r in M.switched(df, "k").orderBy("event_id").collect()] == ["a", "a", "a", "b", "a", "c", "c", "c", "c"]
+
+
+def test_voices(spark):
+    rows = [[0.0, 0.0], [0.5, 0.0], [3.0, 0.0], [0.2, 0.1], [2.5, 0.1], [9.0, 9.0]]
+    df = spark.createDataFrame([(1, i, x) for i, x in enumerate(rows)], "k int, event_id long, features array<double>")
+    assert rows_of(M.voices(df, "k", ["event_id"]).select("speaker", "is_new", "event_id"), "event_id") == [(0, True, 0), (0, False, 1), (1, True, 2), (0, False, 3), (1, False, 4), (2, True, 5)]
+
+
+def test_parsed(spark):
+    rows = [(1, '[{"text":"a","speaker":"X","speakerId":2},{"text":" "},{"text":"b","speaker_id":-4}]'), (2, "plain\ntext"), (3, "[no json"), (4, ""), (5, None)]
+    got = M.parsed(spark.createDataFrame(rows, "k int, t string"), "k", "t")
+    assert rows_of(got, "k", "part") == [(1, 0, "X", 2, "a"), (1, 2, "Speaker 1", 0, "b"), (2, 0, "Speaker 1", 0, "plain\ntext"), (3, 0, "Speaker 1", 0, "[no json")]
