@@ -277,12 +277,12 @@ def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "d
     scratch = Scratch(docs.sparkSession)
     found = scratch.save(jaccard_components(docs, n, percent, id_col, text_col).select("doc_id", "component_id"))
     gone = _few(found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct())
-    left = docs.join(gone, docs[id_col] == F.col("gone"), "left_anti")
+    left = docs.join(gone, docs[id_col] == gone["gone"], "left_anti")
     again = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("again"))
     if not again.limit(1).count():
         return left
     again = _few(again)
-    return left.join(again, left[id_col] == F.col("again"), "left_anti").union(left.join(again, left[id_col] == F.col("again"), "left_semi").dropDuplicates([id_col]))
+    return left.join(again, left[id_col] == again["again"], "left_anti").union(left.join(again, left[id_col] == again["again"], "left_semi").dropDuplicates([id_col]))
 
 
 def oracle_sql(n: int, percent: int) -> str:
