@@ -20,6 +20,8 @@ from parley.llm.words import mix, shingle_sets, shingles
 
 #: Beyond so many shingles of all items the search is a shuffled join instead of a lookup in each task.
 LOOKUP_SHINGLES = 4_000_000
+#: The join's filter has 2 ** BITS bits (16 MB), whatever the number of shingles.
+BITS = 27
 
 
 def needed(size: int, percent: int) -> int:
@@ -83,12 +85,12 @@ def _by_lookup(texts: DataFrame, wanted: DataFrame, n: int, percent: int, schema
     own = own.sort_values("gram")
     grams, of = own["gram"].to_numpy(), own["item"].to_numpy()
     keys, first = np.unique(grams, return_index=True)
-    sketched = np.zeros(len(keys), bool)
-    np.logical_or.at(sketched, np.searchsorted(keys, grams), own["sketch"].to_numpy())
-    given = texts.sparkSession.sparkContext.broadcast((keys, np.append(first, len(grams)), of, sketched, ids, sizes, least))
+    in_sketch = own["sketch"].to_numpy()
+    sketched = np.logical_or.reduceat(in_sketch, first) if len(first) else np.zeros(0, bool)
+    given = texts.sparkSession.sparkContext.broadcast((keys, np.append(first, len(grams)), of, in_sketch, sketched, ids, sizes, least))
 
     def search(batches):
-        keys, first, of, sketched, ids, sizes, least = given.value
+        keys, first, of, in_sketch, sketched, ids, sizes, least = given.value
         names = ["doc_id", "item_id", "item_size", "shared"]
         kinds = None
         for b in batches:
@@ -99,8 +101,10 @@ def _by_lookup(texts: DataFrame, wanted: DataFrame, n: int, percent: int, schema
                 owner = np.searchsorted(bounds, hit, "right") - 1
                 for doc in np.unique(owner[sketched[at[hit]]]):
                     mine = np.unique(at[hit[owner == doc]])
-                    counts = np.bincount(np.concatenate([of[first[k] : first[k + 1]] for k in mine]), minlength=len(ids))
-                    for item in np.flatnonzero(counts >= least):
+                    posted = np.concatenate([np.arange(first[k], first[k + 1]) for k in mine])
+                    near = np.unique(of[posted[in_sketch[posted]]])  # items whose sketch the document hits
+                    counts = np.bincount(of[posted], minlength=len(ids))
+                    for item in near[counts[near] >= least[near]]:
                         rows.append(start + int(doc))
                         items.append(ids[item])
                         shared.append((int(sizes[item]), int(counts[item])))
@@ -113,13 +117,30 @@ def _by_lookup(texts: DataFrame, wanted: DataFrame, n: int, percent: int, schema
     return texts.mapInArrow(search, schema)
 
 
+def _bitmap(wanted: DataFrame) -> np.ndarray:
+    """Which places of a table of 2 ** BITS bits the items' shingles take: its size does not depend on theirs."""
+    place = F.col("gram").bitwiseAND(F.lit((1 << BITS) - 1))
+    word, bit = F.shiftright(place, 6), F.expr(f"shiftleft(1L, cast((gram & {(1 << BITS) - 1}) & 63 as int))")
+    found = wanted.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(1 << (BITS - 6), np.uint64)
+    out[found["word"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
+    return out
+
+
 def _by_join(texts: DataFrame, wanted: DataFrame, n: int, percent: int, kind: str, scratch: Scratch) -> DataFrame:
+    given = texts.sparkSession.sparkContext.broadcast(_bitmap(wanted))
+
+    # of the documents' shingles only those leave the task that an item may have
     def rows(batches):
+        table = given.value
         for b in batches:
             for i, grams in shingle_sets(b.column(1), n):
-                yield pa.RecordBatch.from_arrays([pa.repeat(b.column(0)[i], len(grams)), pa.repeat(pa.scalar(i), len(grams)), pa.array(grams.view(np.int64))], names=["doc_id", "row", "gram"])
+                place = grams & np.uint64((1 << BITS) - 1)
+                grams = grams[(table[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1]
+                if len(grams):
+                    yield pa.RecordBatch.from_arrays([pa.repeat(b.column(0)[i], len(grams)), pa.array(grams.view(np.int64))], names=["doc_id", "gram"])
 
-    held = texts.mapInArrow(rows, f"doc_id {kind}, row long, gram long").select("doc_id", "gram").distinct()
+    held = scratch.save(texts.mapInArrow(rows, f"doc_id {kind}, gram long").distinct())
     pairs = scratch.save(held.join(wanted.where("sketch"), "gram").select("doc_id", "item_id", "item_size").distinct())
     near = held.join(pairs.select("doc_id").distinct(), "doc_id", "left_semi")
     counts = near.join(wanted, "gram").groupBy("doc_id", "item_id", "item_size").agg(F.count("*").alias("shared"))
