@@ -34,7 +34,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """The documents that hold less than 0.8 of every benchmark item's five-word shingles."""
     found = decontamination.contained_items(docs, table(spark, sf_dir, "benchmark"))
     gone = Scratch(spark).save(found.select(F.col("doc_id").alias("gone")).distinct())
-    return docs.join(_near(gone), docs["doc_id"] == F.col("gone"), "left_anti")
+    return docs.join(_near(gone), docs["doc_id"] == gone["gone"], "left_anti")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,8 +42,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     document of which less than half is taken goes. Rows that share an id are taken alike."""
     found = mixing.mix_sources(docs).where("size > 0").groupBy("doc_id").agg(F.floor(F.max(F.col("taken") / F.col("size")) + 0.5).cast("int").alias("times"))
     times = _near(Scratch(spark).save(found.where("times > 0").select(F.col("doc_id").alias("taken_id"), "times")))
-    copies = F.explode(F.sequence(F.lit(1), F.col("times")))
-    return docs.join(times, docs["doc_id"] == F.col("taken_id")).select(*[docs[c] for c in docs.columns], copies.alias("copy of a taken document")).drop("copy of a taken document")
+    copies = F.explode(F.sequence(F.lit(1), times["times"]))
+    return docs.join(times, docs["doc_id"] == times["taken_id"]).select(*[docs[c] for c in docs.columns], copies.alias("copy of a taken document")).drop("copy of a taken document")
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
