@@ -154,3 +154,37 @@ def soft_penalty(a: Column, b: Column) -> Column:
     """What the similarity of two voices loses when just one of them is of the neutral zone."""
     one = (pitch_zone(a) == "neutral") != (pitch_zone(b) == "neutral")
     return F.when(a.isNotNull() & b.isNotNull() & one, F.least(F.abs(a - b) * SOFT, F.lit(SOFT_MOST))).otherwise(0.0)
+
+
+#: Frames that a pitch must rest on, differences that set apart voices of one zone, and how far voices of one tone may be.
+FRAMES, FAR_FEMALE, FAR_MALE, TONE_MEDIAN, TONE_SPAN, TONE_DELTA, TONE_FACTOR, TONE_MOST = 6, 40.0, 90.0, 80.0, 120.0, 80.0, 0.03, 0.08
+
+
+def far_in_zone(a: Column, frames_a: Column, b: Column, frames_b: Column) -> Column:
+    """Are two voices of one definite zone far apart in pitch?"""
+    zone = pitch_zone(a)
+    least = F.when(zone == "female", FAR_FEMALE).when(zone == "male", FAR_MALE)
+    return F.coalesce((frames_a >= FRAMES) & (frames_b >= FRAMES) & (zone == pitch_zone(b)) & (F.abs(a - b) >= least), F.lit(False))
+
+
+def tone_penalty(median: Column, span: Column, delta: Column, frames: Column) -> Column:
+    """What similarity loses by differences in median, span and change of pitch; frames: the fewer of both voices."""
+    score = median / TONE_MEDIAN + span / TONE_SPAN + delta / TONE_DELTA
+    return F.when(frames >= FRAMES, F.least(score * TONE_FACTOR, F.lit(TONE_MOST))).otherwise(0.0)
+
+
+def hints(csv: Column) -> Column:
+    """Language hints of a comma-separated list; Vietnamese where there are none."""
+    found = F.filter(F.transform(F.split(csv, ","), lambda x: F.btrim(x)), lambda x: x != "")
+    return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("vi")))
+
+
+def stamp(text: Column, otherwise: Column) -> Column:
+    """The time, UTC, of a text like 2026-01-31 23:59:59, or another one."""
+    return F.coalesce(F.try_to_timestamp(text, F.lit("yyyy-MM-dd HH:mm:ss")), otherwise)
+
+
+def number(text: Column) -> Column:
+    """A finite number of a text, else 0."""
+    found = text.try_cast("double")
+    return F.when(found.isNotNull() & ~F.isnan(found) & (F.abs(found) < float("inf")), found).otherwise(0.0)

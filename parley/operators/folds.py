@@ -220,3 +220,25 @@ class Voices(_Fold):
         else:
             self.profiles[k] = [p * self.keep + v * (1 - self.keep) for p, v in zip(self.profiles[k], x)]
         yield row.event_id, k, new
+
+
+class Endpoints(_Fold):
+    """Chunks of a live recording. Rows: at (ms, ascending), level. A chunk ends at a tick of quiet that has lasted
+    ``pause`` ms, if the chunk is ``least`` ms old, or when it is ``most`` ms old; the next begins there. Gives idx,
+    start_ms, end_ms; the last chunk ends at the last tick."""
+
+    def __init__(self, pause: int = 400, least: int = 2_000, most: int = 4_000, quiet: float = 0.015):
+        self.pause, self.least, self.most, self.quiet = pause, least, most, quiet
+        self.idx, self.start, self.since, self.last = 0, None, None, None
+
+    def step(self, row):
+        self.start = row.at if self.start is None else self.start
+        self.since = (row.at if self.since is None else self.since) if row.level < self.quiet else None
+        self.last, age = row.at, row.at - self.start
+        if age >= self.most or (self.since is not None and row.at - self.since >= self.pause and age >= self.least):
+            yield self.idx, self.start, row.at
+            self.idx, self.start, self.since = self.idx + 1, row.at, None
+
+    def end(self):
+        if self.last is not None and self.last > self.start:
+            yield self.idx, self.start, self.last

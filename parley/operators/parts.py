@@ -53,6 +53,48 @@ def voices(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
     return folds.fold(rows, [key], order, folds.Voices, f"{key} {_kind(rows, key)}, event_id long, speaker int, is_new boolean")
 
 
+def endpoints(ticks: DataFrame, key: str) -> DataFrame:
+    """key, idx, start_ms, end_ms of the chunks of live recordings (see folds.Endpoints)."""
+    return folds.fold(ticks.select(key, "at", "level"), [key], ["at"], folds.Endpoints, f"{key} {_kind(ticks, key)}, idx int, start_ms long, end_ms long")
+
+
+def corrected(parts: DataFrame, corrections: DataFrame, key: str) -> DataFrame:
+    """parts(key, part, speaker, ids) with the speaker of the last correction(key, chunk, speaker, turn) to one of their chunks."""
+    of = parts.select(key, "part", F.explode("ids").alias("chunk"))
+    last = corrections.join(of, [key, "chunk"]).groupBy(key, "part").agg(F.max_by("speaker", "turn").alias("corrected"))
+    return parts.join(last, [key, "part"], "left").withColumn("speaker", F.coalesce("corrected", "speaker")).drop("corrected")
+
+
+def sentence_groups(text: str | None) -> list[str]:
+    """Sentences, each a group; a rest of less than a sentence joins a short group before it. A long text in one group
+    is cut at commas into groups of about 100 characters."""
+    text = text or ""
+    found = [s for s in (x.strip() for x in re.split(r"(?<=[.!?。！？])\s+", text.strip())) if s]
+    if not found:
+        return []
+    closed = found if len(found[-1]) >= 60 or found[-1][-1] in ".!?。！？" else found[:-1]
+    rest = found[len(closed) :]
+    if rest and closed and len(closed[-1]) < 80:
+        closed = [*closed[:-1], f"{closed[-1]} {rest[0]}"]
+    else:
+        closed = closed + rest
+    if len(closed) > 1 or len(text) <= 120:
+        return closed
+    out = [""]
+    for piece in re.split(r",\s*", text):
+        longer = f"{out[-1]}, {piece}" if out[-1] else piece
+        if len(longer) >= 100 and out[-1]:
+            out.append(piece)
+        else:
+            out[-1] = longer
+    return [x for x in out if x] or [text.strip()]
+
+
+def grouped_sentences(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, piece, text: the groups of sentences of each text (see sentence_groups)."""
+    return _exploded(rows, id_col, text_col, sentence_groups)
+
+
 def parsed(transcripts: DataFrame, key: str, text: str) -> DataFrame:
     """key, part, speaker, speaker_id, text of transcripts that are JSON arrays of parts, under either spelling of
     their fields; of another text one part with all of it. Blank parts go."""

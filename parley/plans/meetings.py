@@ -327,3 +327,104 @@ def voice_profiles(spark, sf):
     v = F.abs("value")
     rows = table(spark, sf, "events").select("user_id", "ts", "event_id", F.array(v / 100, v % 7 / 50, v % 3 / 10, v % 2 / 5).alias("features"))
     return M.voices(rows, "user_id", ["ts", "event_id"])
+
+
+@query("""WITH RECURSIVE t AS (SELECT user_id, CAST(event_id AS BIGINT) AS tm, abs(value) % 1 * 0.02 AS level, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n, count(*) OVER (PARTITION BY user_id) AS total FROM (SELECT user_id, event_id * 3 AS event_id, value FROM events)),
+r AS (
+  SELECT user_id, n, tm, total, 0 AS idx, tm AS start, CASE WHEN level < 0.015 THEN tm END AS since, CAST(NULL AS INT) AS closed, CAST(NULL AS BIGINT) AS opened FROM t WHERE n = 1
+  UNION ALL
+  SELECT user_id, n, tm, total, CASE WHEN cut THEN idx + 1 ELSE idx END, CASE WHEN cut THEN tm ELSE start END, CASE WHEN cut THEN NULL ELSE since END, CASE WHEN cut THEN idx END, CASE WHEN cut THEN start END FROM (
+    SELECT *, tm - start >= 4000 OR (since IS NOT NULL AND tm - since >= 400 AND tm - start >= 2000) AS cut FROM (
+      SELECT t.user_id, t.n, t.tm, t.total, r.idx, r.start, CASE WHEN t.level < 0.015 THEN coalesce(r.since, t.tm) END AS since FROM r JOIN t ON t.user_id = r.user_id AND t.n = r.n + 1)))
+SELECT user_id, closed AS idx, opened AS start_ms, tm AS end_ms FROM r WHERE closed IS NOT NULL
+UNION ALL SELECT user_id, idx, start, tm FROM r WHERE n = total AND tm > start""")
+def live_chunks(spark, sf):
+    """Each user's events as ticks of a recording, 3 ms an event id, with levels from their values."""
+    e = table(spark, sf, "events")
+    return M.endpoints(e.select("user_id", (F.col("event_id") * 3).cast("bigint").alias("at"), (F.abs("value") % 1 * 0.02).alias("level")), "user_id")
+
+
+@query("""WITH d AS (SELECT user_id, value + 100 AS value, value - lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS delta FROM events),
+u AS (SELECT user_id, avg(value) AS mean, quantile_cont(value, 0.5) AS median, quantile_cont(value, 0.9) - quantile_cont(value, 0.1) AS span, stddev_pop(delta) AS delta, count(*) AS n FROM d GROUP BY user_id)
+SELECT a.user_id, CASE WHEN a.n >= 6 AND b.n >= 6 AND ((a.mean <= 145 AND b.mean <= 145 AND abs(a.mean - b.mean) >= 90) OR (a.mean >= 165 AND b.mean >= 165 AND abs(a.mean - b.mean) >= 40)) THEN true ELSE false END AS far,
+round(CASE WHEN least(a.n, b.n) >= 6 THEN least((abs(a.median - b.median) / 80 + abs(a.span - b.span) / 120 + abs(a.delta - b.delta) / 80) * 0.03, 0.08) ELSE 0 END, 5) AS penalty
+FROM u a JOIN u b ON b.user_id = a.user_id + 1""")
+def voice_rules(spark, sf):
+    """Each user's values as the pitches of a voice, against those of the next user."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    d = table(spark, sf, "events").withColumn("delta", F.col("value") - F.lag("value").over(w)).withColumn("value", F.col("value") + 100)
+    p = lambda q: F.percentile("value", F.lit(q))
+    u = d.groupBy("user_id").agg(F.avg("value").alias("mean"), p(0.5).alias("median"), (p(0.9) - p(0.1)).alias("span"), F.stddev_pop("delta").alias("delta"), F.count("*").alias("n"))
+    b = u.select((F.col("user_id") - 1).alias("user_id"), *[F.col(c).alias(f"b_{c}") for c in u.columns[1:]])
+    apart = lambda c: F.abs(F.col(c) - F.col(f"b_{c}"))
+    penalty = T.tone_penalty(apart("median"), apart("span"), apart("delta"), F.least("n", "b_n"))
+    return u.join(b, "user_id").select("user_id", T.far_in_zone(F.col("mean"), F.col("n"), F.col("b_mean"), F.col("b_n")).alias("far"), F.round(penalty, 5).alias("penalty"))
+
+
+@query("""WITH p AS (SELECT conv_id, turn AS part, role AS speaker, list_value('c' || turn * 2, 'c' || (turn * 2 + 1)) AS ids FROM conversations), k AS (SELECT conv_id, 'c' || (turn * 5) AS chunk, 'corrected ' || turn AS speaker, turn FROM conversations),
+l AS (SELECT p.conv_id, p.part, arg_max(k.speaker, k.turn) AS speaker FROM (SELECT conv_id, part, unnest(ids) AS chunk FROM p) p JOIN k ON k.conv_id = p.conv_id AND k.chunk = p.chunk GROUP BY 1, 2)
+SELECT p.conv_id, p.part, coalesce(l.speaker, p.speaker) AS speaker FROM p LEFT JOIN l ON l.conv_id = p.conv_id AND l.part = p.part""")
+def speaker_corrections(spark, sf):
+    """Corrections name a chunk; the part that has it takes the speaker."""
+    c = table(spark, sf, "conversations")
+    name = lambda n: F.concat(F.lit("c"), n.cast("string"))
+    parts = c.select("conv_id", F.col("turn").alias("part"), F.col("role").alias("speaker"), F.array(name(F.col("turn") * 2), name(F.col("turn") * 2 + 1)).alias("ids"))
+    changes = c.select("conv_id", name(F.col("turn") * 5).alias("chunk"), F.concat(F.lit("corrected "), F.col("turn").cast("string")).alias("speaker"), "turn")
+    return M.corrected(parts, changes, "conv_id").select("conv_id", "part", "speaker")
+
+
+@query("SELECT user_id, event_id, event_type, coalesce(event_type = lag(event_type) OVER w AND ts - lag(ts) OVER w <= INTERVAL 5 MINUTE, false) AS sticky FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
+def sticky_speaker(spark, sf):
+    """Is the speaker of an event the last one, and that a short time ago?"""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    near = (F.col("event_type") == F.lag("event_type").over(w)) & (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lag("ts").over(w).cast("timestamp")) <= 300_000_000)
+    return table(spark, sf, "events").select("user_id", "event_id", "event_type", F.coalesce(near, F.lit(False)).alias("sticky"))
+
+
+@query("SELECT event_id, user_id, time_bucket(INTERVAL 10 SECOND, ts) AS flush, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 500 AS kept FROM events")
+def flush_batches(spark, sf):
+    """The ten-second flush that each event is saved with, and whether its user's last 500 still hold it."""
+    w = Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))
+    flush = F.window(F.col("ts").cast("timestamp"), "10 seconds")["start"].cast("timestamp_ntz")
+    return table(spark, sf, "events").select("event_id", "user_id", flush.alias("flush"), (F.row_number().over(w) <= 500).alias("kept"))
+
+
+@query("SELECT conv_id, turn, array_to_string(CASE WHEN len(h) > 0 THEN h ELSE ['vi'] END, '|') AS hints FROM (SELECT conv_id, turn, list_filter(list_transform(string_split(CASE turn % 4 WHEN 0 THEN role || ', en,, ' WHEN 1 THEN '' WHEN 2 THEN ' , ' ELSE role END, ','), lambda x: trim(x)), lambda x: x <> '') AS h FROM conversations)")
+def language_hints(spark, sf):
+    c = table(spark, sf, "conversations")
+    csv = F.when(F.col("turn") % 4 == 0, F.concat("role", F.lit(", en,, "))).when(F.col("turn") % 4 == 1, "").when(F.col("turn") % 4 == 2, " , ").otherwise(F.col("role"))
+    return c.select("conv_id", "turn", F.array_join(T.hints(csv), "|").alias("hints"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN TIMESTAMP '2026-01-01 00:00:00' ELSE date_trunc('second', ts) END AS at, CASE WHEN event_id % 4 = 0 THEN 0 ELSE value END AS number FROM events")
+def stored_values(spark, sf):
+    """Times and numbers as stored text, some of them broken."""
+    e = table(spark, sf, "events")
+    text = F.when(F.col("event_id") % 3 == 0, "yesterday").otherwise(F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd HH:mm:ss"))
+    number = F.when(F.col("event_id") % 4 == 0, F.element_at(F.array(F.lit("NaN"), F.lit("x"), F.lit("")), (F.col("event_id") % 3 + 1).cast("int"))).otherwise(F.col("value").cast("string"))
+    return e.select("event_id", T.stamp(text, F.lit("2026-01-01 00:00:00").cast("timestamp")).cast("timestamp_ntz").alias("at"), T.number(number).alias("number"))
+
+
+@query("""WITH a AS (SELECT conv_id, turn AS tm, 'mic' AS source, turn % 3 AS speaker_id, text FROM conversations WHERE role = 'user' UNION ALL SELECT conv_id, turn, 'system', turn % 3 + 100, text FROM conversations WHERE role <> 'user')
+SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY tm, source) AS place, source, speaker_id, md5(text) AS text FROM a""")
+def merged_sources(spark, sf):
+    """Microphone and system audio of each meeting in one order; the speakers of the second count from 100."""
+    c = table(spark, sf, "conversations").select("conv_id", F.col("turn").alias("at"), "role", (F.col("turn") % 3).cast("bigint").alias("speaker_id"), "text")
+    mic, system = c.where("role = 'user'").withColumn("source", F.lit("mic")), c.where("role <> 'user'").withColumn("source", F.lit("system")).withColumn("speaker_id", F.col("speaker_id") + 100)
+    place = F.row_number().over(Window.partitionBy("conv_id").orderBy("at", "source"))
+    return mic.unionByName(system).select("conv_id", place.alias("place"), "source", "speaker_id", F.md5(F.col("text").cast("binary")).alias("text"))
+
+
+@query("""WITH p AS (SELECT conv_id, turn // 3 AS part, list(DISTINCT 'c' || turn % 4) AS ids FROM conversations GROUP BY 1, 2), t AS (SELECT conv_id, turn // 3 AS part, 'c' || turn % 4 AS chunk, arg_max(left(text, 20), turn) AS text, min(turn) AS first FROM conversations GROUP BY 1, 2, 3)
+SELECT conv_id, part, md5(string_agg(text, ' ' ORDER BY first)) AS text, count(*) AS chunks FROM t GROUP BY conv_id, part""")
+def chunk_texts(spark, sf):
+    """Each part's text from its chunks: the last text of each, in the order in which the chunks came."""
+    c = table(spark, sf, "conversations").select("conv_id", F.floor(F.col("turn") / 3).alias("part"), "turn", F.concat(F.lit("c"), (F.col("turn") % 4).cast("string")).alias("chunk"), F.left("text", F.lit(20)).alias("text"))
+    last = c.groupBy("conv_id", "part", "chunk").agg(F.max_by("text", "turn").alias("text"), F.min("turn").alias("first"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("first", "text"))), lambda x: x["text"]), " ")
+    return last.groupBy("conv_id", "part").agg(F.md5(joined.cast("binary")).alias("text"), F.count("*").alias("chunks"))
+
+
+@query()
+def sentence_groups(spark, sf):
+    return M.grouped_sentences(table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text")

@@ -149,3 +149,16 @@ def test_parsed(spark):
     rows = [(1, '[{"text":"a","speaker":"X","speakerId":2},{"text":" "},{"text":"b","speaker_id":-4}]'), (2, "plain\ntext"), (3, "[no json"), (4, ""), (5, None)]
     got = M.parsed(spark.createDataFrame(rows, "k int, t string"), "k", "t")
     assert rows_of(got, "k", "part") == [(1, 0, "X", 2, "a"), (1, 2, "Speaker 1", 0, "b"), (2, 0, "Speaker 1", 0, "plain\ntext"), (3, 0, "Speaker 1", 0, "[no json")]
+
+
+def test_sentence_groups():
+    assert M.sentence_groups(None) == M.sentence_groups("  ") == [] and M.sentence_groups("no end") == ["no end"]
+    assert M.sentence_groups("One. Two! rest") == ["One.", "Two! rest"] and M.sentence_groups("x" * 90 + ". rest") == ["x" * 90 + ".", "rest"]
+    told = M.sentence_groups(", ".join(["word" * 5] * 12))
+    assert [len(t) for t in told] == [86, 86, 86] and ", ".join(told) == ", ".join(["word" * 5] * 12)
+
+
+def test_endpoints(spark):
+    ticks = [(t, 0.001 if 2400 <= t < 3000 or 4000 <= t < 5200 else 0.5) for t in range(0, 9600, 80)]
+    df = spark.createDataFrame([(1, t, v) for t, v in ticks], "k int, at long, level double")
+    assert rows_of(M.endpoints(df, "k"), "idx") == [(1, 0, 0, 2800), (1, 1, 2800, 4800), (1, 2, 4800, 8800), (1, 3, 8800, 9520)]
