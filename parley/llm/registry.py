@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm import decontamination, html, jaccard_join, language, licenses, line_dedup, mixing, neighbours, sharding, toxicity
+from parley.llm import decontamination, html, jaccard_join, language, licenses, line_dedup, mixing, neighbours, sharding, toxicity, url_filter
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -89,3 +89,8 @@ def op9_sharding(spark, sf_dir):
 @query
 def op10_line_dedup(spark, sf_dir):
     return line_dedup.fuzzy_lines(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_url_filter(spark, sf_dir):
+    return url_filter.judge(table(spark, sf_dir, "pages"), url_filter.learn(url_filter.labelled(spark)))
