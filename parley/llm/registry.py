@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm import decontamination, html, jaccard_join, language, licenses, line_dedup, mixing, neighbours, sharding, toxicity, url_filter
+from parley.llm import decontamination, fill_in_middle, html, jaccard_join, language, licenses, line_dedup, mixing, neighbours, sharding, toxicity, url_filter
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -94,3 +94,13 @@ def op10_line_dedup(spark, sf_dir):
 @query
 def op11_url_filter(spark, sf_dir):
     return url_filter.judge(table(spark, sf_dir, "pages"), url_filter.learn(url_filter.labelled(spark)))
+
+
+@query
+def op12_fill_in_middle(spark, sf_dir):
+    found = fill_in_middle.fill_in_middle(table(spark, sf_dir, "documents"))
+    sha = lambda text: F.sha2(text.cast("binary"), 256)
+    return found.select("doc_id", "n", "form", "prefix_chars", "middle_chars", sha(F.col("output")).alias("output_sha256"), sha(fill_in_middle.restored(F.col("output"), F.col("form"))).alias("restored_sha256"))
+
+
+ORACLES["op12_fill_in_middle"] = fill_in_middle.ORACLE_SQL
