@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm import decontamination, fill_in_middle, html, jaccard_join, language, licenses, line_dedup, mixing, neighbours, sharding, toxicity, url_filter
+from parley.llm import decontamination, fill_in_middle, html, jaccard_join, language, licenses, line_dedup, mixing, neighbours, sharding, token_alignment, toxicity, url_filter
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -104,3 +104,8 @@ def op12_fill_in_middle(spark, sf_dir):
 
 
 ORACLES["op12_fill_in_middle"] = fill_in_middle.ORACLE_SQL
+
+
+@query
+def op13_token_alignment(spark, sf_dir):
+    return token_alignment.align(table(spark, sf_dir, "documents"))
