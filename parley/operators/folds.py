@@ -7,36 +7,54 @@ step function. A task holds the state of one key and one Arrow batch, however lo
 from __future__ import annotations
 
 import math
+from collections import namedtuple
 from collections.abc import Callable, Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
+
+#: Rows that are handed back at a time.
+BATCH = 5_000
+
+
+def as_rows(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """The rows of a batch as named tuples of plain values: whole numbers stay whole, nulls are None."""
+    return map(namedtuple("Row", batch.schema.names)._make, zip(*(c.to_pylist() for c in batch.columns)))
+
+
+def as_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = zip(*rows) if rows else [()] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
 def fold(rows: DataFrame, keys: list[str], order: list[str], begin: Callable, schema: str) -> DataFrame:
     """Rows that the folds of all keys give. begin() makes a fold: an object with step(row), which yields
     rows for a row given as a named tuple, and end(), which yields the rest of its key's rows. Output rows
-    are tuples without the keys, which come first in schema."""
-    names = [part.split()[0] for part in schema.split(", ")]
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, state, out = None, None, []
-        for frame in frames:
-            for row in frame.itertuples(index=False):
+    are tuples without the keys, which come first in schema. Keys are carried as they are, however large;
+    rows whose key is null are one meeting, as they are one group for groupBy, and so are those with NaN."""
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, told, state, out = None, None, None, []
+        for batch in batches:
+            for row in as_rows(batch):
                 own = tuple(getattr(row, k) for k in keys)
-                if state is None or own != key:
+                same = tuple("NaN" if x != x else x for x in own)
+                if state is None or same != told:
                     if state is not None:
                         out += [key + tuple(r) for r in state.end()]
-                    key, state = own, begin()
+                    key, told, state = own, same, begin()
                 out += [key + tuple(r) for r in state.step(row)]
-                if len(out) >= 5_000:
-                    yield pd.DataFrame(out, columns=names)
+                if len(out) >= BATCH:
+                    yield as_batch(out, arrow)
                     out = []
         if state is not None:
             out += [key + tuple(r) for r in state.end()]
-        yield pd.DataFrame(out, columns=names)
+        yield as_batch(out, arrow)
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
+    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
 
 
 class _Fold:
@@ -170,13 +188,14 @@ class Collapse(_Fold):
 
 
 class Average(_Fold):
-    """Exponential moving average, beginning with the first value. Rows: value. Gives order, value."""
+    """Exponential moving average, beginning with the first value. Rows: value. Gives order, value. A null value changes nothing."""
 
     def __init__(self, alpha: float = 0.1):
         self.alpha, self.now = alpha, None
 
     def step(self, row):
-        self.now = row.value if self.now is None else (1 - self.alpha) * self.now + self.alpha * row.value
+        if row.value is not None:
+            self.now = row.value if self.now is None else (1 - self.alpha) * self.now + self.alpha * row.value
         yield row.event_id, self.now
 
 

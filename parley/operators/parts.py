@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from parley.functions import text as T
 from parley.operators import folds
@@ -214,12 +215,14 @@ def pieces(text: str | None, most: int = 15_000, lap: int = 1_000) -> list[str]:
 
 
 def _exploded(rows: DataFrame, id_col: str, text_col: str, cut) -> DataFrame:
-    def run(frames):
-        for f in frames:
-            told = [(i, k, p) for i, t in zip(f[id_col], f[text_col]) for k, p in enumerate(cut(t))]
-            yield pd.DataFrame(told, columns=[id_col, "piece", "text"])
+    schema = f"{id_col} {_kind(rows, id_col)}, piece int, text string"
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
 
-    return rows.select(id_col, text_col).mapInPandas(run, f"{id_col} {_kind(rows, id_col)}, piece int, text string")
+    def run(batches):
+        for batch in batches:
+            yield folds.as_batch([(i, k, p) for i, t in folds.as_rows(batch) for k, p in enumerate(cut(t))], arrow)
+
+    return rows.select(id_col, text_col).mapInArrow(run, schema)
 
 
 def packed(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -162,3 +162,36 @@ def test_endpoints(spark):
     ticks = [(t, 0.001 if 2400 <= t < 3000 or 4000 <= t < 5200 else 0.5) for t in range(0, 9600, 80)]
     df = spark.createDataFrame([(1, t, v) for t, v in ticks], "k int, at long, level double")
     assert rows_of(M.endpoints(df, "k"), "idx") == [(1, 0, 0, 2800), (1, 1, 2800, 4800), (1, 2, 4800, 8800), (1, 3, 8800, 9520)]
+
+
+LARGE = 2**53 + 1
+
+
+@pytest.mark.parametrize("batch", ["1", "3", "10000"])
+def test_keys_stay_as_they_are(spark, batch):
+    """Large and null keys, alone and beside each other in a batch; null is one meeting."""
+    texts = ["we begin with the plan", "with the plan of the year", "of the year and its end"]
+    rows = [(k, i, t) for k in (None, LARGE, LARGE + 1, -LARGE) for i, t in enumerate(texts)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        df = spark.createDataFrame(rows, "m long, turn int, text string")
+        told = [(r.m, r.turn, r.text) for r in M.assembled(df, "m", "turn", "text").collect()]
+        packs = [(r.m, r.text) for r in M.packed(df, "m", "text").collect()]
+        average = M.averaged(df.selectExpr("m", "cast(turn as long) as event_id", "if(turn = 1, null, cast(turn as double)) as value"), "m", ["event_id"], 0.5).collect()
+        floats = M.averaged(spark.sql("select * from values (double('nan'), 1L, 1D), (double('nan'), 2L, 3D), (null, 3L, 5D) t(m, event_id, value)"), "m", ["event_id"], 0.5).orderBy("event_id").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = [(k, i, t) for k in (None, LARGE, LARGE + 1, -LARGE) for i, t in enumerate(["we begin with the plan", "of the year", "and its end"])]
+    assert sorted(told, key=str) == sorted(want, key=str)
+    assert sorted(packs, key=str) == sorted([(k, t) for k, _, t in rows], key=str)
+    assert sorted({(r.m, r.event_id, r.average) for r in average}, key=str) == sorted({(k, i, v) for k in (None, LARGE, LARGE + 1, -LARGE) for i, v in enumerate([0.0, 0.0, 1.0])}, key=str)
+    assert [r.average for r in floats] == [1.0, 2.0, 5.0]
+
+
+def test_keys_of_other_kinds(spark):
+    df = spark.sql("select * from values (date'2026-01-01', 'a', 1L, 1D), (date'2026-01-01', 'b', 2L, 2D), (null, 'a', 3L, 3D) t(d, s, event_id, value)").withColumn("k", F.to_timestamp("d"))
+    for key, kind in (("d", "date"), ("k", "timestamp"), ("s", "string")):
+        got = folds.fold(df, [key], ["event_id"], folds.Average, f"{key} {kind}, event_id long, average double")
+        assert sorted(map(str, got.select(key).collect())) == sorted(map(str, df.select(key).collect()))
+    got = folds.fold(df, ["d", "s"], ["event_id"], folds.Average, "d date, s string, event_id long, average double")
+    assert got.count() == 3
