@@ -1,5 +1,8 @@
 """Alignment of the tokens of two tokenizers: a byte-level one (A) and one with pieces (B).
 
+A's vocabulary is read as ranks, which a faster library takes and whose ids are those of its merges (a test holds both
+against each other over every code point and random texts).
+
 Each text is encoded by both in an Arrow task. Per byte a label says whether no token, an A token, a B token or both end there; a
 regular expression runs over the label string and yields the spans up to each "both", whose labels counted are the token
 groups. Every byte with a label ends one overlap of an A and a B token, so the links are read from the same string. The
@@ -17,6 +20,7 @@ columns of the documents, whatever their names, are left behind.
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import os
 import re
@@ -31,7 +35,9 @@ from pyspark.sql import functions as F
 from parley.llm.scratch import Scratch
 
 TOKENIZERS = "/opt/tokenizers"
-A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
+A_FILE, B_FILE = "byte_bpe_50k.tiktoken", "piece_bpe_32k.model"
+#: Fixed value: the pattern by which the byte-level vocabulary's texts are split before its merges.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 SECTION = 20_000
 #: Pairs with at least this share of all links are looked up in a broadcast table: HOT at most, as shares add up to one.
 HOT = 500_000
@@ -56,31 +62,21 @@ class Side:
         return self.data[at].tobytes()
 
 
-def _byte_letters() -> dict[str, int]:
-    """The letter that stands for each byte in the byte-level vocabulary: printable ones for themselves, the others from 256 on."""
-    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    others = [b for b in range(256) if b not in own]
-    return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(others)}
-
-
 @lru_cache(2)
 def sides(folder: str = TOKENIZERS) -> tuple[Side, Side]:
     """Both tokenizers, loaded once a Python worker."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     import sentencepiece
-    from tokenizers import Tokenizer
-
-    a = Tokenizer.from_file(os.path.join(folder, A_FILE))
-    a.encode_special_tokens = True
-    letters = _byte_letters()
-    words = {i: t for t, i in a.get_vocab(with_added_tokens=True).items()}
-    tokens = [bytes(letters.get(c, 63) for c in words.get(i, "")) for i in range(max(words) + 1)]
+    import tiktoken
+
+    with open(os.path.join(folder, A_FILE), "rb") as file:
+        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
+    a = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    tokens = [b""] * (max(ranks.values()) + 1)
+    for token, rank in ranks.items():
+        tokens[rank] = token
     b = sentencepiece.SentencePieceProcessor(model_file=os.path.join(folder, B_FILE))
     pieces = [bytes([int(p[3:5], 16)]) if re.fullmatch("<0x[0-9A-F]{2}>", p) else p.replace("▁", " ").encode() for p in map(b.id_to_piece, range(len(b)))]
-    return (
-        Side(tokens, lambda texts: [e.ids for e in a.encode_batch([f" {t}" for t in texts], add_special_tokens=False)]),
-        Side(pieces, lambda texts: b.encode(texts, num_threads=1)),
-    )
+    return Side(tokens, lambda texts: [a.encode_ordinary(f" {t}") for t in texts]), Side(pieces, lambda texts: b.encode(texts, num_threads=1))
 
 
 def sections(text: str, most: int = SECTION) -> list[str]:
@@ -105,11 +101,12 @@ def aligned(ids_a: np.ndarray, ids_b: np.ndarray, a: Side, b: Side) -> tuple[np.
     ends_a, ends_b = np.cumsum(a.lengths[ids_a]), np.cumsum(b.lengths[ids_b])
     marks = labels(ends_a, ends_b, int(ends_a[-1]))
     spans = np.cumsum(np.fromiter(map(len, _SPAN.findall(marks.tobytes())), np.int64))
-    in_a, in_b = np.cumsum(marks & 1, dtype=np.int64), np.cumsum(marks >> 1, dtype=np.int64)
-    count = lambda c: np.diff(c[spans - 1], prepend=0)
     at = np.flatnonzero(marks)
-    # The tokens of a link end here or later: as many tokens have ended before this byte as their places say.
-    return count(in_a), count(in_b), ids_a[in_a[at] - (marks[at] & 1)], ids_b[in_b[at] - (marks[at] >> 1)]
+    told = marks[at]
+    # Tokens that have ended up to each label.
+    in_a, in_b = np.cumsum(told & 1, dtype=np.int64), np.cumsum(told >> 1, dtype=np.int64)
+    last = np.searchsorted(at, spans - 1)
+    return np.diff(in_a[last], prepend=0), np.diff(in_b[last], prepend=0), ids_a[in_a - (told & 1)], ids_b[in_b - (told >> 1)]
 
 
 def group_names(ids_a: np.ndarray, ids_b: np.ndarray, in_a: np.ndarray, in_b: np.ndarray, a: Side, b: Side) -> bytes:

@@ -18,9 +18,27 @@ ODD = [
 ]
 
 
-def plain(rows):
-    a = Tokenizer.from_file(f"{T.TOKENIZERS}/{T.A_FILE}")
+def merges():
+    a = Tokenizer.from_file(f"{T.TOKENIZERS}/byte_bpe_50k.json")
     a.encode_special_tokens = True
+    return a
+
+
+def test_ranks_give_the_ids_of_the_merges():
+    """Over every code point, beside letters, digits, spaces and marks, and over random texts."""
+    a, merged = T.sides()[0], merges()
+    rng = np.random.default_rng(13)
+    tokens = [bytes(a.data[a.offsets[i] : a.offsets[i + 1]]) for i in range(len(a.lengths))]
+    texts = [f"x{chr(c)}y {chr(c)} 1{chr(c)}2  {chr(c)} .{chr(c)}." for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts += [b"".join(tokens[k] for k in rng.integers(0, len(tokens), n)).decode(errors="ignore") for n in rng.integers(1, 9, 20_000)]
+    texts += ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyzéüß'st ABC"), n)) for n in rng.integers(1, 60, 20_000)]
+    for first in range(0, len(texts), 50_000):
+        part = texts[first : first + 50_000]
+        assert [e.ids for e in merged.encode_batch([f" {t}" for t in part], add_special_tokens=False)] == a.encode(part)
+
+
+def plain(rows):
+    a = merges()
     b = sentencepiece.SentencePieceProcessor(model_file=f"{T.TOKENIZERS}/{T.B_FILE}")
     printable = [c for c in range(256) if 33 <= c < 127 or 161 <= c < 173 or 174 <= c]
     letter = {chr(c): c for c in printable}
