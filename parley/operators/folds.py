@@ -199,27 +199,58 @@ class Average(_Fold):
         yield row.event_id, self.now
 
 
-class Switch(_Fold):
-    """Which speaker stands after each match. A match of another speaker than the last one counts at once if its
-    similarity and its lead over the second are high (either of two pairs of bounds), else when it comes hits times
-    with no more than recent seconds between. Rows: at (seconds), speaker, similarity, lead. Gives at, speaker."""
+class Confirmation:
+    """May another speaker than the last one take over? At once if the similarity and the lead over the second are high (either of two
+    pairs of bounds), else when the speaker comes ``hits`` times with no more than ``recent`` seconds between."""
 
     def __init__(self, hits: int = 2, recent: float = 5.0, sure: tuple = ((0.80, 0.15), (0.75, 0.08))):
         self.hits, self.recent, self.sure = hits, recent, sure
-        self.last, self.waiting, self.seen, self.at = None, None, 0, 0.0
+        self.clear()
+
+    def clear(self) -> None:
+        self.waiting, self.seen, self.at = None, 0, 0.0
+
+    def allows(self, last, speaker, similarity: float, lead: float, at: float) -> bool:
+        again = self.waiting == speaker and at - self.at <= self.recent
+        self.seen = self.seen + 1 if again else 1
+        if last is None or speaker == last or any(similarity >= s and lead >= g for s, g in self.sure) or (again and self.seen >= self.hits):
+            self.clear()
+            return True
+        self.waiting, self.at = speaker, at
+        return False
+
+
+class Switch(_Fold):
+    """Which speaker stands after each match (see Confirmation). Rows: at (seconds), speaker, similarity, lead. Gives at, speaker."""
+
+    def __init__(self, **bounds):
+        self.last, self.confirmation = None, Confirmation(**bounds)
 
     def step(self, row):
-        if self.last is None or row.speaker == self.last or any(row.similarity >= s and row.lead >= g for s, g in self.sure):
-            self.last, self.waiting, self.seen = row.speaker, None, 0
-        elif self.waiting == row.speaker and row.at - self.at <= self.recent:
-            self.seen, self.at = self.seen + 1, row.at
-            if self.seen >= self.hits:
-                self.last, self.waiting, self.seen = row.speaker, None, 0
-        else:
-            self.waiting, self.seen, self.at = row.speaker, 1, row.at
+        if self.confirmation.allows(self.last, row.speaker, row.similarity, row.lead, row.at):
+            self.last = row.speaker
         yield row.event_id, self.last
 
 
+class Hold(_Fold):
+    """The last speaker stays for a while: a row of at least ``least`` similarity is a match; else the last speaker is held if matched or held
+    no more than ``recent`` seconds ago, with a similarity of its own (``own``) no more than ``weak`` below ``least`` and no more than
+    ``margin`` below the best; else nobody speaks. Rows: at (seconds), speaker, similarity, own. Gives event_id, speaker, held."""
+
+    def __init__(self, least: float = 0.68, recent: float = 5.0, weak: float = 0.06, margin: float = 0.04):
+        self.least, self.recent, self.weak, self.margin = least, recent, weak, margin
+        self.last, self.at = None, 0.0
+
+    def step(self, row):
+        match = row.similarity >= self.least
+        held = not match and self.last is not None and row.at - self.at <= self.recent and row.own >= self.least - self.weak and row.similarity - row.own <= self.margin
+        if match:
+            self.last = row.speaker
+        if match or held:
+            self.at = row.at
+        yield row.event_id, self.last if match or held else None, held
+
+
 class Voices(_Fold):
     """Speakers of a session by their pitch alone, as they come: the nearest profile, if nearer than ``near``, takes
     the row and moves towards it; else the row begins a new one. Rows: event_id and features. Gives event_id, speaker,

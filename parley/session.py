@@ -18,5 +18,6 @@ def local_session(cpus: str | int = "*", name: str = "parley") -> SparkSession:
         .config("spark.driver.memory", os.environ.get("PARLEY_MEMORY", "8g"))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.cteRecursionLevelLimit", "100000")
+        .config("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
         .getOrCreate()
     )
