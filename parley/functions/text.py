@@ -188,3 +188,24 @@ def number(text: Column) -> Column:
     """A finite number of a text, else 0."""
     found = text.try_cast("double")
     return F.when(found.isNotNull() & ~F.isnan(found) & (F.abs(found) < float("inf")), found).otherwise(0.0)
+
+
+def local_time(at: Column, zone: str = "UTC", language: str = "en") -> Column:
+    """A time (UTC) as a list of meetings shows it, in a time zone: 01/31/2026, 11:59 PM; in Vietnamese 23:59 31/01/2026."""
+    there = F.from_utc_timestamp(at, zone)
+    return F.date_format(there, "HH:mm dd/MM/yyyy") if language == "vi" else F.date_format(there, "MM/dd/yyyy, hh:mm a")
+
+
+def text_items(json: Column) -> Column:
+    """The texts of a JSON array that are not blank, trimmed; elements of other kinds are left out, and what is no array has none."""
+    raw = F.coalesce(F.from_json(json, "array<variant>"), F.array().cast("array<variant>"))
+    texts = F.transform(raw, lambda v: F.when(F.schema_of_variant(v) == "STRING", F.btrim(F.try_variant_get(v, "$", "string"), F.lit(BLANK))))
+    return F.filter(texts, lambda t: F.coalesce(t != "", F.lit(False)))
+
+
+def action_items(json: Column) -> Column:
+    """task, assignee, deadline of the objects of a JSON array that have a task; numbers count as texts, other fields are left out."""
+    raw = F.coalesce(F.from_json(json, "array<variant>"), F.array().cast("array<variant>"))
+    part = lambda v, k: F.btrim(F.coalesce(F.try_variant_get(v, f"$.{k}", "string"), F.lit("")), F.lit(BLANK)).alias(k)
+    rows = F.transform(raw, lambda v: F.struct(part(v, "task"), part(v, "assignee"), part(v, "deadline")))
+    return F.filter(rows, lambda r: r["task"] != "")

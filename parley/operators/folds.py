@@ -163,20 +163,24 @@ class Accumulate(_Fold):
 
 
 class Collapse(_Fold):
-    """Snapshots of one part become one: a row joins the part before if speaker and start agree and one's text
-    begins with the other's. The longer text stays, of equal ones the later; the latest end stays. Rows:
-    speaker, start, stop, text. Gives part, speaker, start, stop, text."""
+    """Snapshots of one part become one: a row joins the part before if the speaker, by number or by name, and the start agree and one's text
+    begins with the other's. The longer text stays and the longer translation, of equal ones the later; the latest end stays, and
+    all chunk ids, each where it came first. Rows: speaker_id, speaker, start, stop, text, translation, ids. Gives part and the same."""
 
     def __init__(self):
         self.last, self.part = None, 0
 
     def step(self, row):
-        now = [row.speaker, row.start, row.stop, row.text or ""]
         old = self.last
-        if old and old[:2] == now[:2] and (old[3].strip().startswith(now[3].strip()) or now[3].strip().startswith(old[3].strip())):
-            longer = now[3] if len(now[3].strip()) >= len(old[3].strip()) else old[3]
-            self.last = [now[0], old[1], max(old[2], now[2]), longer]
-            return
+        ids = [i.strip() for i in row.ids or [] if i and i.strip()]
+        now = [row.speaker_id or 0, row.speaker, row.start, row.stop, row.text or "", row.translation or "", list(dict.fromkeys(ids))]
+        if old and old[2] == now[2] and (old[0] == now[0] or (old[1] and old[1] == now[1])):
+            shorter, longer = sorted((old[4].strip(), now[4].strip()), key=len)
+            if longer.startswith(shorter):
+                text = now[4] if len(now[4].strip()) >= len(old[4].strip()) else old[4]
+                translation = now[5] if len(now[5]) >= len(old[5]) else old[5]
+                self.last = [now[0], now[1] or old[1], old[2], max(x for x in (old[3], now[3], 0) if x is not None), text, translation, list(dict.fromkeys(old[6] + ids))]
+                return
         if old:
             yield self.part, *old
             self.part += 1
@@ -187,6 +191,70 @@ class Collapse(_Fold):
             yield self.part, *self.last
 
 
+class TokenStream(_Fold):
+    """What a live transcript shows after each event of tokens. Final tokens stay, others stand behind them until the next event; the same for
+    tokens of the translation. A final token of another speaker closes the chunk, which comes whole, and begins the next with all of
+    the event's own. Rows: event, tokens (text, speaker from 0, is_final, is_translation). Gives event, kind (show, flush or end), chunk,
+    speaker, text, translation; a row of a chunk takes the place of its earlier ones."""
+
+    def __init__(self):
+        self.said, self.translated, self.speaker, self.chunk, self.event = "", "", 0, 0, None
+
+    def _row(self, kind: str, said: str, translated: str):
+        if said.strip():
+            yield self.event, kind, self.chunk, self.speaker, said.strip(), translated.strip() or None
+
+    def step(self, row):
+        self.event = row.event
+        tokens = [t for t in row.tokens or [] if t["text"] not in (None, "", "<end>")]
+        if not row.tokens:
+            return
+        text = lambda final, translation: "".join(t["text"] for t in tokens if bool(t["is_final"]) == final and bool(t["is_translation"]) == translation)
+        speakers = [t["speaker"] or 0 for t in tokens if t["is_final"] and not t["is_translation"]]
+        if self.said and any(s != self.speaker for s in speakers):
+            yield from self._row("flush", self.said, self.translated)
+            self.said, self.translated, self.chunk = "", "", self.chunk + 1
+        self.said, self.translated = self.said + text(True, False), self.translated + text(True, True)
+        self.speaker = speakers[-1] if speakers else self.speaker
+        yield from self._row("show", self.said + text(False, False), self.translated + text(False, True))
+
+    def end(self):
+        yield from self._row("end", self.said, self.translated)
+
+
+class Edits(_Fold):
+    """Parts of a transcript under edits of the last one: *add* a part; *append* a text to it, which keeps the text before; *replace* what was
+    appended last, or all, if nothing was; *revert* to the text before the last append, or take the part away, if there is none. Chunk
+    ids go with the texts. Rows: edit, text, chunk. Gives part, text, ids when the key ends."""
+
+    def __init__(self):
+        self.parts = []
+
+    def step(self, row):
+        text = row.text or ""
+        if row.edit == "add":
+            self.parts.append({"text": text, "base": "", "ids": [row.chunk] if row.chunk else []})
+        elif self.parts:
+            last = self.parts[-1]
+            if row.edit == "revert":
+                if not last["base"]:
+                    self.parts.pop()
+                else:
+                    last |= {"text": last["base"], "base": "", "ids": last["ids"][:-1] if len(last["ids"]) > 1 else last["ids"]}
+                return ()
+            if row.edit == "append":
+                last |= {"base": last["text"], "text": f"{last['text']} {text}"}
+            else:
+                last["text"] = f"{last['base']} {text}" if last["base"] else text
+            if row.chunk and row.chunk not in last["ids"]:
+                last["ids"].append(row.chunk)
+        return ()
+
+    def end(self):
+        for i, p in enumerate(self.parts):
+            yield i, p["text"], p["ids"]
+
+
 class Average(_Fold):
     """Exponential moving average, beginning with the first value. Rows: value. Gives order, value. A null value changes nothing."""
 
@@ -199,6 +267,21 @@ class Average(_Fold):
         yield row.event_id, self.now
 
 
+class VectorAverage(_Fold):
+    """Exponential moving average of vectors and of their statistics, beginning with the first row. Rows: vector, stats. Gives event_id, vector,
+    stats. A null vector changes nothing; a statistic that only one of both has is taken from it."""
+
+    def __init__(self, alpha: float = 0.1, stats_alpha: float = 0.12):
+        self.alphas, self.now = (alpha, stats_alpha), [None, None]
+
+    def step(self, row):
+        blend = lambda old, new, a: old if new is None else new if old is None else (1 - a) * old + a * new
+        for i, new in enumerate((row.vector, row.stats)):
+            old = self.now[i]
+            self.now[i] = old if new is None else list(new) if old is None else [blend(x, y, self.alphas[i]) for x, y in zip(old, new)]
+        yield row.event_id, self.now[0], self.now[1]
+
+
 class Confirmation:
     """May another speaker than the last one take over? At once if the similarity and the lead over the second are high (either of two
     pairs of bounds), else when the speaker comes ``hits`` times with no more than ``recent`` seconds between."""

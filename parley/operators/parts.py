@@ -29,7 +29,18 @@ def planned(pauses: DataFrame, key: str) -> DataFrame:
 
 
 def collapsed(snapshots: DataFrame, key: str, order: list[str]) -> DataFrame:
-    return folds.fold(snapshots, [key], order, folds.Collapse, f"{key} {_kind(snapshots, key)}, part int, speaker string, start long, stop long, text string")
+    """key, part and the snapshots' columns, one row a part (see folds.Collapse)."""
+    return folds.fold(snapshots, [key], order, folds.Collapse, f"{key} {_kind(snapshots, key)}, part int, speaker_id int, speaker string, start long, stop long, text string, translation string, ids array<string>")
+
+
+def shown(events: DataFrame, key: str) -> DataFrame:
+    """key, event, kind, chunk, speaker, text, translation of live transcripts (see folds.TokenStream)."""
+    return folds.fold(events, [key], ["event"], folds.TokenStream, f"{key} {_kind(events, key)}, event long, kind string, chunk int, speaker int, text string, translation string")
+
+
+def edited(edits: DataFrame, key: str, order: str) -> DataFrame:
+    """key, part, text, ids after all edits (see folds.Edits)."""
+    return folds.fold(edits, [key], [order], folds.Edits, f"{key} {_kind(edits, key)}, part int, text string, ids array<string>")
 
 
 def throttled(states: DataFrame, key: str) -> DataFrame:
@@ -44,6 +55,16 @@ def averaged(values: DataFrame, key: str, order: list[str], alpha: float = 0.1)
     return folds.fold(values, [key], order, lambda: folds.Average(alpha), f"{key} {_kind(values, key)}, event_id long, average double")
 
 
+def averaged_vectors(rows: DataFrame, key: str, order: list[str], alpha: float = 0.1, stats_alpha: float = 0.12) -> DataFrame:
+    """key, event_id, vector, stats of each row, averaged so far (see folds.VectorAverage)."""
+    return folds.fold(rows, [key], order, lambda: folds.VectorAverage(alpha, stats_alpha), f"{key} {_kind(rows, key)}, event_id long, vector array<double>, stats array<double>")
+
+
+def held(matches: DataFrame, key: str) -> DataFrame:
+    """key, event_id, speaker, held of each match (see folds.Hold)."""
+    return folds.fold(matches, [key], ["at", "event_id"], folds.Hold, f"{key} {_kind(matches, key)}, event_id long, speaker string, held boolean")
+
+
 def switched(matches: DataFrame, key: str) -> DataFrame:
     """key, event_id, speaker of each match, after it (see folds.Switch)."""
     return folds.fold(matches, [key], ["at", "event_id"], folds.Switch, f"{key} {_kind(matches, key)}, event_id long, speaker string")
@@ -174,6 +195,26 @@ def translated(parts: DataFrame, late: DataFrame, key: str) -> DataFrame:
     return told.groupBy(key, "part").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "translation"))), lambda x: x["translation"]), " ").alias("translation"))
 
 
+#: Behind the end of a sentence.
+SENTENCE_END = r"(?<=[.!?。！？])\s+"
+
+
+def aligned_translation(sentences: Column, translation: Column) -> Column:
+    """A translation dealt out to the sentences of its original: sentence by sentence if there are as many; else its words by the lengths of the
+    sentences, one at least each and the rest to the last. One sentence takes all; without a translation all pieces are empty."""
+    plain = F.btrim(F.coalesce(translation, F.lit("")), F.lit(T.BLANK))
+    own = F.filter(F.split(plain, SENTENCE_END), lambda s: F.btrim(s) != "")
+    words = F.filter(F.split(plain, r"\s+"), lambda w: w != "")
+    length = F.aggregate(sentences, F.lit(0), lambda s, x: s + F.length(x))
+    wanted = F.transform(sentences, lambda s: F.greatest(F.lit(1), F.floor(F.length(s) / length * F.size(words) + 0.5).cast("int")))
+    ends = F.aggregate(wanted, F.array(F.lit(0)), lambda s, n: F.array_append(s, F.element_at(s, -1) + n))
+    count = F.size(sentences)
+    stop = lambda i: F.when(i == count - 1, F.size(words)).otherwise(F.element_at(ends, i + 2))
+    dealt = F.transform(sentences, lambda s, i: F.array_join(F.slice(words, F.element_at(ends, i + 1) + 1, F.greatest(F.lit(0), stop(i) - F.element_at(ends, i + 1))), " "))
+    none = F.transform(sentences, lambda s: F.lit(""))
+    return F.when(count == 1, F.array(F.coalesce(translation, F.lit("")))).when((plain == "") | (length == 0), none).when(F.size(own) == count, own).otherwise(dealt)
+
+
 def packs(text: str | None, most: int = 40) -> list[str]:
     """A text of at most ``most`` words whole; else its sentences, as many as fit; what is over half as long again is cut."""
     text = text or ""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parley.functions import text as T
@@ -40,9 +40,9 @@ def overlap(before: str, after: str, least: int = 6, most: int = 120):
     )
 
 
-def pending(items: DataFrame, done: DataFrame, key: str) -> DataFrame:
-    """Items without a finished row: what a resumed job has still to do."""
-    return items.join(done, key, "left_anti")
+def pending(items: DataFrame, done: DataFrame, key: str, text: str | None = None) -> DataFrame:
+    """Items without a finished row: what a resumed job has still to do. With text, a row without text is not finished."""
+    return items.join(done.where(F.coalesce(F.col(text), F.lit("")) != "") if text else done, key, "left_anti")
 
 
 def merge_saved(saved: DataFrame, new: DataFrame, key: str, value: str) -> DataFrame:
@@ -52,8 +52,32 @@ def merge_saved(saved: DataFrame, new: DataFrame, key: str, value: str) -> DataF
 
 
 def first_by_hash(files: DataFrame, id_col: str, content: str) -> DataFrame:
-    """Idempotent ingest: for each content the least id, and how many files have it."""
-    return files.groupBy(F.md5(F.col(content).cast("binary")).alias("file_hash")).agg(F.min(id_col).alias("first_id"), F.count("*").alias("copies"))
+    """Idempotent ingest: for each content, known by its SHA-256, the least id, and how many files have it."""
+    return files.groupBy(F.sha2(F.col(content).cast("binary"), 256).alias("file_hash")).agg(F.min(id_col).alias("first_id"), F.count("*").alias("copies"))
+
+
+def summarised(parts: DataFrame, key: str, order: str, text: str, reduce, group: int = 4) -> DataFrame:
+    """key, text, levels: parts reduced ``group`` at a time, in order, and the results again, until each key has one. reduce(Column of the
+    group's texts, as an array) gives the text of a group. A level is one shuffle of a ``group``-th of the rows before it; all keys
+    go through the levels together, and one that has a single text is left as it is."""
+    place = F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1
+    rows = parts.select(key, place.alias("i"), F.col(text).alias("t"), F.count("*").over(Window.partitionBy(key)).alias("n"))
+    most, levels = rows.agg(F.max("n")).first()[0] or 0, 0
+    rows = rows.withColumn("levels", F.lit(0))
+    while group**levels < most:
+        levels += 1
+        texts = F.transform(F.array_sort(F.collect_list(F.struct("i", "t"))), lambda x: x["t"])
+        rows = rows.groupBy(key, F.floor(F.col("i") / group).cast("int").alias("i")).agg(texts.alias("texts"), F.max("n").alias("n"), F.max("levels").alias("levels"))
+        done = F.col("n") <= group ** (levels - 1)
+        rows = rows.select(key, "i", F.when(done, F.get("texts", F.lit(0))).otherwise(reduce(F.col("texts"))).alias("t"), "n", F.when(done, F.col("levels")).otherwise(levels).alias("levels"))
+    return rows.select(key, F.col("t").alias(text), "levels")
+
+
+def merged_fields(left: Column, right: Column) -> Column:
+    """Two maps of fields as one; the right one's value stands wherever it has the field, even as null."""
+    none = F.from_json(F.lit("{}"), "map<string,string>")
+    left, right = F.coalesce(left, none), F.coalesce(right, none)
+    return F.map_concat(F.map_filter(left, lambda k, v: ~F.map_contains_key(right, k)), right)
 
 
 def appearance(rows: DataFrame, key: str, order: list[str], label: str) -> DataFrame:

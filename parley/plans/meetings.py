@@ -118,10 +118,32 @@ def states(spark, sf):
     return c.select("conv_id", "turn", "k", F.col("role").alias("speaker"), F.col("turn").cast("long").alias("start"), (F.col("turn") * 10 + F.col("k")).cast("long").alias("stop"), F.left("text", F.col("k") * 25).alias("text"))
 
 
-@query(f"""WITH s AS (SELECT conv_id, turn, speaker, start, max(stop) AS stop, arg_max(text, k) AS text FROM {STATES} GROUP BY ALL ORDER BY 1, 2)
-SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INT) AS part, speaker, CAST(start AS BIGINT) AS start, CAST(stop AS BIGINT) AS stop, md5(text) AS text FROM s""".replace("GROUP BY ALL", "GROUP BY conv_id, turn, speaker, start"))
+#: Snapshots whose speaker stays by number only, by name only or not at all, some with another text.
+SHOTS = f"""(SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, k) AS n, CAST(CASE WHEN k % 3 = 2 THEN turn + 1 ELSE turn END AS INT) AS sid, CASE WHEN k % 2 = 0 THEN speaker ELSE speaker || turn END AS speaker, start, stop,
+CASE WHEN k = 4 THEN 'other ' || text ELSE text END AS text, left(text, CAST(k * 7 % 17 AS INT)) AS tr, list_value('t' || turn, 'k' || (k // 2)) AS ids FROM {STATES})"""
+
+
+@query(f"""WITH RECURSIVE s AS (SELECT * FROM {SHOTS}),
+r AS (
+  SELECT conv_id, n, 0 AS part, sid, speaker, start, stop, text, tr, ids FROM s WHERE n = 1
+  UNION ALL
+  SELECT conv_id, n, CASE WHEN m THEN part ELSE part + 1 END, sid, speaker, start, CASE WHEN m THEN greatest(stop, old_stop) ELSE stop END, CASE WHEN m AND length(trim(text)) < length(trim(old_text)) THEN old_text ELSE text END,
+    CASE WHEN m AND length(tr) < length(old_tr) THEN old_tr ELSE tr END, CASE WHEN m THEN old_ids || list_filter(ids, lambda x: NOT list_contains(old_ids, x)) ELSE ids END
+  FROM (SELECT s.*, r.part, r.stop AS old_stop, r.text AS old_text, r.tr AS old_tr, r.ids AS old_ids,
+    s.start = r.start AND (s.sid = r.sid OR s.speaker = r.speaker) AND (starts_with(trim(s.text), trim(r.text)) OR starts_with(trim(r.text), trim(s.text))) AS m
+    FROM r JOIN s ON s.conv_id = r.conv_id AND s.n = r.n + 1)
+)
+SELECT conv_id, part, arg_max(sid, n) AS speaker_id, arg_max(speaker, n) AS speaker, CAST(arg_max(start, n) AS BIGINT) AS start, CAST(arg_max(stop, n) AS BIGINT) AS stop, md5(arg_max(text, n)) AS text, md5(arg_max(tr, n)) AS translation, array_to_string(arg_max(ids, n), ',') AS ids FROM r GROUP BY conv_id, part""")
 def snapshot_collapse(spark, sf):
-    return M.collapsed(states(spark, sf), "conv_id", ["turn", "k"]).select("conv_id", "part", "speaker", "start", "stop", F.md5(F.col("text").cast("binary")).alias("text"))
+    """Snapshots of parts, merged where the speaker is the same by number or name."""
+    k, turn = F.col("k"), F.col("turn")
+    name = lambda head, n: F.concat(F.lit(head), n.cast("bigint").cast("string"))
+    shots = states(spark, sf).select(
+        "conv_id", "turn", "k", F.when(k % 3 == 2, turn + 1).otherwise(turn).cast("int").alias("speaker_id"), F.when(k % 2 == 0, F.col("speaker")).otherwise(F.concat("speaker", turn.cast("string"))).alias("speaker"), "start", "stop",
+        F.when(k == 4, F.concat(F.lit("other "), "text")).otherwise(F.col("text")).alias("text"), F.left("text", k * 7 % 17).alias("translation"), F.array(name("t", turn), name("k", F.floor(k / 2))).alias("ids"),
+    )
+    told = M.collapsed(shots, "conv_id", ["turn", "k"])
+    return told.select("conv_id", "part", "speaker_id", "speaker", "start", "stop", F.md5(F.col("text").cast("binary")).alias("text"), F.md5(F.col("translation").cast("binary")).alias("translation"), F.array_join("ids", ",").alias("ids"))
 
 
 @query(f"""WITH RECURSIVE s AS (SELECT conv_id, CAST(turn * 100 + k AS BIGINT) AS turn, speaker, CAST(turn * 10 + k * 0.7 AS DOUBLE) AS tm, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, k) AS n FROM {STATES}),
@@ -138,12 +160,21 @@ def change_throttle(spark, sf):
     return M.throttled(s, "conv_id").select("conv_id", "turn", F.md5(F.col("text").cast("binary")).alias("text"))
 
 
-@query()
+@query("""WITH RECURSIVE c AS (SELECT conv_id, CAST(turn // 2 AS VARCHAR) AS speaker, text, CAST(CASE WHEN turn % 6 = 5 THEN turn - 3 ELSE turn END AS VARCHAR) AS chunk, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, count(*) OVER (PARTITION BY conv_id) AS total FROM conversations WHERE trim(text, ' ' || chr(9) || chr(10) || chr(13)) <> ''),
+r AS (
+  SELECT conv_id, n, total, [{'s': speaker, 'ids': [chunk], 'texts': [text]}] AS parts FROM c WHERE n = 1
+  UNION ALL
+  SELECT conv_id, n, total, CASE WHEN k IS NULL THEN parts || [{'s': speaker, 'ids': [chunk], 'texts': [text]}]
+    ELSE parts[1:k-1] || [{'s': speaker, 'ids': CASE WHEN i > 0 THEN parts[k].ids ELSE parts[k].ids || [chunk] END, 'texts': CASE WHEN i > 0 THEN parts[k].texts[1:i-1] || [text] || parts[k].texts[i+1:] ELSE parts[k].texts || [text] END}] || parts[k+1:] END
+  FROM (SELECT *, coalesce(list_position(parts[k].ids, chunk), 0) AS i FROM (
+    SELECT c.*, r.parts, coalesce(nullif(list_position(list_transform(r.parts, lambda p: list_contains(p.ids, c.chunk)), true), 0), CASE WHEN r.parts[-1].s = c.speaker THEN len(r.parts) END) AS k FROM r JOIN c ON c.conv_id = r.conv_id AND c.n = r.n + 1))
+), u AS (SELECT conv_id, unnest(parts) AS p, CAST(generate_subscripts(parts, 1) - 1 AS INT) AS part FROM r WHERE n = total)
+SELECT conv_id, part, p.s AS speaker, array_to_string(p.ids, ',') AS chunks, md5(array_to_string(p.texts, ' ')) AS text FROM u""")
 def realtime_parts(spark, sf):
     """Results of a meeting; every sixth one corrects the chunk of the third before it, with its own speaker."""
     c = table(spark, sf, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), F.floor(F.col("turn") / 2).cast("string").alias("speaker"), "text")
     c = c.withColumn("chunk", F.when((F.col("turn") % 6 == 5), F.col("turn") - 3).otherwise(F.col("turn")).cast("string"))
-    return M.accumulated(c, "conv_id", "turn")
+    return M.accumulated(c, "conv_id", "turn").select("conv_id", "part", "speaker", F.array_join("chunks", ",").alias("chunks"), F.md5(F.col("text").cast("binary")).alias("text"))
 
 
 @query("""WITH RECURSIVE e AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
@@ -283,14 +314,20 @@ def minutes_title(spark, sf):
     return d.select("doc_id", T.minutes_title(F.coalesce(headed, "text")).alias("title"))
 
 
-STATES_IN_ORDER = ["view", "click", "signup", "purchase", "error"]
+#: The states of a job in their order; the last three end it.
+JOB_STATES = ["pending", "uploading", "normalizing", "transcribing", "finalizing", "done", "failed", "cancelled"]
+JOBS = f"(SELECT user_id, event_id, ts, {JOB_STATES}[1 + CAST(floor(abs(value) * 100) AS BIGINT) % 8] AS state FROM events)"
 
 
-@query("""WITH o AS (SELECT user_id, event_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events),
-p AS (SELECT *, list_position(KINDS, event_type) AS b, list_position(KINDS, before) AS a FROM o)
-SELECT user_id, event_id, before, event_type, before IS NULL OR (coalesce(b, 0) > coalesce(a, 0) AND coalesce(a, 0) < 5) AS allowed FROM p""".replace("KINDS", str(STATES_IN_ORDER)))
+@query(f"""WITH o AS (SELECT user_id, event_id, state, lag(state) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM {JOBS}),
+p AS (SELECT *, list_position({JOB_STATES}, state) AS b, list_position({JOB_STATES}, before) AS a FROM o)
+SELECT user_id, event_id, before, state, a IS NULL OR (a <= 5 AND (b > 5 OR b > a)) AS allowed, b > 5 AS ended FROM p""")
 def job_transitions(spark, sf):
-    return jobs.transitions(table(spark, sf, "events"), STATES_IN_ORDER)
+    """Each user's events as the states of a job: onwards only, to an end from anywhere, and from an end nowhere."""
+    e = table(spark, sf, "events")
+    state = F.element_at(F.array(*map(F.lit, JOB_STATES)), (F.floor(F.abs("value") * 100) % 8 + 1).cast("int"))
+    told = jobs.transitions(e.select("user_id", "event_id", "ts", state.alias("state")), JOB_STATES[:5], state="state", ends=JOB_STATES[5:])
+    return told.withColumn("ended", F.col("state").isin(JOB_STATES[5:]))
 
 
 @query("""WITH p AS (SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INT) AS part, role, turn, text FROM conversations)
@@ -314,7 +351,14 @@ def chunk_embeddings(spark, sf):
     return d.join(e, d["doc_id"] == e["vec_id"], "left").select("doc_id", F.md5(F.col("text").cast("binary")).alias("text"), F.col("vec_id").isNotNull().alias("embedded"), "label")
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_id, event_type AS sp, abs(value) % 1 AS sim, abs(value) * 10 % 1 / 4 AS lead, epoch_us(ts) / 1e10 AS tm, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+r AS (
+  SELECT user_id, event_id, n, sp AS last, CAST(NULL AS VARCHAR) AS waiting, 0 AS seen, CAST(0 AS DOUBLE) AS tm FROM e WHERE n = 1
+  UNION ALL
+  SELECT user_id, event_id, n, CASE WHEN ok THEN sp ELSE last END, CASE WHEN ok THEN NULL ELSE sp END, CASE WHEN ok THEN 0 ELSE now END, CASE WHEN ok THEN 0 ELSE tm END FROM (
+    SELECT *, sp = last OR (sim >= 0.8 AND lead >= 0.15) OR (sim >= 0.75 AND lead >= 0.08) OR now >= 2 AS ok FROM (
+      SELECT e.*, r.last, CASE WHEN r.waiting = e.sp AND e.tm - r.tm <= 5 THEN r.seen + 1 ELSE 1 END AS now FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1)))
+SELECT user_id, event_id, last AS speaker FROM r""")
 def speaker_switches(spark, sf):
     """Events as matches of speakers, with similarities from their values."""
     e = table(spark, sf, "events")
@@ -374,12 +418,19 @@ def speaker_corrections(spark, sf):
     return M.corrected(parts, changes, "conv_id").select("conv_id", "part", "speaker")
 
 
-@query("SELECT user_id, event_id, event_type, coalesce(event_type = lag(event_type) OVER w AND ts - lag(ts) OVER w <= INTERVAL 5 MINUTE, false) AS sticky FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_id, event_type, event_id / 40.0 AS tm, abs(value) % 1 AS best, abs(value) * 10 % 1 AS own, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+r AS (
+  SELECT user_id, n, event_id, best >= 0.68 AS hit, false AS held, CASE WHEN best >= 0.68 THEN event_type END AS last, CASE WHEN best >= 0.68 THEN tm ELSE 0 END AS last_tm FROM e WHERE n = 1
+  UNION ALL
+  SELECT user_id, n, event_id, hit, held, CASE WHEN hit THEN event_type ELSE last END, CASE WHEN hit OR held THEN tm ELSE last_tm END FROM (
+    SELECT *, coalesce(NOT hit AND last IS NOT NULL AND tm - last_tm <= 5 AND own >= 0.68 - 0.06 AND best - own <= 0.04, false) AS held FROM (
+      SELECT e.*, e.best >= 0.68 AS hit, r.last, r.last_tm FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1))
+)
+SELECT user_id, event_id, CASE WHEN hit OR held THEN last END AS speaker, held FROM r""")
 def sticky_speaker(spark, sf):
-    """Is the speaker of an event the last one, and that a short time ago?"""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    near = (F.col("event_type") == F.lag("event_type").over(w)) & (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lag("ts").over(w).cast("timestamp")) <= 300_000_000)
-    return table(spark, sf, "events").select("user_id", "event_id", "event_type", F.coalesce(near, F.lit(False)).alias("sticky"))
+    """Events as matches a fortieth of a second apart: who speaks, and is that the last speaker, held for up to five seconds?"""
+    e = table(spark, sf, "events")
+    return M.held(e.select("user_id", "event_id", (F.col("event_id") / 40.0).cast("double").alias("at"), F.col("event_type").alias("speaker"), (F.abs("value") % 1).alias("similarity"), (F.abs("value") * 10 % 1).alias("own")), "user_id")
 
 
 @query("SELECT event_id, user_id, time_bucket(INTERVAL 10 SECOND, ts) AS flush, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 500 AS kept FROM events")

@@ -52,8 +52,8 @@ def sentence_count(spark, sf):
 
 @query("SELECT conv_id, turn, role FROM conversations WHERE lower(text) LIKE '%the%'")
 def title_search(spark, sf):
-    """Every match of a case-insensitive search, newest first."""
-    return table(spark, sf, "conversations").where(F.lower("text").like("%the%")).orderBy(F.desc("conv_id"), F.desc("turn")).select("conv_id", "turn", "role")
+    """Every match of a case-insensitive search."""
+    return table(spark, sf, "conversations").where(F.lower("text").like("%the%")).select("conv_id", "turn", "role")
 
 
 @query("SELECT conv_id, turn, role FROM conversations WHERE lower(text) LIKE '%the%'")
@@ -94,14 +94,16 @@ def hallucination_filter_all(spark, sf):
     return docs.where(~T.invented(F.col("text"))).select("doc_id")
 
 
-@query("SELECT md5(text) AS file_hash, min(doc_id) AS first_id, count(*) AS copies FROM documents GROUP BY 1")
+@query("SELECT sha256(text) AS file_hash, min(doc_id) AS first_id, count(*) AS copies FROM documents GROUP BY 1")
 def dedupe_by_hash(spark, sf):
     return P.first_by_hash(table(spark, sf, "documents"), "doc_id", "text")
 
 
-@query("SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
+@query("SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND l.toxic = 0)")
 def pending_anti_join(spark, sf):
-    return P.pending(table(spark, sf, "documents").select("doc_id"), table(spark, sf, "labels").select("doc_id"), "doc_id")
+    """Labels are saved results, those of toxic documents without text: they are done again."""
+    saved = table(spark, sf, "labels").select("doc_id", F.when(F.col("toxic") == 0, "text").otherwise("").alias("text"))
+    return P.pending(table(spark, sf, "documents").select("doc_id"), saved, "doc_id", "text")
 
 
 @query("SELECT l.doc_id, CASE WHEN l.toxic = 1 THEN 1 - l.quality ELSE l.quality END AS quality FROM labels l")

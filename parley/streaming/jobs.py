@@ -28,14 +28,15 @@ def latest(events: DataFrame) -> DataFrame:
     return events.groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("state"), F.max("ts").alias("ts"))
 
 
-def transitions(events: DataFrame, states: list[str], key: str = "user_id", state: str = "event_type") -> DataFrame:
-    """Each job's events with the state before and whether the step is allowed: from nothing to any state, then only
-    onwards in the order of states, and from the last one nowhere."""
+def transitions(events: DataFrame, states: list[str], key: str = "user_id", state: str = "event_type", ends: list[str] | None = None) -> DataFrame:
+    """Each job's events with the state before and whether the step is allowed: from nothing to any state, then only onwards in the order of
+    states or to one of ends, and from an end nowhere. Without ends the last state is the only one."""
     w = Window.partitionBy(key).orderBy("ts", "event_id")
+    ends = states[-1:] if ends is None else ends
     place = lambda c: F.array_position(F.array(*map(F.lit, states)), c)
     told = events.withColumn("before", F.lag(state).over(w))
-    allowed = F.col("before").isNull() | ((place(F.col(state)) > place(F.col("before"))) & (place(F.col("before")) < len(states)))
-    return told.select(key, "event_id", "before", state, allowed.alias("allowed"))
+    onwards = F.col(state).isin(ends) | (place(F.col(state)) > place(F.col("before")))
+    return told.select(key, "event_id", "before", state, (F.col("before").isNull() | (onwards & ~F.col("before").isin(ends))).alias("allowed"))
 
 
 def throttled(results: DataFrame, grown: int = 30, wait: float = 1.5) -> DataFrame:

@@ -85,9 +85,15 @@ def test_throttle_and_collapse(spark):
     states = [(0, "a", 1.0, "x"), (1, "a", 1.5, "xy"), (2, "a", 2.5, "xyz"), (3, "a", 2.6, "x" * 40), (4, "a", 9.0, "x" * 40), (5, "b", 9.1, "x")]
     got = M.throttled(spark.createDataFrame([(1, *r) for r in states], "m int, turn long, speaker string, at double, text string"), "m")
     assert [r.turn for r in got.orderBy("turn").collect()] == [0, 2, 3, 5]
-    shots = [(0, "a", 0, 5, "ab"), (1, "a", 0, 4, "abc "), (2, "a", 0, 9, "ab"), (3, "a", 0, 9, "zz"), (4, "b", 0, 9, "zz"), (5, "b", 1, 9, "")]
-    got = M.collapsed(spark.createDataFrame([(1, *r) for r in shots], "m int, k int, speaker string, start long, stop long, text string"), "m", ["k"])
-    assert rows_of(got, "part") == [(1, 0, "a", 0, 9, "abc "), (1, 1, "a", 0, 9, "zz"), (1, 2, "b", 0, 9, "zz"), (1, 3, "b", 1, 9, "")]
+    shots = [
+        (0, 1, "a", 0, 5, "ab", "x", ["p"]), (1, 1, "b", 0, 4, "abc ", "", ["p", "q"]), (2, 7, "b", 0, 9, "ab", None, [" q ", "r", ""]), (3, 7, "b", 0, 9, "zz", "t", None), (4, 8, "c", 0, 9, "zz", "t", None), (5, 8, "c", 1, 9, "", None, None),
+        (6, None, None, 1, None, "a", None, None), (7, 0, "", 1, 3, "ab", None, None),
+    ]
+    schema = "m int, k int, speaker_id int, speaker string, start long, stop long, text string, translation string, ids array<string>"
+    got = M.collapsed(spark.createDataFrame([(1, *r) for r in shots], schema), "m", ["k"])
+    assert rows_of(got, "part") == [
+        (1, 0, 7, "b", 0, 9, "abc ", "x", ["p", "q", "r"]), (1, 1, 7, "b", 0, 9, "zz", "t", []), (1, 2, 8, "c", 0, 9, "zz", "t", []), (1, 3, 8, "c", 1, 9, "", "", []), (1, 4, 0, None, 1, 3, "ab", "", []),
+    ]
 
 
 def test_packs_and_pieces():

@@ -8,7 +8,7 @@ import os
 import duckdb
 import pytest
 
-from parley.plans import meetings  # noqa: F401
+from parley.plans import live, meetings  # noqa: F401
 from parley.plans.registry import ORACLES, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
