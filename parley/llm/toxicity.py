@@ -10,8 +10,9 @@ Landmarks are chosen greedily: the word whose kernel neighbourhood tells most ab
 first, then what its neighbourhood explains is taken off and the next one is chosen. So words of one
 stem add up, and every family of insults gets landmarks, whatever its language and however rare it is.
 The Nyström map K^(-1/2) turns kernel values into features of the support vector machine, which learns
-from sentences: those of toxic documents that are near a landmark against all of clean documents. A
-document's probability follows from its sentences' decision values: the highest, and their positive
+from sentences: all of toxic documents that are near a landmark against all of clean documents. Equal
+ones are counted, not repeated; each Newton step adds up its equations in tasks, and only their sum, of a
+size that the landmarks bound, comes to the driver. A document's probability follows from its sentences' decision values: the highest, and their positive
 sum, alone and against the document's length (a logistic fit on the labelled documents).
 """
 
@@ -37,8 +38,8 @@ LANDMARKS, CANDIDATES = 128, 1_500
 #: The log-likelihood gain that a landmark's neighbourhood must have.
 GAIN_LEAST = 10.0
 DECAY, SPAN, SHARPEN, NEAR = 0.9, 7, 4, 0.45
-#: Sentences of a document that the machine learns from, those nearest to landmarks, and its cost of an error.
-WITNESSES, COST = 5, 10.0
+#: The machine's cost of an error, its Newton steps at most, and the tasks that share the sample.
+COST, STEPS, TASKS = 10.0, 50, 64
 #: Words whose scores a task keeps at once; more are scored again.
 CACHE = 200_000
 #: Characters of texts whose words are scored together; a longer text stands alone.
@@ -187,26 +188,47 @@ def features(told: list[tuple[float, list[str]]]) -> tuple[float, float, float,
     return max([v for v, _ in told], default=0.0), math.log1p(total), math.log1p(words), total / (words + 20) * 20
 
 
-def _fit_svm(x: np.ndarray, y: np.ndarray, cost: float) -> tuple[np.ndarray, float]:
-    """A linear support vector machine with squared hinge loss, by Newton steps on its active set."""
-    z = np.hstack([x, np.ones((len(x), 1), x.dtype)])
-    s = np.where(y > 0, 1.0, -1.0)
-    c = cost * np.where(y > 0, len(y) / (2 * max(1, (y > 0).sum())), len(y) / (2 * max(1, (y <= 0).sum())))
-    ridge = np.diag([1.0] * x.shape[1] + [1e-6])
-    w = np.zeros(z.shape[1])
-    for _ in range(50):
-        left, right = ridge.copy(), np.zeros(len(w))
-        for i in range(0, len(z), 10_000):  # a part at a time bounds the memory
-            part = z[i : i + 10_000].astype(float)
-            on = s[i : i + 10_000] * (part @ w) < 1
-            part, cost_on = part[on], c[i : i + 10_000][on]
-            left += (part * cost_on[:, None]).T @ part
-            right += part.T @ (cost_on * s[i : i + 10_000][on])
+def _fit_svm(vectors: DataFrame, root: np.ndarray, empty: int, cost: float) -> np.ndarray:
+    """A linear support vector machine with squared hinge loss, by Newton steps on its active set. vectors: toxic, at, value (a sparse kernel
+    row), n (how often it occurs); empty: rows of clean documents without any kernel value."""
+    count = {bool(r.toxic): r.n for r in vectors.groupBy("toxic").agg(F.sum("n").alias("n")).collect()}
+    yes, no = count.get(True, 0), count.get(False, 0) + empty
+    costs = {k: cost * (yes + no) / (2 * max(1, c)) for k, c in ((True, yes), (False, no))}
+    size = len(root)
+    ridge = np.diag([1.0] * size + [1e-6])
+    w = np.zeros(size + 1)
+    for step in range(STEPS):
+
+        def added(batches, w=w):
+            total = np.zeros((size + 1, size + 2))
+            for batch in batches:
+                toxic = batch.column("toxic").to_numpy(zero_copy_only=False) > 0
+                n, lengths = batch.column("n").to_numpy(zero_copy_only=False), np.diff(batch.column("at").offsets.to_numpy())
+                at, value = (batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("at", "value"))
+                ends = np.cumsum(lengths)
+                for i in range(0, len(toxic), 5_000):
+                    j = min(i + 5_000, len(toxic))
+                    lo, hi = ends[i] - lengths[i], ends[j - 1]
+                    x = np.zeros((j - i, size))
+                    x[np.repeat(np.arange(j - i), lengths[i:j]), at[lo:hi]] = value[lo:hi]
+                    z = np.hstack([x @ root, np.ones((j - i, 1))])
+                    sign = np.where(toxic[i:j], 1.0, -1.0)
+                    on = sign * (z @ w) < 1
+                    z, share = z[on], (np.where(toxic[i:j], costs[True], costs[False]) * n[i:j])[on]
+                    total[:, :-1] += (z * share[:, None]).T @ z
+                    total[:, -1] += z.T @ (share * sign[on])
+            yield pa.RecordBatch.from_arrays([pa.array([total.ravel().tolist()], pa.list_(pa.float64()))], ["sums"])
+
+        total = sum(np.array(r.sums).reshape(size + 1, size + 2) for r in vectors.select("toxic", "at", "value", "n").mapInArrow(added, "sums array<double>").toLocalIterator())
+        left, right = total[:, :-1] + ridge, total[:, -1].copy()
+        if -w[-1] < 1:
+            left[-1, -1] += costs[False] * empty
+            right[-1] -= costs[False] * empty
         new = np.linalg.solve(left, right)
         if np.allclose(new, w, atol=1e-9):
             break
-        w = 0.5 * w + 0.5 * new if _ > 20 else new
-    return w[:-1], w[-1]
+        w = 0.5 * w + 0.5 * new if step > 20 else new
+    return w[:-1]
 
 
 def _fit_logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -266,7 +288,7 @@ def learn(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic",
     rows = labelled.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("toxic"))
     scratch = Scratch(spark)
     share = min(1.0, train_docs / max(1, rows.count()))
-    sample = scratch.save(rows.where(F.pmod(F.xxhash64("id", F.lit(6)), F.lit(10**6)) < share * 10**6).select("text", "toxic").repartition(spark.sparkContext.defaultParallelism))
+    sample = scratch.save(rows.where(F.pmod(F.xxhash64("id", F.lit(6)), F.lit(10**6)) < share * 10**6).select("text", "toxic").repartition(min(TASKS, spark.sparkContext.defaultParallelism)))
 
     # a sentence is one example however many documents share it, and clean if any of these is
     def told(frames):
@@ -304,56 +326,43 @@ def learn(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic",
     kernel = Kernel(landmarks)
     given = spark.sparkContext.broadcast(kernel)
 
-    # of the labelled sentences only their kernels that are not 0 come to the driver, and of each document a row
-    # (landmark -1) with its number of words and, as its sentence, whether it has other sentences too
+    # a row for each sentence near a landmark, with its kernel values that are not 0; one without values for a document's other sentences
     def kernels(batches):
         kernel = given.value
         scorer = Scorer(kernel, np.ones(len(kernel.landmarks)))
         for batch in batches:
-            rows, near, toxic = [], {}, batch.column(1).to_pylist()
-            for doc, found in enumerate(scorer.sentences(x.as_py() for x in batch.column(0))):
-                close = [s for v, s in sorted((x for x in found if x[0] > 0), key=lambda x: -x[0])]
-                new = sorted({w for s in close for w in s if w not in near and scorer.words({w})[w] > 0})
-                near.update(zip(new, kernel(new)))
-                rows.append((doc, toxic[doc], int(len(found) > len(close)), -1, sum(len(s) for _, s in found)))
-                for i, s in enumerate(close):
-                    k = sum(near[w] for w in s if w in near)
-                    rows += [(doc, toxic[doc], i, at, k[at]) for at in np.flatnonzero(k)]
-            told = np.array(rows, float).reshape(-1, 5)
-            yield pa.RecordBatch.from_arrays([pa.array(told[:, i].astype(t)) for i, t in enumerate((np.int32, np.int32, np.int32, np.int32, np.float32))], names=["doc", "toxic", "sentence", "landmark", "value"])
-
-    held = sample.mapInArrow(kernels, "doc int, toxic int, sentence int, landmark int, value float").toArrow()
+            out, known = [], {}
+            texts = (x.as_py() for x in batch.column("text"))
+            for row, toxic, found in zip(batch.column("row").to_pylist(), batch.column("toxic").to_pylist(), scorer.sentences(texts)):
+                words = sum(len(s) for _, s in found)
+                close = [s for v, s in found if v > 0]
+                new = sorted({w for s in close for w in s if w not in known and scorer.words({w})[w] > 0})
+                known.update(zip(new, kernel(new)))
+                if len(known) > CACHE // 10:
+                    known = {w: known[w] for s in close for w in s if w in known}
+                if len(found) > len(close) or not close:
+                    out.append((row, toxic, words, None, None))
+                for s in close:
+                    k = sum(known[w] for w in s if w in known)
+                    at = np.flatnonzero(k)
+                    out.append((row, toxic, words, at.tolist(), k[at].tolist()))
+            columns = list(zip(*out)) if out else [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.float64())))], ["row", "toxic", "words", "at", "value"])
+
+    numbered = scratch.save(sample.withColumn("row", F.monotonically_increasing_id()))
+    told = scratch.save(numbered.mapInArrow(kernels, "row long, toxic int, words long, at array<int>, value array<double>"))
+    vectors = scratch.save(told.where("at is not null").groupBy((F.col("toxic") > 0).cast("int").alias("toxic"), "at", "value").agg(F.count("*").alias("n")).coalesce(TASKS))
+    values, axes = np.linalg.eigh(kernel(kernel.landmarks))
+    root = axes @ np.diag(1 / np.sqrt(np.maximum(values, 1e-3))) @ axes.T
+    weights = root @ _fit_svm(vectors, root, told.where("at is null and toxic <= 0 and words > 0").count(), COST)
+    own = F.array(*map(F.lit, weights.tolist()))
+    value = F.aggregate(F.zip_with("at", "value", lambda i, v: F.get(own, i) * v), F.lit(0.0), lambda s, x: s + x)
+    value = F.when(F.col("at").isNull(), 0.0).otherwise(value)
+    docs = told.select("row", "toxic", "words", value.alias("v")).groupBy("row").agg(F.max("toxic").alias("toxic"), F.max("words").alias("words"), F.max("v").alias("best"), F.sum(F.greatest("v", F.lit(0.0))).alias("total")).drop("row").toPandas()
     given.destroy()
-    scratch.drop(sample, distinct)
-    return landmarks, *fit(kernel, *(held[c].to_numpy() for c in ("toxic", "sentence", "landmark", "value")))
-
-
-def fit(kernel: Kernel, toxic: np.ndarray, sentence: np.ndarray, landmark: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Weights of the landmarks' kernels, by a support vector machine on the Nyström features of sentences, and
-    weights of the document's features. A document's rows stand together, its own one (landmark -1) first."""
-    size = len(kernel.landmarks)
-    values, vectors = np.linalg.eigh(kernel(kernel.landmarks))
-    root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-3))) @ vectors.T
-    own = landmark < 0
-    doc = np.cumsum(own, dtype=np.int64) - 1
-    entry = np.flatnonzero(~own)
-    keys, of = np.unique(doc[entry] << 32 | sentence[entry], return_inverse=True)
-    at, label = keys >> 32, toxic[own] > 0
-    first = np.flatnonzero((keys & 0xFFFFFFFF) < WITNESSES)  # sentences come strongest first
-    place = np.full(len(keys), -1)
-    place[first] = np.arange(len(first))
-    shown = place[of] >= 0
-    near = np.zeros((len(first), size), np.float32)
-    near[place[of[shown]], landmark[entry[shown]]] = value[entry[shown]]
-    other = int((~label & (sentence[own] > 0)).sum())  # clean documents with sentences without a near word
-    x = np.vstack([near @ root.astype(np.float32), np.zeros((other, size), np.float32)])
-    weights = root @ _fit_svm(x, np.append(label[at[first]], np.zeros(other, bool)), COST)[0]
-    told = np.bincount(of, value[entry] * weights[landmark[entry]], len(keys))
-    words, best, total = value[own].astype(float), np.where(sentence[own] > 0, 0.0, -np.inf), np.zeros(own.sum())
-    np.maximum.at(best, at, told)
-    np.add.at(total, at, np.maximum(told, 0))
-    best[np.isinf(best)] = 0
-    return weights, _fit_logistic(np.stack([best, np.log1p(total), np.log1p(words), total / (words + 20) * 20], 1), label)
+    scratch.drop(sample, distinct, numbered, told, vectors)
+    words, total = docs["words"].to_numpy(float), docs["total"].to_numpy()
+    return landmarks, weights, _fit_logistic(np.stack([docs["best"].to_numpy(), np.log1p(total), np.log1p(words), total / (words + 20) * 20], 1), docs["toxic"].to_numpy() > 0)
 
 
 def score_batch(texts: Iterable[str | None], scorer: Scorer, document: np.ndarray) -> np.ndarray:
