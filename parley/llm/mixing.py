@@ -79,8 +79,8 @@ def _few(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def mix_sources(docs: DataFrame, weights: tuple = WEIGHTS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 11) -> DataFrame:
-    """doc_id, size, source, source_size, target, taken for every row of docs.
+def mix_sources(docs: DataFrame, weights: tuple = WEIGHTS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 11, carry: tuple = ()) -> DataFrame:
+    """doc_id, size, source, source_size, target, taken for every row of docs, and the columns named in carry.
 
     size is the number of words of the whole text (null or empty text: 0, nothing taken); a null
     source is a source like others, the last one; sources of other types count as their strings. The driver sees one row a source and shard: a
@@ -90,7 +90,7 @@ def mix_sources(docs: DataFrame, weights: tuple = WEIGHTS, id_col: str = "doc_id
     spark = docs.sparkSession
     scratch = Scratch(spark)
     rows = scratch.save(
-        docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long").alias("size"))
+        docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long").alias("size"), *carry)
     )
     found = sorted(((r.source, int(r.size), r.rows) for r in rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("rows")).collect()), key=lambda r: (r[0] is None, r[0] or ""))
     of = pd.DataFrame(found, columns=["source", "source_size", "rows"])
@@ -128,5 +128,6 @@ def mix_sources(docs: DataFrame, weights: tuple = WEIGHTS, id_col: str = "doc_id
         .select(
             "doc_id", "size", "source", "source_size", "target",
             (F.col("rounds") * F.col("size") + F.greatest(F.lit(0), F.least("size", F.col("rest") - F.col("before")))).cast("long").alias("taken"),
+            *carry,
         )
     )

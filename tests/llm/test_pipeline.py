@@ -55,6 +55,24 @@ def test_stages_on_odd_rows(spark, k):
     if name == "n-gram Jaccard join":
         assert sorted(i or 0 for i in ids) == [0, 1, 2, 3, 4, 5]
     elif name == "mixing sources to target weights":
-        assert set(ids) <= {None, 4, 5, 6} and 5 in ids
+        taken = {(r.doc_id, r.size): int(r.taken / r.size + 0.5) for r in mixing.mix_sources(odd).where("size > 0").collect()}
+        want = Counter()
+        for i, text, *_ in ODD:
+            want[i] += taken.get((i, len((text or "").split())), 0)
+        assert Counter(ids) == +want and None in ids and 5 in ids
     else:
         assert len(ids) == len(ODD)
+
+
+def test_rows_without_an_id_or_with_one_that_repeats(spark):
+    """A contaminated row goes and clean ones stay, whatever their ids; the mix keeps rows without an id."""
+    item = spark.read.parquet(f"{FOLDER}/benchmark.parquet").orderBy("item_id").first().text
+    rows = [(None, f"before {item} after"), (None, "clean words without an id"), (None, None), (7, item), (7, "clean words under a repeated id"), (7, "clean words under a repeated id"), (8, f"x {item} y {item}")]
+    docs = spark.createDataFrame([(i, t, "en", "a") for i, t in rows], "doc_id long, text string, lang string, source string")
+    kept = corpus_pipeline.drop_contaminated(spark, docs, FOLDER)
+    assert kept.columns == docs.columns
+    assert sorted(map(str, [(r.doc_id, r.text) for r in kept.collect()])) == sorted(map(str, [rows[1], rows[2], rows[4], rows[5]]))
+    mixed = corpus_pipeline.mix(spark, docs, FOLDER)
+    assert mixed.columns == docs.columns
+    told = Counter((r.doc_id, r.text) for r in mixed.collect())
+    assert (None, rows[0][1]) in told and (None, None) not in told and told[rows[4]] % 2 == 0
