@@ -6,7 +6,12 @@ parsed to trees and aligned one after another by simple tree matching (Yang 1991
 match, and the best matching of their children follows order. Aligned nodes collect how much text varies,
 links apart, and the path down to the node that has most of it is the content. A page's main text is what
 stands below that path, without template texts and without elements that are by tag or name menus,
-notices, adverts and the like. Below the content a name counts only if all its parts are such words.
+notices, adverts and the like. Below the content a name counts only if all its parts are such words, one of them a plain one:
+a header, a menu or a notice in an article may be its own.
+
+Trees may be of any depth: all walks keep stacks of their own, and a path of labels is known by a running hash. Equal
+subtrees are matched by their hashes, each two different ones once, and forests by whole rows, so a page of n
+nodes against one of m takes n * m steps of vectors at most.
 """
 
 from __future__ import annotations
@@ -14,6 +19,7 @@ from __future__ import annotations
 import html as entities
 import json
 import re
+from collections import Counter
 from hashlib import blake2b
 from itertools import groupby
 
@@ -31,9 +37,6 @@ SAMPLE = 6
 LEAST, SHARE = 3, 0.8
 #: The share of varying text that a node must have to be looked into.
 MOST = 0.6
-#: Deeper elements count as children of the one at this depth; more pairs of children than this are matched in
-#: the order of their labels, each with the next one of the same label.
-DEPTH, PAIRS = 150, 4_000
 #: Wrappers of so many characters in all are broadcast; more are joined by a shuffle.
 BROADCAST_CHARS = 20_000_000
 
@@ -51,9 +54,15 @@ MARKS = {
     "sponsored", "subscribe", "toolbar", "widget", "replies", "reply",
 }
 
+#: Of these, words that may name a part of the article itself.
+OWN_MARKS = {"banner", "contentinfo", "footer", "header", "masthead", "menu", "notice", "search", "social"}
+
 #: Parts of names that say nothing about a role.
 NEUTRAL = {"area", "bar", "block", "body", "bottom", "box", "button", "buttons", "container", "content", "form", "inner", "item", "items", "left", "links", "list", "main", "outer", "page", "panel", "posts", "right", "section", "signup", "site", "top", "wrap", "wrapper"}
 
+#: Elements that a next one of their kind ends.
+_SELF_ENDING = {"li", "dt", "dd", "tr", "td", "th", "option"}
+
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(script|style|textarea|title|noscript|template)\b[^>]*>.*?(?:</\1\s*>|$)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S | re.I)
 _NAMED = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _PART, _DIGITS = re.compile(r"[a-z]+"), re.compile(r"[0-9]+")
@@ -70,7 +79,7 @@ class Node:
         parts = set(_PART.findall(named)) if named else set()
         # by a name of marks alone an element is out anywhere, by one that has a mark only outside the content
         self.named = bool(parts & MARKS)
-        self.out = tag in OUTSIDE or any(own & MARKS and own <= MARKS | NEUTRAL for own in (set(_PART.findall(n)) for n in named.split()))
+        self.out = tag in OUTSIDE or any(own & (MARKS - OWN_MARKS) and own <= MARKS | NEUTRAL for own in (set(_PART.findall(n)) for n in named.split()))
 
     @property
     def nodes(self) -> list[Node]:
@@ -80,7 +89,12 @@ class Node:
 def parse(page: str) -> Node:
     """The tree of a page. Open paragraphs and list items end where blocks begin; stray end tags are ignored."""
     root = Node("#", "")
-    stack = [root]
+    stack, open_ = [root], Counter()
+
+    def close(i: int) -> None:
+        open_.subtract(n.tag for n in stack[i:])
+        del stack[i:]
+
     for m in _TOKEN.finditer(page):
         tag = m[3]
         if not tag:
@@ -90,132 +104,213 @@ def parse(page: str) -> Node:
             continue
         tag = tag.lower()
         if m[2]:
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1, 0, -1) if open_[tag] > 0 else ():
                 if stack[i].tag == tag:
-                    del stack[i:]
+                    close(i)
                     break
                 if stack[i].tag in ("article", "main", "body") and tag not in ("body", "html"):
                     break
             continue
-        if tag in BLOCK:
+        if tag in BLOCK and (open_["p"] > 0 or (tag in _SELF_ENDING and open_[tag] > 0)):
             for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == "p" or (tag == stack[i].tag and tag in ("li", "dt", "dd", "tr", "td", "th", "option")):
-                    del stack[i:]
+                if stack[i].tag == "p" or (tag == stack[i].tag and tag in _SELF_ENDING):
+                    close(i)
                     break
                 if stack[i].tag in BLOCK:
                     break
         node = Node(tag, m[4])
         stack[-1].parts.append(node)
-        if tag not in VOID and not m[4].endswith("/") and len(stack) < DEPTH:
+        if tag not in VOID and not m[4].endswith("/"):
             stack.append(node)
+            open_[tag] += 1
     return root
 
 
 def _own(node: Node) -> tuple[str, int]:
     """The text of a node without its block children, as one line, and its characters that are not in links."""
-    out, linked = [], 0
-
-    def walk(n: Node, link: bool) -> None:
-        nonlocal linked
-        for p in n.parts:
-            if isinstance(p, str):
-                out.append(entities.unescape(p))
-                linked += len(p) * link
-            elif p.tag == "br":
-                out.append(" ")
-            elif p.tag not in BLOCK and not p.out:
-                walk(p, link or p.tag == "a")
-
-    walk(node, False)
+    out, linked, todo = [], 0, [(p, False) for p in reversed(node.parts)]
+    while todo:
+        p, link = todo.pop()
+        if isinstance(p, str):
+            out.append(entities.unescape(p))
+            linked += len(p) * link
+        elif p.tag == "br":
+            out.append(" ")
+        elif p.tag not in BLOCK and not p.out:
+            todo += [(q, link or p.tag == "a") for q in reversed(p.parts)]
     text = _SPACE.sub(" ", "".join(out)).strip()
     return text, max(0, len(text) - linked)
 
 
 def _blocks(node: Node) -> list[Node]:
     """The nearest block descendants, in order."""
-    out = []
-    for n in node.nodes:
-        out += [n] if n.tag in BLOCK else _blocks(n)
+    out, todo = [], node.nodes[::-1]
+    while todo:
+        n = todo.pop()
+        if n.tag in BLOCK:
+            out.append(n)
+        else:
+            todo += reversed(n.nodes)
     return out
 
 
-class Slot:
-    """A node of the wrapper: its label, the characters of varying text, and its children, of which those of one
-    label in a row are one slot."""
+def _below(path: int, label: str) -> int:
+    """The path of a label below a path."""
+    return _code(path, f"/{label}")
 
-    __slots__ = ("label", "varying", "children", "out", "path")
 
-    def __init__(self, nodes: list[Node], path: str, fixed: set[int]):
-        first = nodes[0]
-        self.label, self.path, self.out = first.label, f"{path}/{first.label}", first.out or first.named
-        self.varying = 0
-        for text, plain in map(_own, nodes):
-            if text and _code(self.path, text) not in fixed:
-                self.varying += plain
-        self.children = _slots([b for n in nodes for b in _blocks(n)], self.path, fixed) if not self.out else []
+def _code(path: int, text: str) -> int:
+    """A hash of a slot and a text in it, as a signed 64-bit number."""
+    return int.from_bytes(blake2b(f"{path}\n{text}".encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
 
 
-def _slots(blocks: list[Node], path: str, fixed: set[int]) -> list[Slot]:
-    return [Slot(list(run), path, fixed) for _, run in groupby(blocks, key=lambda n: n.label)]
+class Slot:
+    """A node of the wrapper: its label, the characters of varying text, and its children, of which those of one
+    label in a row are one slot. code stands for the labels of its whole subtree, of size nodes."""
 
+    __slots__ = ("label", "varying", "children", "out", "code", "size")
 
-def _code(path: str, text: str) -> int:
-    """A hash of a slot and a text in it, as a signed 64-bit number."""
-    return int.from_bytes(blake2b(f"{path}\n{text}".encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
+    def __init__(self, label: str, varying: int = 0, children: list[Slot] | None = None, out: bool = False):
+        self.label, self.varying, self.children, self.out, self.code, self.size = label, varying, children if children is not None else [], out, 0, 1
 
 
-def match(a: list[Slot], b: list[Slot]) -> tuple[int, list[tuple[int, int]]]:
-    """Simple tree matching of two ordered forests: the number of matched nodes, and the matched roots."""
-    if len(a) * len(b) > PAIRS:
-        places: dict[str, list[int]] = {}
-        for j in range(len(b) - 1, -1, -1):
-            places.setdefault(b[j].label, []).append(j)
-        pairs = [(i, places[x.label].pop()) for i, x in enumerate(a) if places.get(x.label)]
-        return sum(1 + match(a[i].children, b[j].children)[0] for i, j in pairs), pairs
-    size = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i, x in enumerate(a):
-        for j, y in enumerate(b):
-            same = 1 + match(x.children, y.children)[0] if x.label == y.label else 0
-            size[i + 1][j + 1] = max(size[i][j + 1], size[i + 1][j], size[i][j] + same if same else 0)
-    pairs, i, j = [], len(a), len(b)
+def _slots(blocks: list[Node], fixed: set[int]) -> list[Slot]:
+    """The slots of a page, of whose texts those that are fixed do not vary."""
+    forest: list[Slot] = []
+    todo = [(forest, blocks, 0)]
+    while todo:
+        into, found, at = todo.pop()
+        for label, run in groupby(found, key=lambda n: n.label):
+            nodes, path = list(run), _below(at, label)
+            slot = Slot(label, out=nodes[0].out or nodes[0].named)
+            slot.varying = sum(plain for text, plain in map(_own, nodes) if text and _code(path, text) not in fixed)
+            into.append(slot)
+            if not slot.out:
+                todo.append((slot.children, [b for n in nodes for b in _blocks(n)], path))
+    return forest
+
+
+def _inner_first(forest: list[Slot]) -> list[Slot]:
+    """All slots, children before their parents."""
+    out, todo = [], list(forest)
+    while todo:
+        x = todo.pop()
+        out.append(x)
+        todo += x.children
+    return out[::-1]
+
+
+def _number(known: dict, *forests: list[Slot]) -> None:
+    """Codes of all subtrees: equal for equal ones."""
+    for forest in forests:
+        for x in _inner_first(forest):
+            x.code = known.setdefault((x.label, *[c.code for c in x.children]), len(known))
+            x.size = 1 + sum(c.size for c in x.children)
+
+
+def _best(a: list[Slot], b: list[Slot], known: dict[tuple[int, int], int], wanted: bool) -> tuple[int, list[tuple[int, int]]] | set:
+    """The best matching of two forests whose roots' matches are known; else the pairs of roots that are to be matched before. wanted: are the
+    pairs asked for, or the number of matched nodes alone?"""
+    head = 0
+    while head < min(len(a), len(b)) and a[head].code == b[head].code:
+        head += 1
+    tail = 0
+    while tail < min(len(a), len(b)) - head and a[-1 - tail].code == b[-1 - tail].code:
+        tail += 1
+    # Equal subtrees at either end are matched whole: nothing else can give more.
+    x, y = a[head : len(a) - tail], b[head : len(b) - tail]
+    pairs = [(i, i) for i in range(head)] + [(len(a) - k, len(b) - k) for k in range(tail, 0, -1)]
+    total = sum(a[i].size for i, _ in pairs)
+    if not x or not y:
+        return total, pairs
+    of = {}
+    for q in y:
+        of.setdefault(q.label, {})[q.code] = q
+    missing = {(p, q) for p in {p.code: p for p in x}.values() for q in of.get(p.label, {}).values() if p.code != q.code and (p.code, q.code) not in known}
+    if missing:
+        return missing
+    if len(x) * len(y) <= 64 and not wanted:
+        line = [0] * (len(y) + 1)
+        for p in x:
+            left, before = 0, 0
+            for j, q in enumerate(y, 1):
+                above = line[j]
+                here = above if above > left else left
+                if p.label == q.label and (told := before + (p.size if p.code == q.code else 1 + known[p.code, q.code])) > here:
+                    here = told
+                line[j], left, before = here, here, above
+        return total + line[-1], []
+    codes, rows = np.array([q.code for q in y]), {}
+    ways, old = np.zeros((len(x), len(y)), np.uint8), np.zeros(len(y) + 1, np.int64)
+    for i, p in enumerate(x):
+        if p.code not in rows:
+            worth = {c: 1 + (p.size - 1 if c == p.code else known[p.code, c]) for c in of.get(p.label, {})}
+            rows[p.code] = np.array([worth.get(c, 0) for c in codes.tolist()])
+        worth = rows[p.code]
+        new = np.maximum.accumulate(np.maximum(old[1:], np.where(worth > 0, old[:-1] + worth, 0)))
+        ways[i] = np.where(new == old[1:], 0, np.where(new == np.append(0, new[:-1]), 1, 2))
+        old = np.append(0, new)
+    i, j, found = len(x), len(y), []
     while i and j:
-        if size[i][j] == size[i - 1][j]:
-            i -= 1
-        elif size[i][j] == size[i][j - 1]:
-            j -= 1
+        way = ways[i - 1, j - 1]
+        if way == 2:
+            found.append((head + i - 1, head + j - 1))
+        i, j = i - (way != 1), j - (way != 0)
+    return total + int(old[-1]), pairs[:head] + found[::-1] + pairs[head:]
+
+
+def match(a: list[Slot], b: list[Slot], known: dict[tuple[int, int], int] | None = None) -> tuple[int, list[tuple[int, int]]]:
+    """Simple tree matching of two ordered forests: the number of matched nodes, and the matched roots. known: matched nodes below two
+    subtrees, by their codes; the slots are numbered unless it is given."""
+    if known is None:
+        _number({}, a, b)
+        known = {}
+    todo: list[tuple[Slot, Slot]] = []
+    while True:
+        p, q = todo[-1] if todo else (None, None)
+        told = _best(p.children, q.children, known, False) if todo else _best(a, b, known, True)
+        if isinstance(told, set):
+            todo += told
+        elif not todo:
+            return told
         else:
-            i, j = i - 1, j - 1
-            pairs.append((i, j))
-    return size[len(a)][len(b)], pairs[::-1]
+            known[p.code, q.code] = told[0]
+            todo.pop()
 
 
 def merge(a: list[Slot], b: list[Slot]) -> None:
     """Aligns b's nodes with a's, which take up what varies; nodes of b alone are added."""
-    pairs = match(a, b)[1]
-    matched = {j for _, j in pairs}
-    for i, j in pairs:
-        a[i].varying += b[j].varying
-        merge(a[i].children, b[j].children)
-    a += [y for j, y in enumerate(b) if j not in matched]
-
-
-def _volume(slot: Slot) -> int:
-    return 0 if slot.out else slot.varying + sum(map(_volume, slot.children))
+    known: dict[tuple[int, int], int] = {}
+    _number({}, a, b)
+    todo = [(a, b)]
+    while todo:
+        x, y = todo.pop()
+        pairs = match(x, y, known)[1]
+        for i, j in pairs:
+            x[i].varying += y[j].varying
+            if x[i].children or y[j].children:
+                todo.append((x[i].children, y[j].children))
+        matched = {j for _, j in pairs}
+        x += [q for j, q in enumerate(y) if j not in matched]
 
 
 def induce(pages: list[str], fixed: set[int] = frozenset()) -> list[str]:
     """The path of labels down to the content of some pages of one layout, whose template texts are known."""
-    forest = _slots(_blocks(parse(pages[0])), "", fixed)
+    forest = _slots(_blocks(parse(pages[0])), fixed)
     for page in pages[1:]:
-        merge(forest, _slots(_blocks(parse(page)), "", fixed))
+        merge(forest, _slots(_blocks(parse(page)), fixed))
+    volume: dict[int, int] = {}
+    for x in _inner_first(forest):
+        volume[id(x)] = 0 if x.out else x.varying + sum(volume[id(c)] for c in x.children)
+    of = lambda slots: sum(volume[id(x)] for x in slots)
     path, slots = [], forest
     while slots:
-        top = max(slots, key=_volume)
-        rest = sum(map(_volume, slots))
-        if not rest or _volume(top) < MOST * rest or not (top.children or top.label.split(".")[0] in ("article", "main")):
+        top = max(slots, key=lambda x: volume[id(x)])
+        rest = of(slots)
+        if not rest or volume[id(top)] < MOST * rest or not (top.children or top.label.split(".")[0] in ("article", "main")):
             break
         path.append(top.label)
-        if top.varying > sum(map(_volume, top.children)) or top.label.split(".")[0] in ("article", "main"):
+        if top.varying > of(top.children) or top.label.split(".")[0] in ("article", "main"):
             break
         slots = top.children
     return path
@@ -224,15 +319,15 @@ def induce(pages: list[str], fixed: set[int] = frozenset()) -> list[str]:
 def layout(root: Node) -> int:
     """A page's layout: a hash of the labels of its upper blocks."""
     found = {f"{x.label}/{y.label}/{z.label}" for x in _blocks(root) for y in _blocks(x) or [x] for z in _blocks(y) or [y]}
-    return _code("layout", "\n".join(sorted(found)))
+    return _code(-1, "\n".join(sorted(found)))
 
 
 def stated(root: Node) -> dict[int, int]:
     """For each slot and text in it, once, a hash of both and one of the slot alone."""
-    told, todo = {}, [("", n) for n in _blocks(root)]
+    told, todo = {}, [(0, n) for n in _blocks(root)]
     while todo:
         at, node = todo.pop()
-        path = f"{at}/{node.label}"
+        path = _below(at, node.label)
         if text := _own(node)[0]:
             told[_code(path, text)] = _code(path, "")
         todo += [(path, n) for n in _blocks(node)]
@@ -243,9 +338,9 @@ def main_text(root: Node, wrapper: dict | None) -> str:
     """The text of a page's content under a wrapper; without one, or where the page has no node at its
     path, of the page's own article or main element, or else of the whole body."""
     fixed = set(wrapper["fixed"]) if wrapper else set()
-    roots, inside = [("", root)], False
+    roots, inside = [(0, root)], False
     for label in wrapper["path"] if wrapper else ():
-        below = [(f"{at}/{n.label}", n) for at, r in roots for n in _blocks(r) if n.label == label]
+        below = [(_below(at, n.label), n) for at, r in roots for n in _blocks(r) if n.label == label]
         if not below:
             break
         roots, inside = below, True
@@ -253,48 +348,55 @@ def main_text(root: Node, wrapper: dict | None) -> str:
         named = [found for at, r in roots for found in _named(r, at)]
         roots, inside = named or roots, bool(named)
     blocks: list[tuple[str, bool]] = []
-
-    def walk(node: Node, at: str) -> None:
-        if node.out or (node.named and not inside):
-            return
-        line: list[str] = []
-
-        def close() -> None:
-            text = _SPACE.sub(" ", entities.unescape("".join(line))).strip()
-            if text:
-                blocks.append((text, bool(fixed) and _code(at, text) in fixed))
-            line.clear()
-
-        def inline(n: Node) -> None:
-            for p in n.parts:
-                if isinstance(p, str):
-                    line.append(p)
-                elif p.tag == "br":
-                    line.append(" ")
-                elif p.tag in BLOCK:
-                    close()
-                    walk(p, f"{at}/{p.label}")
-                elif not p.out and (inside or not p.named):
-                    inline(p)
-
-        inline(node)
-        close()
-
-    for at, node in roots:
-        walk(node, at)
+    line: list[str] = []
+
+    def close(at: int) -> None:
+        text = _SPACE.sub(" ", entities.unescape("".join(line))).strip()
+        if text:
+            blocks.append((text, bool(fixed) and _code(at, text) in fixed))
+        line.clear()
+
+    # What is to come: a part with the path of its block, or a path alone, where a block ends.
+    todo: list[tuple[Node | str | None, int]] = []
+    for at, node in reversed(roots):
+        if not (node.out or (node.named and not inside)):
+            todo.append((None, at))
+            todo += [(p, at) for p in reversed(node.parts)]
+    while todo:
+        p, at = todo.pop()
+        if p is None:
+            close(at)
+        elif isinstance(p, str):
+            line.append(p)
+        elif p.tag == "br":
+            line.append(" ")
+        elif p.tag in BLOCK:
+            close(at)
+            if not (p.out or (p.named and not inside)):
+                own = _below(at, p.label) if fixed else 0
+                todo.append((None, own))
+                todo += [(q, own) for q in reversed(p.parts)]
+        elif not p.out and (inside or not p.named):
+            todo += [(q, at) for q in reversed(p.parts)]
     # a page of template texts alone is all content
     return " ".join([t for t, known in blocks if not known] or [t for t, _ in blocks])
 
 
-def _named(node: Node, at: str) -> list[tuple[str, Node]]:
-    """The outermost article or main elements below a node."""
-    out = []
-    for n in _blocks(node):
-        here = f"{at}/{n.label}"
-        if n.tag in ("article", "main") and not n.out:
-            out.append((here, n))
-        elif not (n.out or n.named) or n.tag in ("html", "body"):
-            out += _named(n, here)
+def _named(node: Node, at: int) -> list[tuple[int, Node]]:
+    """The outermost article or main elements below a node, in order."""
+    out, todo = [], [(at, node, False)]
+    while todo:
+        at, node, found = todo.pop()
+        if found:
+            out.append((at, node))
+            continue
+        below = []
+        for n in _blocks(node):
+            if n.tag in ("article", "main") and not n.out:
+                below.append((_below(at, n.label), n, True))
+            elif not (n.out or n.named) or n.tag in ("html", "body"):
+                below.append((_below(at, n.label), n, False))
+        todo += reversed(below)
     return out
 
 

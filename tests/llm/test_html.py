@@ -52,13 +52,8 @@ def test_empty_and_clashing(spark):
     assert [tuple(r) for r in html.extract(df).collect()] == [(1, "http://c", "A")] and html.extract(df.limit(0)).count() == 0
 
 
-class Tree:
-    def __init__(self, label, children):
-        self.label, self.children = label, children
-
-
 def grow(rng, depth):
-    return [Tree(rng.choice("ab"), grow(rng, depth - 1)) for _ in range(rng.randint(0, 3))] if depth else []
+    return [html.Slot(rng.choice("ab"), 0, grow(rng, depth - 1)) for _ in range(rng.randint(0, 3))] if depth else []
 
 
 def brute(a, b):
@@ -76,4 +71,37 @@ def brute(a, b):
 def test_simple_tree_matching(seed):
     rng = random.Random(seed)
     a, b = grow(rng, 3), grow(rng, 3)
-    assert html.match(a, b)[0] == brute(a, b)
+    total, pairs = html.match(a, b)
+    assert total == brute(a, b)
+    assert pairs == sorted(pairs) and len({i for i, _ in pairs}) == len({j for _, j in pairs}) == len(pairs)
+    assert total == sum(1 + brute(a[i].children, b[j].children) for i, j in pairs) and all(a[i].label == b[j].label for i, j in pairs)
+
+
+def test_depth_does_not_matter(spark):
+    """The same page under 20 and under 20,000 nested elements; the menu's role is not lost."""
+    page = lambda k: "<html><body>" + "<div>" * k + "<nav><p>Menu item one</p></nav><div class='ad-box'>Buy</div><p>Real text</p>" + "</div>" * k + "</body></html>"
+    got = extract(spark, [(i, f"http://h{k}.example/{i}", page(k)) for i, k in enumerate((20, 200, 20_000))])
+    assert set(got.values()) == {"Real text"}
+    inline = "<html><body><article>" + "<b>" * 30_000 + "deep" + "</i>" * 30_000 + "<p>end</p></article></body></html>"
+    assert extract(spark, [(1, "http://i", inline)])[1] == "deep end"
+
+
+def test_wide_levels_of_alternating_names_end_soon():
+    import time
+
+    def level(depth, k):
+        return [html.Slot("ab"[i % 2], 0, level(depth - 1, k)) for i in range(k)] if depth else []
+
+    began = time.time()
+    for k in (20, 40):
+        a, b = level(3, k), level(3, k - 1)
+        html.merge(a, b)
+    rng = random.Random(3)
+    a, b = ([html.Slot(rng.choice("abc"), 0, [html.Slot(rng.choice("xyz")) for _ in range(rng.randint(0, 6))]) for _ in range(1_000)] for _ in range(2))
+    assert html.match(a, b)[0] > 1_000 and time.time() - began < 30
+
+
+def test_names_that_an_article_may_have_itself(spark):
+    parts = "".join(f"<div class='{c}'>{c} text.</div>" for c in ("content-header", "social-content", "main-menu-item", "notice", "comments", "cookie-notice", "ad-box", "newsletter-signup"))
+    page = f"<html><body><div class='notice'>Site notice</div><div class='main-menu'>Menu</div><article>{parts}</article></body></html>"
+    assert extract(spark, [(1, "http://n", page)])[1] == "content-header text. social-content text. main-menu-item text. notice text."
