@@ -13,11 +13,16 @@ leaves LEAST windows or more on average; the ends are nested, so two similar lin
 whatever their k. A line of few shingles has windows of SHORT_BAND at all its shingles: four of five shingles
 of the union being common, some four neighbours are, so no link between short lines is missed.
 
-In each band all nodes are compared with the first one, and the links joined to components (large and small
-star steps). Bands whose nodes are then of several components are compared further: those of at most ALL
-nodes by all pairs of different components; larger ones with CENTRES other centres, and then by all pairs that
-share a second band too, where these are few, else with as many centres until that finds no link. So no step
-grows with the square of a band. The first line of a component, by document and place, is kept.
+In each band all nodes are compared with its centre, the node with the fewest shingles, and the links joined to
+components (large and small star steps). Bands whose nodes are then of several components are compared further,
+and exactly: those of at most ALL nodes by all pairs of different components; larger ones are split. Let K be what a
+node has in common with the centre c and R the rest of it. Two nodes a and b link when they have
+need(a, b) = 4 / 9 * (|a| + |b|) shingles in common, of which at most min(|K_a|, |K_b|) are in c. If a does not link
+with c, then |K_a| < need(a, c) <= need(a, b), as no node is smaller than c. So two nodes of which one does not
+link with c must share shingles of R: need(a, b) - |K_a| or more, and one at least. The new bands are the shingles of R, of
+which a prefix that leaves so many out is enough. They have centres of their own and are split again, until
+all are small or of one component; every pair that shares a band is decided. The first line of a component, by
+document and place, is kept.
 """
 
 from __future__ import annotations
@@ -37,8 +42,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 LONG_BAND, SHORT_BAND, LEAST = 6, 4, 10
 #: Lines of at most SHORT shingles have short bands at all shingles, lines of more than SHORT * SIMILARITY long ones.
 SHORT = 25
-#: Bands of at most so many nodes are compared by all pairs; how many more turns with how many centres larger ones have before.
-ALL, TURNS, CENTRES = 16, 1, 8
+#: Bands of at most so many nodes are compared by all pairs, larger ones split.
+ALL = 16
 #: Bits of a key that number the lines of a batch.
 LINE_BITS = 14
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -86,8 +91,8 @@ def shingle_keys(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray]]:
             first = end
 
 
-def line_bands(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first line, end line, bands, the number of each line's bands) of some lines at a time."""
+def line_bands(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first line, end line, bands, the number of each line's bands, that of its shingles) of some lines at a time."""
     for first, end, keys in shingle_keys(column):
         line = (keys >> np.uint64(64 - LINE_BITS)).astype(np.int64)
         size = np.bincount(line, minlength=end - first)
@@ -106,17 +111,18 @@ def line_bands(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndar
             owners.append(own)
         owner = np.concatenate(owners)
         order = np.argsort(owner, kind="stable")
-        yield first, end, np.concatenate(bands)[order].view(np.int64), np.bincount(owner, minlength=end - first)
+        yield first, end, np.concatenate(bands)[order].view(np.int64), np.bincount(owner, minlength=end - first), size
 
 
 def _banded(batches):
     for b in batches:
-        bands, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for _, _, found, count in line_bands(b.column(0)):
+        bands, counts, sizes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for _, _, found, count, size in line_bands(b.column(0)):
             bands.append(found)
             counts.append(count)
+            sizes.append(size)
         cuts = np.concatenate(([0], np.cumsum(np.concatenate(counts)))).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.concatenate(bands)))], names=[*b.schema.names[1:], "bands"])
+        yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(np.concatenate(sizes).astype(np.int64)), pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.concatenate(bands)))], names=[*b.schema.names[1:], "size", "bands"])
 
 
 def similar(a: pa.Array, b: pa.Array) -> np.ndarray:
@@ -136,6 +142,32 @@ def similar(a: pa.Array, b: pa.Array) -> np.ndarray:
     return out
 
 
+def rests(a: pa.Array, b: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash) of the shingles that lines of b have beyond those of a, without as many of each line as any line that is not smaller than
+    a's must share with it beyond a's: those of the greatest hashes."""
+    rows, hashes, step = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], 500
+    low = np.uint64((1 << (64 - LINE_BITS)) - 1)
+    for i in range(0, len(b), step):
+        keys, n = [], min(step, len(b) - i)
+        for column in (a.slice(i, step), b.slice(i, step)):
+            own = [(found & low) | (((found >> np.uint64(64 - LINE_BITS)) + np.uint64(first)) << np.uint64(64 - LINE_BITS)) for first, _, found in shingle_keys(column)]
+            keys.append(np.concatenate(own) if own else np.zeros(0, np.uint64))
+        of = lambda k: (k >> np.uint64(64 - LINE_BITS)).astype(np.int64)
+        size_a, size_b = (np.bincount(of(k), minlength=n) for k in keys)
+        rest = keys[1][~np.isin(keys[1], keys[0], assume_unique=True)]
+        line = of(rest)
+        beyond = np.bincount(line, minlength=n)
+        common = size_b - beyond
+        need = lambda x, y: -(-4 * (x + y) // 9)
+        least = need(size_b, np.maximum(size_a, -(-4 * size_b // 5))) - common
+        least = np.maximum(1, np.where(common >= need(size_a, size_b), 1, least))
+        place = np.arange(len(rest)) - (np.cumsum(beyond) - beyond)[line]
+        kept = place < (beyond - least + 1)[line]
+        rows.append(line[kept] + i)
+        hashes.append(rest[kept] & low)
+    return np.concatenate(rows), np.concatenate(hashes)
+
+
 def _verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs(a, b) of nodes whose lines have the similarity. texts: row, line."""
 
@@ -166,24 +198,21 @@ def fuzzy_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     # the numbers of rows are read back from the table, never made again
     keyed = lines.select("line", F.monotonically_increasing_id().alias("row"), "doc_id", "line_no", F.xxhash64("line").alias("one"), F.xxhash64("line", F.lit(1)).alias("two"))
     kind = keyed.schema["doc_id"].dataType.simpleString()
-    keyed = scratch.save(keyed.mapInArrow(_banded, f"row long, doc_id {kind}, line_no int, one long, two long, bands array<long>"))
+    keyed = scratch.save(keyed.mapInArrow(_banded, f"row long, doc_id {kind}, line_no int, one long, two long, size long, bands array<long>"))
     again = keyed.groupBy("one", "two").agg(F.min("row").alias("node"), F.count("*").alias("rows")).where("rows > 1").drop("rows")
     again = keyed.select("row", "one", "two").join(_few(scratch.save(again)), ["one", "two"]).select("row", "node")
     again = scratch.save(again)
 
     # equal lines are described by one of them
     repeats = _few(again.where("row <> node").select("row"))
-    tokens = keyed.select("row", F.explode("bands").alias("band")).join(repeats, "row", "left_anti")
-    met = tokens.groupBy("band").agg(F.min("row").alias("centre"), F.count("*").alias("rows")).where("rows > 1")
-    met = _few(scratch.save(met))
-    groups = scratch.save(tokens.join(met, "band"))
+    tokens = keyed.select("row", "size", F.explode("bands").alias("band")).join(repeats, "row", "left_anti")
+    groups = _grouped(tokens, scratch)
     wanted = scratch.save(groups.select("row").distinct())
     places = _few(keyed.select("row", F.col("doc_id").alias("at_doc"), F.col("line_no").alias("at_line"), "one").join(_few(wanted), "row", "left_semi"))
     there = lines["doc_id"].eqNullSafe(places["at_doc"]) & (lines["line_no"] == places["at_line"]) & (F.xxhash64(lines["line"]) == places["one"])
     texts = scratch.save(lines.join(places, there).select("row", "line").dropDuplicates(["row"]))
 
-    links = scratch.save(_verified(texts, _ordered(groups.where("row <> centre").select(F.col("centre").alias("a"), F.col("row").alias("b")))))
-    roots = _further(groups, texts, links, scratch).withColumnsRenamed({"row": "of", "root": "top"})
+    roots = _linked(groups, texts, scratch).withColumnsRenamed({"row": "of", "root": "top"})
     scratch.drop(texts, groups)
 
     # lines with equal or similar ones are named by the first of all; each other line is its own
@@ -195,10 +224,17 @@ def fuzzy_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return found.select("doc_id", "line_no", F.col("first.doc_id").alias("component_doc"), F.col("first.line_no").alias("component_line"), place.eqNullSafe(F.col("first")).alias("kept"))
 
 
-def _mixed(labelled: DataFrame, scratch: Scratch) -> DataFrame:
-    """The rows of bands that hold several components, with the number of the band's rows."""
-    mixed = labelled.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size")).where("low <> high").select("band", "size")
-    return labelled.join(_few(scratch.save(mixed)), "band")
+def _grouped(tokens: DataFrame, scratch: Scratch) -> DataFrame:
+    """tokens(row, size, band) of bands with several rows, with the centre and the number of the band's rows."""
+    met = tokens.groupBy("band").agg(F.min(F.struct("size", "row"))["row"].alias("centre"), F.count("*").alias("rows")).where("rows > 1")
+    return scratch.save(tokens.join(_few(scratch.save(met)), "band"))
+
+
+def _mixed(groups: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
+    """The rows of groups with their roots, of bands that hold several components."""
+    labelled = groups.join(labels, "row")
+    mixed = labelled.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band")
+    return scratch.save(labelled.join(_few(scratch.save(mixed)), "band"))
 
 
 def _relabelled(labels: DataFrame, found: DataFrame, scratch: Scratch) -> DataFrame:
@@ -209,47 +245,42 @@ def _relabelled(labels: DataFrame, found: DataFrame, scratch: Scratch) -> DataFr
     return scratch.save(labels.join(_few(scratch.save(new)), "root", "left").select("row", F.coalesce("top", "root").alias("root")))
 
 
-def _centred(hot: DataFrame, texts: DataFrame, labels: DataFrame, turns: int | None, scratch: Scratch) -> DataFrame:
-    """labels(row, root) after comparing all rows of hot(band, row) with about CENTRES rows of their band that
-    belong to other components, others each time, so many times or until that finds no more."""
-    turn = 0
-    while turns is None or turn < turns:
-        turn += 1
-        now = scratch.save(_mixed(hot.join(labels, "row"), scratch).select("band", "row", "root", "size"))
-        chosen = F.pmod(F.xxhash64("row", "band", F.lit(turn)), F.greatest(F.lit(1), F.floor(F.col("size") / CENTRES))) == 0
-        centre = _few(scratch.save(now.where(chosen).select("band", F.col("row").alias("a"), F.col("root").alias("root_a"))))
-        pairs = now.join(centre, "band").where("root <> root_a").select("a", F.col("row").alias("b"))
-        found = scratch.save(_verified(texts, _ordered(pairs)))
-        if not found.limit(1).count():
-            break
-        labels = _relabelled(labels, found, scratch)
-        scratch.drop(now)
-    return labels
-
-
-def _further(groups: DataFrame, texts: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
-    """(row, root) of the rows of groups(band, row, centre, rows), links being those with the centres."""
-    known = components(links, scratch).select(F.col("node").alias("row"), "root")
-    labels = scratch.save(groups.select("row").distinct().join(known, "row", "left").select("row", F.coalesce("root", "row").alias("root")))
-    hot = groups.where(F.col("rows") > ALL).select("band", "row")
-    if hot.limit(1).count():
-        labels = _centred(hot, texts, labels, TURNS, scratch)
-    left = scratch.save(_mixed(groups.select("band", "row").join(labels, "row"), scratch).select("band", "row", "root", "size"))
-    # of large bands those rows meet that share another band
-    large = left.where(F.col("size") > ALL).select("row", F.col("band").alias("first"), "root")
-    second = large.join(groups.select("row", F.col("band").alias("second")), "row").where("first <> second")
-    second = second.select(F.xxhash64(F.least("first", "second"), F.greatest("first", "second")).alias("band"), "row", "root").distinct()
-    both = scratch.save(left.where(F.col("size") <= ALL).union(_mixed(second, scratch).select("band", "row", "root", "size")))
-    small = both.where(F.col("size") <= ALL)
-    x, y = (small.select("band", F.col("row").alias(c), F.col("root").alias(f"root_{c}")) for c in "ab")
-    pairs = scratch.save(x.join(y, "band").where("a < b and root_a <> root_b").select("a", "b").distinct())
-    found = scratch.save(_verified(texts, pairs))
-    if found.limit(1).count():
-        labels = _relabelled(labels, found, scratch)
-    hot = both.where(F.col("size") > ALL).select("band", "row")
-    if hot.limit(1).count():
-        labels = _centred(hot, texts, labels, None, scratch)
-    return labels
+def _split(large: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
+    """tokens(row, size, band) of large(row, size, centre): the bands are the shingles that a row has beyond its centre."""
+
+    def beyond(batches):
+        for b in batches:
+            cols = {name: b.column(i) for i, name in enumerate(b.schema.names)}
+            rows, hashes = rests(cols["line_centre"], cols["line_row"])
+            # Rests are told apart by their centres.
+            bands = mix(hashes ^ mix(cols["centre"].to_numpy().astype(np.uint64))[rows]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([cols["row"].take(pa.array(rows)), cols["size"].take(pa.array(rows)), pa.array(bands)], names=["row", "size", "band"])
+
+    side = lambda c: texts.select(F.col("row").alias(c), F.col("line").alias(f"line_{c}"))
+    met = large.where("row <> centre").select("row", "size", "centre").distinct().join(side("row"), "row").join(side("centre"), "centre")
+    return scratch.save(met.select("row", "size", "centre", "line_row", "line_centre").mapInArrow(beyond, "row long, size long, band long"))
+
+
+def _linked(groups: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
+    """(row, root) of the rows of groups(band, row, size, centre, rows), all pairs that share a band being decided."""
+    labels = scratch.save(groups.select("row").distinct().withColumn("root", F.col("row")))
+    while True:
+        found = scratch.save(_verified(texts, _ordered(groups.where("row <> centre").select(F.col("centre").alias("a"), F.col("row").alias("b")))))
+        if found.limit(1).count():
+            labels = _relabelled(labels, found, scratch)
+        left = _mixed(groups, labels, scratch)
+        x, y = (left.where(F.col("rows") <= ALL).select("band", F.col("row").alias(c), F.col("root").alias(f"root_{c}")) for c in "ab")
+        found = scratch.save(_verified(texts, x.join(y, "band").where("a < b and root_a <> root_b").select("a", "b").distinct()))
+        if found.limit(1).count():
+            labels = _relabelled(labels, found, scratch)
+        large = left.where(F.col("rows") > ALL)
+        if not large.limit(1).count():
+            return labels
+        split = _split(large, texts, scratch)
+        scratch.drop(groups, left)
+        groups = _grouped(split, scratch)
+        groups = _mixed(groups, labels, scratch).drop("root")
+        scratch.drop(split)
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -48,3 +48,37 @@ def test_repetitive_lines_of_several_lengths(spark):
     lines = ["-" * n for n in (6, 10, 40, 52, 63, 64, 80, 200, 399, 400, 900)] + ["word " * n for n in (8, 12, 60, 90, 120, 400)] + ["=-" * n for n in (20, 40, 300)] + ["1,2,3,4,5,6,7;" * n for n in (4, 9, 60)]
     lines = [x.strip() for x in lines]
     assert components(spark, lines) == brute(lines)
+
+
+def family(n, planted):
+    """Lines of one stem with tails of their own, and near copies of some."""
+    stem = letters("stem", 200)
+    lines = [stem + letters(("tail", i), 28) for i in range(n)]
+    near = []
+    for i in range(planted):
+        tail = lines[i * 5][200:]
+        near.append(stem + letters(("other", i), 8) + tail[8:] if i % 2 else stem + tail[:22] + letters(("other", i), 6))
+    return lines + near
+
+
+def test_no_link_is_lost_in_a_hot_band(spark):
+    """1,500 lines that share their bands, most of them too far from each other, and 60 planted near copies."""
+    n, planted = 1_500, 60
+    found = components(spark, family(n, planted))
+    assert [found[n + i] for i in range(planted)] == [found[i * 5] for i in range(planted)]
+    assert len({found[i * 5] for i in range(planted)}) == planted
+
+
+def test_splitting_bands_equals_all_pairs(spark, monkeypatch):
+    """Families of families: the same components whatever bands are compared by all pairs."""
+    lines = family(60, 12)
+    for f in range(4):
+        stem = letters(("family", f), 90)
+        for g in range(6):
+            mid = stem + letters(("mid", f, g), 30)
+            lines += [mid + letters(("end", f, g, h), 4 + 9 * (h % 3)) for h in range(7)] + [mid[: 60 + 5 * g] + "." + mid[60 + 5 * g :]]
+    told = []
+    for size in (10**9, 4):
+        monkeypatch.setattr(line_dedup, "ALL", size)
+        told.append(components(spark, lines))
+    assert told[0] == told[1] == brute(lines)
