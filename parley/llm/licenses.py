@@ -55,7 +55,12 @@ TEXTS = [
     ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.", ["free and unencumbered software"]),
     ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.", ["The origin of this software must not be misrepresented"]),
 ]
-TEMPLATES = [(name, f"{lead} under {'' if said.startswith('CC') else 'the '}{said}", [said]) for lead in ("Licensed", "Released") for name, all_said in NAMES.items() for said in all_said] + TEXTS
+TEMPLATES = [(name, f"{lead} under {'' if said.startswith('CC') else 'the '}{said}", [said]) for lead in ("Licensed", "Released") for name, all_said in NAMES.items() for said in all_said]
+#: A file's header may name a license by its identifier alone, and a text begins with its name and a copyright line.
+TEMPLATES += [(name, f"SPDX-License-Identifier: {name}", [f"SPDX-License-Identifier: {name}"]) for name in NAMES]
+TEMPLATES += [(name, f"{said} Copyright", [f"{said} Copyright"]) for name, all_said in NAMES.items() for said in all_said] + TEXTS
+#: A notice behind one of these words says the contrary.
+NEGATIONS = {"not", "never", "isn", "aren", "wasn", "cannot", "neither"}
 #: A match covers at least this much of the template, within SPREAD times its words of text.
 COVERAGE, SPREAD = 0.8, 2
 #: Everything in ASCII but letters and digits separates words; A-Z are lower-cased.
@@ -117,21 +122,59 @@ def _holds(words: list[str], phrase: list[str]) -> bool:
     return any(words[i] == phrase[0] and words[i : i + n] == phrase for i in range(len(words) - n + 1))
 
 
+def _common(words: list[str], places: dict[str, int]) -> int:
+    """Bits of the places of a template, given by a bit for each place of each of its words: as many are 0 as its longest common
+    subsequence with some words is long."""
+    rows = -1
+    for w in words:
+        if held := places.get(w, 0):
+            met = rows & held
+            rows = (rows + met) | (rows - met)
+    return rows
+
+
 def matches(words: list[str], template: list[str], phrases: list[list[str]], coverage: float = COVERAGE) -> list[tuple[int, int, int]]:
-    """(aligned words, first word, end word) of every stretch, from the left, that has the coverage and the phrases."""
-    need, reach, own = int(np.ceil(coverage * len(template))), SPREAD * len(template), set(template)
-    hits = [i for i, w in enumerate(words) if w in own]
+    """(aligned words, first word, end word) of every stretch, from the left, that has the coverage and the phrases and does not stand behind
+    a negation. A stretch begins as late as its aligned words allow.
+
+    No alignment has more words than the longest common subsequence, which bits tell quickly; where that lacks k words, no
+    place is looked at before the window has taken in k more words of the template."""
+    need, reach = int(np.ceil(coverage * len(template))), SPREAD * len(template)
+    places: dict[str, int] = {}
+    for j, w in enumerate(template):
+        places[w] = places.get(w, 0) | 1 << j
+    whole = (1 << len(template)) - 1
+    hits = [i for i, w in enumerate(words) if w in places]
     out, i = [], 0
     while i + need <= len(hits):
         first = hits[i]
-        if hits[i + need - 1] - first < reach:
-            pairs = align(template, words[first : first + reach])
-            if len(pairs) >= need:
-                begin, end = first + pairs[0][1], first + pairs[-1][1] + 1
-                if all(_holds(words[begin:end], p) for p in phrases):
+        until = bisect_left(hits, first + reach)
+        if until - i < need:
+            i += 1
+            continue
+        lacks = need - (len(template) - bin(_common(words[first : first + reach], places) & whole).count("1"))
+        if lacks > 0:
+            # The window must end behind the lacking hits at least.
+            end = until + lacks - 1
+            if end >= len(hits):
+                break
+            i = max(i + 1, bisect_left(hits, hits[end] - reach + 1))
+            continue
+        pairs = align(template, words[first : first + reach])
+        if len(pairs) >= need:
+            begin, end = first + pairs[0][1], first + pairs[-1][1] + 1
+            for later in hits[bisect_left(hits, begin) + 1 :]:
+                if end - later < need:
+                    break
+                closer = align(template, words[later:end])
+                if len(closer) < len(pairs):
+                    break
+                begin, end, pairs = later + closer[0][1], later + closer[-1][1] + 1, closer
+            if all(_holds(words[begin:end], p) for p in phrases):
+                if not NEGATIONS & set(words[max(0, begin - 2) : begin]):
                     out.append((len(pairs), begin, end))
-                    i = bisect_left(hits, end)
-                    continue
+                i = bisect_left(hits, end)
+                continue
         i += 1
     return out
 

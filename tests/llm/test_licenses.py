@@ -18,7 +18,9 @@ def found(text):
     [
         ("Released under the BSD License.", ["BSD"]), ("Released under the GPL License.", ["GPL"]), ("Licensed under the Mozilla Public License, Version 2.0.", ["MPL-2.0"]), ("Licensed under CC BY-SA 4.0", ["CC-BY-SA-4.0"]),
         ("This work is licensed under the GNU Lesser General Public License, version 3.", ["LGPL-3.0"]), ("This work is licensed under the GNU General Public License, version 2.", ["GPL-2.0"]),
-        ("Licensed under the Apache License, Version 2.0. Text. Released under the MIT License. And again: licensed under the MIT License", ["Apache-2.0", "MIT", "MIT"]), ("Licensed under the MIT-like License", []), ("the license of MIT was released under", []),
+        ("Licensed under the Apache License, Version 2.0. Text. Released under the MIT License. And again: licensed under the MIT License", ["Apache-2.0", "MIT", "MIT"]), ("Licensed under the MIT-like License", []),
+        ("Licensed under the MIT License. Licensed under the Apache License, Version 2.0.", ["MIT", "Apache-2.0"]), ("SPDX-License-Identifier: MIT", ["MIT"]), ("// SPDX-License-Identifier: BSD-3-Clause\nint x;", ["BSD-3-Clause"]),
+        ("MIT License\n\nCopyright (c) 2020 A. Person", ["MIT"]), ("it is not licensed under the MIT License", []), ("This isn't licensed under the MIT License. Released under the ISC License.", ["ISC"]), ("the license of MIT was released under", []),
     ],
 )
 def test_names(text, want):
@@ -64,3 +66,26 @@ def test_planted_notices_and_repeated_rows(spark):
     assert set(got) - want == set() or len(set(got) - want) <= len(want) // 10
     clash = docs.selectExpr("doc_id", "text", "1 as license", "2 as coverage")
     assert licenses.scan(clash).count() == len(got) // 2 and licenses.scan(docs.limit(0)).count() == 0 and licenses.scan(docs, []).count() == 0
+
+
+def test_shuffled_words_end_soon_and_hide_nothing():
+    """13,000 words of a license in random order, before, between and behind the license itself."""
+    import time
+
+    text = next(t for n, t, _ in licenses.TEXTS if n == "MIT")
+    words, rng = licenses.words_of(text) * 160, random.Random(5)
+    rng.shuffle(words)
+    began = time.time()
+    assert found(" ".join(words)) == [] and time.time() - began < 5
+    part = words[:2_000]
+    assert found(" ".join(part) + f" {text} " + " ".join(part[::-1])) == ["MIT"] and len(words) > 10_000
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_longest_common_subsequence_by_bits(seed):
+    rng = random.Random(seed)
+    a, b = ([rng.choice("abcdef") for _ in range(rng.randint(1, 30))] for _ in range(2))
+    places = {}
+    for j, w in enumerate(a):
+        places[w] = places.get(w, 0) | 1 << j
+    assert len(a) - bin(licenses._common(b, places) & ((1 << len(a)) - 1)).count("1") == longest(a, b)
