@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 #: Documents a language is learned from, about: the bound of the labelled sample.
 TRAIN_DOCS = 5_000
 BUCKETS, SMOOTHING = 1 << 16, 0.5
-#: Rounds of expectation-maximisation, penalty for each language.
-ROUNDS, PENALTY = 8, 1.0
+#: Expectation-maximisation ends for a document when no share moves by more; penalty for each language.
+TOLERANCE, PENALTY = 1e-3, 1.0
 SLICE_CHARS = 300_000
 
 
@@ -91,15 +91,22 @@ def learn(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", t
 
 def _mixture(like: np.ndarray, count: np.ndarray, starts: np.ndarray, row: np.ndarray, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Proportions of the allowed languages in each document, and the log-likelihood of its mixture
-    (without the part that is the same for every mixture)."""
+    (without the part that is the same for every mixture). Documents leave the rounds as they converge."""
     share = allowed / allowed.sum(1, keepdims=True)
     total = np.add.reduceat(count, starts)[:, None]
-    for step in range(ROUNDS + 1):
-        mixed = like * share[row]
-        norm = mixed.sum(1)
-        if step == ROUNDS:
-            return share, np.add.reduceat(np.log(norm) * count, starts)
-        share = np.add.reduceat(mixed * (count / norm)[:, None], starts) / total
+    live, x, c, at, of = np.arange(len(starts)), like, count, starts, row
+    while len(live):
+        own = share[live]
+        mixed = x * own[of]
+        new = np.add.reduceat(mixed * (c / mixed.sum(1))[:, None], at) / total[live]
+        share[live] = new
+        moves = np.abs(new - own).max(1) > TOLERANCE
+        if not moves.any():
+            break
+        if moves.mean() < 0.7:
+            kept, sizes = moves[of], np.diff(np.append(at, len(x)))[moves]
+            live, x, c, at, of = live[moves], x[kept], c[kept], np.cumsum(sizes) - sizes, np.repeat(np.arange(len(sizes)), sizes)
+    return share, np.add.reduceat(np.log((like * share[row]).sum(1)) * count, starts)
 
 
 def infer(texts: list[str | None], model: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
