@@ -13,6 +13,11 @@ from parley.functions import text as T
 from parley.operators import folds
 
 
+def _let(value: Column, then) -> Column:
+    """then(value), with value computed once a row: within a lambda function Spark would compute it again for each element."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def _kind(df: DataFrame, column: str) -> str:
     return df.schema[column].dataType.simpleString()
 
@@ -204,55 +209,67 @@ def aligned_translation(sentences: Column, translation: Column) -> Column:
     sentences, one at least each and the rest to the last. One sentence takes all; without a translation all pieces are empty."""
     plain = F.btrim(F.coalesce(translation, F.lit("")), F.lit(T.BLANK))
     own = F.filter(F.split(plain, SENTENCE_END), lambda s: F.btrim(s) != "")
-    words = F.filter(F.split(plain, r"\s+"), lambda w: w != "")
-    length = F.aggregate(sentences, F.lit(0), lambda s, x: s + F.length(x))
-    wanted = F.transform(sentences, lambda s: F.greatest(F.lit(1), F.floor(F.length(s) / length * F.size(words) + 0.5).cast("int")))
-    ends = F.aggregate(wanted, F.array(F.lit(0)), lambda s, n: F.array_append(s, F.element_at(s, -1) + n))
-    count = F.size(sentences)
-    stop = lambda i: F.when(i == count - 1, F.size(words)).otherwise(F.element_at(ends, i + 2))
-    dealt = F.transform(sentences, lambda s, i: F.array_join(F.slice(words, F.element_at(ends, i + 1) + 1, F.greatest(F.lit(0), stop(i) - F.element_at(ends, i + 1))), " "))
-    none = F.transform(sentences, lambda s: F.lit(""))
-    return F.when(count == 1, F.array(F.coalesce(translation, F.lit("")))).when((plain == "") | (length == 0), none).when(F.size(own) == count, own).otherwise(dealt)
+    found = F.filter(F.split(plain, r"\s+"), lambda w: w != "")
+    total = F.aggregate(sentences, F.lit(0), lambda s, x: s + F.length(x))
 
+    def dealt(words: Column, length: Column) -> Column:
+        wanted = F.transform(sentences, lambda s: F.greatest(F.lit(1), F.floor(F.length(s) / length * F.size(words) + 0.5).cast("int")))
+        ends = F.aggregate(wanted, F.array(F.lit(0)), lambda s, n: F.array_append(s, F.element_at(s, -1) + n))
 
-def packs(text: str | None, most: int = 40) -> list[str]:
-    """A text of at most ``most`` words whole; else its sentences, as many as fit; what is over half as long again is cut."""
-    text = text or ""
-    if len(text.split()) <= most:
-        return [text]
-    out: list[str] = []
-    held: list[str] = []
-    for sentence in re.split(r"(?<=[.!?,\n])\s+", text):
-        words = sentence.split()
-        if held and len(held) + len(words) > most:
-            out.append(" ".join(held))
-            held = []
-        held += words
-        while len(held) > most * 1.5:
-            out.append(" ".join(held[:most]))
-            del held[:most]
-    return out + [" ".join(held)] * bool(held)
-
-
-def pieces(text: str | None, most: int = 15_000, lap: int = 1_000) -> list[str]:
-    """Runs of whole lines that end when they reach ``most`` characters; each begins with the last lines of the
-    one before that stay below ``lap`` characters."""
-    out: list[str] = []
-    held: list[str] = []
-    size = 0
-    for line in (text or "").split("\n"):
-        held.append(line)
-        size += len(line) + 1
-        if size >= most:
-            out.append("\n".join(held))
-            again, size = 0, 0
-            while again < len(held):
-                size += len(held[-1 - again]) + 1
-                if size >= lap:
-                    break
-                again += 1
-            held = held[len(held) - again :]
-    return out + ["\n".join(held)] * bool(held)
+        def share(ends: Column) -> Column:
+            stop = lambda i: F.when(i == F.size(sentences) - 1, F.size(words)).otherwise(F.element_at(ends, i + 2))
+            return F.transform(sentences, lambda s, i: F.array_join(F.slice(words, F.element_at(ends, i + 1) + 1, F.greatest(F.lit(0), stop(i) - F.element_at(ends, i + 1))), " "))
+
+        return _let(ends, share)
+
+    none = F.transform(sentences, lambda s: F.lit(""))
+    by_length = _let(found, lambda words: _let(total, lambda length: dealt(words, length)))
+    return F.when(F.size(sentences) == 1, F.array(F.coalesce(translation, F.lit("")))).when((plain == "") | (total == 0), none).when(F.size(own) == F.size(sentences), own).otherwise(by_length)
+
+
+def packs(text: Column, most: int = 40) -> Column:
+    """The pieces in which a text goes to a translator, as an array. One of at most ``most`` words is left as it is. A longer one is counted
+    off sentence by sentence: a piece ends before a sentence that would bring it beyond ``most`` words, and what is open is cut every
+    ``most`` words while it has more than half as many again."""
+    text = F.coalesce(text, F.lit(""))
+    found = F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "")
+    counts = F.transform(F.split(text, r"(?U)(?<=[.!?,\n])\s+"), lambda s: F.size(F.filter(F.split(s, r"(?U)\s+"), lambda w: w != "")))
+    start = F.struct(F.array().cast("array<int>").alias("ends"), F.lit(0).alias("begin"), F.lit(0).alias("at"))
+
+    def taken(s: Column, n: Column) -> Column:
+        full = (s["at"] > s["begin"]) & (s["at"] - s["begin"] + n > most)
+        begin = F.when(full, s["at"]).otherwise(s["begin"])
+        over = s["at"] + n - begin - int(most * 1.5)
+        cuts = F.when(over > 0, F.ceil(over / most).cast("int")).otherwise(0)
+        marks = F.when(cuts > 0, F.transform(F.sequence(F.lit(1), F.greatest(cuts, F.lit(1))), lambda j: begin + j * most)).otherwise(F.array().cast("array<int>"))
+        ends = F.when(full | (cuts > 0), F.concat(s["ends"], F.when(full, F.array(s["at"])).otherwise(F.array().cast("array<int>")), marks)).otherwise(s["ends"])
+        return F.struct(ends.alias("ends"), (begin + cuts * most).alias("begin"), (s["at"] + n).alias("at"))
+
+    ends = F.aggregate(counts, start, taken, lambda s: F.when(s["at"] > s["begin"], F.array_append(s["ends"], s["at"])).otherwise(s["ends"]))
+    def cut(words: Column, ends: Column) -> Column:
+        before = lambda i: F.when(i == 0, 0).otherwise(F.get(ends, i - 1))
+        return F.transform(ends, lambda e, i: F.array_join(F.slice(words, before(i) + 1, e - before(i)), " "))
+
+    return _let(found, lambda words: F.when(F.size(words) <= most, F.array(text)).otherwise(_let(ends, lambda e: cut(words, e))))
+
+
+def pieces(text: Column, most: int = 15_000, lap: int = 1_000) -> Column:
+    """A text as an array of runs of whole lines that end when they reach ``most`` characters, line ends counted; each begins with the last
+    lines of the one before that stay below ``lap`` characters, and counts the line before those too."""
+    start = F.struct(F.array().cast("array<struct<first:int,end:int>>").alias("runs"), F.lit(0).alias("first"), F.lit(0).alias("end"), F.lit(0).alias("size"))
+
+    def taken(s: Column, n: Column, sizes: Column) -> Column:
+        end, size = s["end"] + 1, s["size"] + n
+        # From the run's last line backwards: the lines that are repeated, and the size that the next run begins with.
+        back = F.reverse(F.slice(sizes, s["first"] + 1, end - s["first"]))
+        none = F.struct(F.lit(0).alias("n"), F.lit(0).alias("size"))
+        again = F.aggregate(back, none, lambda a, x: F.when(a["size"] >= lap, a).otherwise(F.struct((a["n"] + (a["size"] + x < lap).cast("int")).alias("n"), (a["size"] + x).alias("size"))))
+        cut = F.struct(F.array_append(s["runs"], F.struct(s["first"].alias("first"), end.alias("end"))).alias("runs"), (end - again["n"]).alias("first"), end.alias("end"), again["size"].alias("size"))
+        return F.when(size >= most, cut).otherwise(F.struct(s["runs"].alias("runs"), s["first"].alias("first"), end.alias("end"), size.alias("size")))
+
+    last = lambda s: F.when(s["end"] > s["first"], F.array_append(s["runs"], F.struct(s["first"].alias("first"), s["end"].alias("end")))).otherwise(s["runs"])
+    runs = lambda lines: _let(F.transform(lines, lambda x: F.length(x) + 1), lambda sizes: F.aggregate(sizes, start, lambda s, n: taken(s, n, sizes), last))
+    return _let(F.split(F.coalesce(text, F.lit("")), "\n"), lambda lines: F.transform(runs(lines), lambda r: F.array_join(F.slice(lines, r["first"] + 1, r["end"] - r["first"]), "\n")))
 
 
 def _exploded(rows: DataFrame, id_col: str, text_col: str, cut) -> DataFrame:
@@ -268,9 +285,9 @@ def _exploded(rows: DataFrame, id_col: str, text_col: str, cut) -> DataFrame:
 
 def packed(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, piece, text: what is sent to a translator at a time (see packs)."""
-    return _exploded(rows, id_col, text_col, packs)
+    return rows.select(id_col, F.posexplode(packs(F.col(text_col))).alias("piece", "text"))
 
 
 def split_lines(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, piece, text: overlapping parts of long transcripts (see pieces)."""
-    return _exploded(rows, id_col, text_col, pieces)
+    return rows.select(id_col, F.posexplode(pieces(F.col(text_col))).alias("piece", "text"))

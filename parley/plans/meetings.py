@@ -225,16 +225,30 @@ def truncate_translation(spark, sf):
     return c.select("conv_id", "turn", F.length(T.truncated(F.col("text"), F.col("source"))).cast("bigint").alias("chars"))
 
 
-@query()
+@query(r"""WITH d AS (SELECT doc_id, text, list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '') AS w, list_transform(string_split(regexp_replace(text, '([.!?,\n])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: len(list_filter(regexp_split_to_array(s, '\s+'), lambda w: w <> ''))) AS ns FROM documents),
+e AS (SELECT doc_id, text, w, list_reduce(list_transform(ns, lambda n: {'n': CAST(n AS INT), 'e': CAST([] AS INT[]), 'b': 0, 'a': 0}), lambda s, x: {'n': 0,
+  'e': CASE WHEN s.a > s.b AND s.a - s.b + x.n > 40 THEN s.e || [s.a] || list_transform(range(1, 1 + greatest(0, CAST(ceil((x.n - 60) / 40) AS INT))), lambda j: CAST(s.a + j * 40 AS INT)) ELSE s.e || list_transform(range(1, 1 + greatest(0, CAST(ceil((s.a - s.b + x.n - 60) / 40) AS INT))), lambda j: CAST(s.b + j * 40 AS INT)) END,
+  'b': CASE WHEN s.a > s.b AND s.a - s.b + x.n > 40 THEN s.a + 40 * greatest(0, CAST(ceil((x.n - 60) / 40) AS INT)) ELSE s.b + 40 * greatest(0, CAST(ceil((s.a - s.b + x.n - 60) / 40) AS INT)) END, 'a': s.a + x.n}, {'n': 0, 'e': CAST([] AS INT[]), 'b': 0, 'a': 0}) AS s FROM d WHERE len(w) > 40),
+f AS (SELECT doc_id, w, CASE WHEN s.a > s.b THEN s.e || [s.a] ELSE s.e END AS ends FROM e)
+SELECT doc_id, 0 AS piece, md5(text) AS text FROM d WHERE len(w) <= 40
+UNION ALL SELECT doc_id, CAST(i AS INT) AS piece, md5(array_to_string(w[1 + CASE WHEN i = 0 THEN 0 ELSE ends[i] END:ends[i + 1]], ' ')) AS text FROM f, unnest(range(len(ends))) t(i)""")
 def translation_packs(spark, sf):
     """The pieces in which each document goes to a translator."""
-    return M.packed(table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text")
+    return M.packed(table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text").withColumn("text", F.md5(F.col("text").cast("binary")))
 
 
-@query()
+@query(r"""WITH RECURSIVE d AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), c AS (SELECT doc_id, l, list_transform(l, lambda x: CAST(length(x) + 1 AS BIGINT)) AS z FROM d),
+s AS (SELECT doc_id, l, list_transform(range(0, len(l) + 1), lambda i: coalesce(list_sum(z[1:i]), 0)) AS c FROM c),
+r AS (
+  SELECT doc_id, l, c, 0 AS piece, CAST(0 AS BIGINT) AS first, CAST(coalesce(list_min(list_filter(range(1, len(l) + 1), lambda e: c[e + 1] >= 15000)), len(l)) AS BIGINT) AS stop, c[len(l) + 1] >= 15000 AS cut FROM s
+  UNION ALL
+  SELECT doc_id, l, c, piece + 1, again, CAST(coalesce(list_min(list_filter(range(stop + 1, len(l) + 1), lambda e: c[e + 1] - c[base + 1] >= 15000)), len(l)) AS BIGINT), len(list_filter(range(stop + 1, len(l) + 1), lambda e: c[e + 1] - c[base + 1] >= 15000)) > 0
+  FROM (SELECT *, greatest(again - 1, first) AS base FROM (SELECT *, CAST(coalesce(list_min(list_filter(range(first, stop), lambda b: c[stop + 1] - c[b + 1] < 1000)), stop) AS BIGINT) AS again FROM r WHERE cut)) WHERE again < len(l)
+)
+SELECT doc_id, piece, md5(array_to_string(l[first + 1:stop], chr(10))) AS text FROM r""")
 def transcript_splits(spark, sf):
-    """Each source's documents as transcripts, in overlapping pieces."""
-    return M.split_lines(table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text")
+    """Each document as a transcript, in overlapping pieces."""
+    return M.split_lines(table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text").withColumn("text", F.md5(F.col("text").cast("binary")))
 
 
 @query("SELECT event_id, user_id, CASE WHEN value <= 145 THEN 'male' WHEN value >= 165 THEN 'female' WHEN value IS NULL THEN 'unknown' ELSE 'neutral' END AS zone, CASE WHEN least(value, p) <= 145 AND greatest(value, p) >= 165 AND abs(value - p) >= 25 THEN true ELSE false END AS apart, round(CASE WHEN p IS NOT NULL AND value IS NOT NULL AND (value > 145 AND value < 165) <> (p > 145 AND p < 165) THEN least(abs(value - p) * 0.003, 0.06) ELSE 0 END, 6) AS penalty FROM (SELECT event_id, user_id, value + 100 AS value, lag(value + 100) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events)")

@@ -96,16 +96,27 @@ def test_throttle_and_collapse(spark):
     ]
 
 
-def test_packs_and_pieces():
-    assert M.packs("a b c") == ["a b c"] and M.packs(None) == [""]
+def cut(spark, rule, text):
+    return spark.createDataFrame([(text,)], "t string").select(rule(F.col("t")).alias("p")).first().p
+
+
+def test_packs_and_pieces(spark):
+    packs, pieces = (lambda t: cut(spark, M.packs, t)), (lambda t: cut(spark, M.pieces, t))
+    assert packs("a  b c") == ["a  b c"] and packs(None) == [""]
     words = [f"w{i}" for i in range(200)]
     text = " ".join(words[:30]) + ". " + " ".join(words[30:65]) + ", " + " ".join(words[65:])
-    told = M.packs(text)
+    told = packs(text)
     assert " ".join(told) == text and [len(p.split()) for p in told] == [30, 35, 40, 40, 55]
+    assert [len(p.split()) for p in packs(" ".join(words[:60]))] == [60] and [len(p.split()) for p in packs(" ".join(words[:61]))] == [40, 21]
+    assert [len(p.split()) for p in packs(", ".join(words))] == [40] * 5 and [len(p.split()) for p in packs("a. " + " ".join(words[:40]) + ". b")] == [1, 40, 1]
     lines = [f"{i:04d} " + "x" * 95 for i in range(400)]
-    told = M.pieces("\n".join(lines))
+    told = pieces("\n".join(lines))
     assert told[0].split("\n") == lines[:149] and told[1].split("\n")[:9] == lines[140:149] and told[-1].endswith(lines[-1])
-    assert M.pieces("") == [""]
+    assert pieces("") == [""] and pieces(None) == [""]
+    # A last line of the lap's length or more is not repeated but counts; when the text ends at a cut, the lap comes once more.
+    long = ["y" * 14_000, "z" * 1_500, "a", "b" * 13_490, "c"]
+    assert pieces("\n".join(long)) == ["\n".join(long[:2]), "\n".join(long[2:])]
+    assert pieces("y" * 15_000) == ["y" * 15_000] and pieces("y" * 14_990 + "\n" + "z" * 20) == ["y" * 14_990 + "\n" + "z" * 20, "z" * 20]
 
 
 @pytest.mark.parametrize(
