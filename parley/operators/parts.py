@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
 
 from parley.functions import text as T
 from parley.operators import folds
@@ -92,34 +88,35 @@ def corrected(parts: DataFrame, corrections: DataFrame, key: str) -> DataFrame:
     return parts.join(last, [key, "part"], "left").withColumn("speaker", F.coalesce("corrected", "speaker")).drop("corrected")
 
 
-def sentence_groups(text: str | None) -> list[str]:
-    """Sentences, each a group; a rest of less than a sentence joins a short group before it. A long text in one group
-    is cut at commas into groups of about 100 characters."""
-    text = text or ""
-    found = [s for s in (x.strip() for x in re.split(r"(?<=[.!?。！？])\s+", text.strip())) if s]
-    if not found:
-        return []
-    closed = found if len(found[-1]) >= 60 or found[-1][-1] in ".!?。！？" else found[:-1]
-    rest = found[len(closed) :]
-    if rest and closed and len(closed[-1]) < 80:
-        closed = [*closed[:-1], f"{closed[-1]} {rest[0]}"]
-    else:
-        closed = closed + rest
-    if len(closed) > 1 or len(text) <= 120:
-        return closed
-    out = [""]
-    for piece in re.split(r",\s*", text):
-        longer = f"{out[-1]}, {piece}" if out[-1] else piece
-        if len(longer) >= 100 and out[-1]:
-            out.append(piece)
-        else:
-            out[-1] = longer
-    return [x for x in out if x] or [text.strip()]
+#: Behind the end of a sentence.
+SENTENCE_END = r"(?<=[.!?。！？])\s+"
+
+
+def sentence_groups(text: Column) -> Column:
+    """Sentences as an array, each a group; a rest of less than a sentence joins a short group before it. A long text in one group
+    is cut at commas into groups of about 100 characters. A blank text has none."""
+    text = F.coalesce(text, F.lit(""))
+    found = F.filter(F.transform(F.split(F.btrim(text, F.lit(T.BLANK)), SENTENCE_END), lambda s: F.btrim(s, F.lit(T.BLANK))), lambda s: s != "")
+
+    def closed(s: Column) -> Column:
+        n, last = F.size(s), F.element_at(s, -1)
+        whole = (n == 1) | (F.length(last) >= 60) | last.rlike("[.!?。！？]$") | (F.length(F.get(s, n - 2)) >= 80)
+        return F.when(whole, s).otherwise(F.array_append(F.slice(s, 1, n - 2), F.concat_ws(" ", F.get(s, n - 2), last)))
+
+    def by_commas(groups: Column, piece: Column) -> Column:
+        last = F.element_at(groups, -1)
+        longer = F.when(last == "", piece).otherwise(F.concat_ws(", ", last, piece))
+        return F.when((last != "") & (F.length(longer) >= 100), F.array_append(groups, piece)).otherwise(F.array_append(F.slice(groups, 1, F.size(groups) - 1), longer))
+
+    commas = F.filter(F.aggregate(F.split(text, r",\s*"), F.array(F.lit("")), by_commas), lambda g: g != "")
+    cut = _let(commas, lambda g: F.when(F.size(g) > 0, g).otherwise(F.array(F.btrim(text, F.lit(T.BLANK)))))
+    groups = lambda s: F.when(F.size(s) == 0, s).otherwise(_let(closed(s), lambda g: F.when((F.size(g) > 1) | (F.length(text) <= 120), g).otherwise(cut)))
+    return _let(found, groups)
 
 
 def grouped_sentences(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, piece, text: the groups of sentences of each text (see sentence_groups)."""
-    return _exploded(rows, id_col, text_col, sentence_groups)
+    return rows.select(id_col, F.posexplode(sentence_groups(F.col(text_col))).alias("piece", "text"))
 
 
 def parsed(transcripts: DataFrame, key: str, text: str) -> DataFrame:
@@ -200,10 +197,6 @@ def translated(parts: DataFrame, late: DataFrame, key: str) -> DataFrame:
     return told.groupBy(key, "part").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "translation"))), lambda x: x["translation"]), " ").alias("translation"))
 
 
-#: Behind the end of a sentence.
-SENTENCE_END = r"(?<=[.!?。！？])\s+"
-
-
 def aligned_translation(sentences: Column, translation: Column) -> Column:
     """A translation dealt out to the sentences of its original: sentence by sentence if there are as many; else its words by the lengths of the
     sentences, one at least each and the rest to the last. One sentence takes all; without a translation all pieces are empty."""
@@ -272,17 +265,6 @@ def pieces(text: Column, most: int = 15_000, lap: int = 1_000) -> Column:
     return _let(F.split(F.coalesce(text, F.lit("")), "\n"), lambda lines: F.transform(runs(lines), lambda r: F.array_join(F.slice(lines, r["first"] + 1, r["end"] - r["first"]), "\n")))
 
 
-def _exploded(rows: DataFrame, id_col: str, text_col: str, cut) -> DataFrame:
-    schema = f"{id_col} {_kind(rows, id_col)}, piece int, text string"
-    arrow = to_arrow_schema(StructType.fromDDL(schema))
-
-    def run(batches):
-        for batch in batches:
-            yield folds.as_batch([(i, k, p) for i, t in folds.as_rows(batch) for k, p in enumerate(cut(t))], arrow)
-
-    return rows.select(id_col, text_col).mapInArrow(run, schema)
-
-
 def packed(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, piece, text: what is sent to a translator at a time (see packs)."""
     return rows.select(id_col, F.posexplode(packs(F.col(text_col))).alias("piece", "text"))

@@ -491,6 +491,10 @@ def chunk_texts(spark, sf):
     return last.groupBy("conv_id", "part").agg(F.md5(joined.cast("binary")).alias("text"), F.count("*").alias("chunks"))
 
 
-@query()
+@query(r"""WITH d AS (SELECT doc_id, text, list_filter(list_transform(string_split(regexp_replace(trim(text, ' ' || chr(10)), '([.!?。！？])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: trim(s, ' ' || chr(10))), lambda s: s <> '') AS f FROM documents),
+g AS (SELECT doc_id, text, CASE WHEN len(f) = 0 THEN [] WHEN len(f) = 1 OR length(f[-1]) >= 60 OR regexp_matches(f[-1], '[.!?。！？]$') OR length(f[-2]) >= 80 THEN f ELSE f[1:len(f) - 2] || [f[-2] || ' ' || f[-1]] END AS g FROM d),
+c AS (SELECT doc_id, list_reduce(list_transform(string_split(regexp_replace(text, ',\s*', chr(1), 'g'), chr(1)), lambda p: {'g': CAST([] AS VARCHAR[]), 'p': p}), lambda s, x: {'p': '', 'g': CASE WHEN s.g[-1] = '' THEN s.g[1:len(s.g) - 1] || [x.p] WHEN length(s.g[-1] || ', ' || x.p) >= 100 THEN s.g || [x.p] ELSE s.g[1:len(s.g) - 1] || [s.g[-1] || ', ' || x.p] END}, {'g': [''], 'p': ''}).g AS g FROM g WHERE len(g) = 1 AND length(text) > 120),
+u AS (SELECT g.doc_id, CASE WHEN c.doc_id IS NULL THEN g.g ELSE list_filter(c.g, lambda x: x <> '') END AS g FROM g LEFT JOIN c ON c.doc_id = g.doc_id)
+SELECT doc_id, CAST(i - 1 AS INT) AS piece, md5(g[i]) AS text FROM u, unnest(range(1, len(g) + 1)) t(i)""")
 def sentence_groups(spark, sf):
-    return M.grouped_sentences(table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text")
+    return M.grouped_sentences(table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text").withColumn("text", F.md5(F.col("text").cast("binary")))

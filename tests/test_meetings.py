@@ -168,11 +168,14 @@ def test_parsed(spark):
     assert rows_of(got, "k", "part") == [(1, 0, "X", 2, "a"), (1, 2, "Speaker 1", 0, "b"), (2, 0, "Speaker 1", 0, "plain\ntext"), (3, 0, "Speaker 1", 0, "[no json")]
 
 
-def test_sentence_groups():
-    assert M.sentence_groups(None) == M.sentence_groups("  ") == [] and M.sentence_groups("no end") == ["no end"]
-    assert M.sentence_groups("One. Two! rest") == ["One.", "Two! rest"] and M.sentence_groups("x" * 90 + ". rest") == ["x" * 90 + ".", "rest"]
-    told = M.sentence_groups(", ".join(["word" * 5] * 12))
+def test_sentence_groups(spark):
+    groups = lambda t: cut(spark, M.sentence_groups, t)
+    assert groups(None) == groups("  ") == [] and groups("no end") == ["no end"]
+    assert groups("One. Two! rest") == ["One.", "Two! rest"] and groups("x" * 90 + ". rest") == ["x" * 90 + ".", "rest"]
+    assert groups("One. " + "y" * 60) == ["One.", "y" * 60] and groups(" 一。 二 ") == ["一。 二"]
+    told = groups(", ".join(["word" * 5] * 12))
     assert [len(t) for t in told] == [86, 86, 86] and ", ".join(told) == ", ".join(["word" * 5] * 12)
+    assert groups("," * 130) == ["," * 130]
 
 
 def test_endpoints(spark):
