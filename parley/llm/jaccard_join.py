@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parley.llm.graph import components
@@ -123,8 +123,9 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     slim = scratch.save(rows.select("doc_id", "n_shingles"))
     key = ["n_shingles", "one", "two"]
     full = rows.where("n_shingles > 0 and doc_id is not null")
-    nodes = full.groupBy(*key).agg(F.min("doc_id").alias("node"))
-    member = scratch.save(full.select("doc_id", *key).join(nodes, key).select("doc_id", "node"))
+    # only sets that occur again are looked up, where they are few without dealing out their rows by the set
+    nodes = _few(scratch.save(full.groupBy(*key).agg(F.min("doc_id").alias("node"), F.count("*").alias("copies")).where("copies > 1").drop("copies")), BROADCAST_IDS // 4)
+    member = scratch.save(full.select("doc_id", *key).join(nodes, key, "left").select("doc_id", F.coalesce("node", "doc_id").alias("node")))
 
     # the leading shingles of one document a node; more than one only where an id repeats
     lead = rows.join(member.where("doc_id = node").select("doc_id").distinct(), "doc_id", "left_semi").where("size(lead) > 0")
@@ -133,7 +134,9 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     prefix = F.col("size") - F.ceil(F.col("size") * percent / 100) + 1
     # a shingle of the sample that no other node has only takes a place: the shared ones stand behind these, by frequency
     sampled = lead.select("row", F.explode(F.slice("lead", F.lit(1), F.col("firsts"))).alias("gram"))
-    shared = sampled.withColumn("rows", F.count("*").over(Window.partitionBy("gram"))).where("rows > 1")
+    # counted before the shuffle and joined back: a join's hot key can be split, a window's cannot
+    often = scratch.save(sampled.groupBy("gram").agg(F.count("*").alias("rows")).where("rows > 1"))
+    shared = sampled.join(_few(often, BROADCAST_IDS // 2), "gram")
     shared = shared.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("rows", "gram"))).alias("shared"))
     sized = lead.select("node", "row", "size", "firsts", prefix.alias("prefix"), F.expr("slice(lead, firsts + 1, size(lead))").alias("behind"))
     placed = sized.join(shared, "row", "left").withColumn("own", F.col("firsts") - F.coalesce(F.size("shared"), F.lit(0)))
@@ -180,9 +183,9 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     return slim.join(final, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
 
 
-def _few(df: DataFrame) -> DataFrame:
+def _few(df: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
     """A broadcast hint only for tables of a checked size."""
-    return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
+    return F.broadcast(df) if df.count() <= most else df
 
 
 def _fronts(texts: DataFrame, ids: DataFrame, n: int, percent: int, given) -> DataFrame:
