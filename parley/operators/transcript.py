@@ -45,6 +45,12 @@ def pending(items: DataFrame, done: DataFrame, key: str, text: str | None = None
     return items.join(done.where(F.coalesce(F.col(text), F.lit("")) != "") if text else done, key, "left_anti")
 
 
+def cascaded(gone: DataFrame, children: dict[str, DataFrame], key: str) -> dict[str, DataFrame]:
+    """The rows of each child table whose parent does not go; gone holds the keys of those that do. Rows without a parent stay."""
+    keys = gone.select(F.col(key).alias("key of what goes")).distinct()
+    return {name: df.join(keys, df[key] == keys["key of what goes"], "left_anti") for name, df in children.items()}
+
+
 def merge_saved(saved: DataFrame, new: DataFrame, key: str, value: str) -> DataFrame:
     """Saved and new rows by key; the new value wins where there is one."""
     a, b = saved.select(key, F.col(value).alias("saved_value")), new.select(key, F.col(value).alias("new_value"))

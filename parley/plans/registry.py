@@ -161,14 +161,19 @@ def first_appearance_rank(spark, sf):
     return P.appearance(table(spark, sf, "events").select("event_id", "ts", "user_id", "event_type"), "user_id", ["ts", "event_id"], "event_type").select("event_id", "user_id", "event_type", "speaker_no")
 
 
-@query("""WITH d AS (SELECT user_id, value, value - lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS delta FROM events)
-SELECT user_id, round(avg(value), 4) AS mean, round(stddev_pop(value), 4) AS std, round(quantile_cont(value, 0.5), 4) AS median, round(quantile_cont(value, 0.1), 4) AS p10, round(quantile_cont(value, 0.9), 4) AS p90, round(stddev_pop(delta), 4) AS delta_std, count(*) AS n FROM d GROUP BY user_id""")
+@query("""WITH d AS (SELECT user_id, value, value - lag(value) OVER w AS delta, sign(value - 50) <> sign(lag(value) OVER w - 50) AS crossed FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+u AS (SELECT user_id, round(avg(value), 4) AS mean, round(stddev_pop(value), 4) AS std, round(quantile_cont(value, 0.5), 4) AS median, round(quantile_cont(value, 0.1), 4) AS p10, round(quantile_cont(value, 0.9), 4) AS p90, round(stddev_pop(delta), 4) AS delta_std,
+  round(avg(abs(value - 50)) + 1.234567e-7, 4) AS energy, round(avg(CAST(crossed AS INT)) + 1.234567e-7, 5) AS zcr, count(*) AS n FROM d GROUP BY user_id)
+SELECT user_id, CASE WHEN n >= 60 THEN mean END AS mean, CASE WHEN n >= 60 THEN std END AS std, CASE WHEN n >= 60 THEN median END AS median, CASE WHEN n >= 60 THEN p10 END AS p10, CASE WHEN n >= 60 THEN p90 END AS p90, CASE WHEN n >= 60 THEN delta_std END AS delta_std, CASE WHEN n >= 60 THEN energy END AS energy, CASE WHEN n >= 60 THEN zcr END AS zcr, n FROM u""")
 def pitch_like_stats(spark, sf):
+    """Statistics of each user's values, their mean distance from 50 and how often they cross it; null where there are too few (60 here, 6 frames for a pitch)."""
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    d = table(spark, sf, "events").withColumn("delta", F.col("value") - F.lag("value").over(w))
-    r = lambda c: F.round(c, 4)
-    p = lambda q: r(F.percentile("value", F.lit(q)))
-    return d.groupBy("user_id").agg(r(F.avg("value")).alias("mean"), r(F.stddev_pop("value")).alias("std"), p(0.5).alias("median"), p(0.1).alias("p10"), p(0.9).alias("p90"), r(F.stddev_pop("delta")).alias("delta_std"), F.count("*").alias("n"))
+    before = F.lag("value").over(w)
+    d = table(spark, sf, "events").select("user_id", "value", (F.col("value") - before).alias("delta"), (F.signum(F.col("value") - 50) != F.signum(before - 50)).cast("int").alias("crossed"))
+    p = lambda q: F.percentile("value", F.lit(q))
+    stats = {"mean": F.avg("value"), "std": F.stddev_pop("value"), "median": p(0.5), "p10": p(0.1), "p90": p(0.9), "delta_std": F.stddev_pop("delta"), "energy": F.avg(F.abs(F.col("value") - 50)) + 1.234567e-7}
+    enough = lambda c: F.when(F.count("*") >= 60, c)
+    return d.groupBy("user_id").agg(*[enough(F.round(c, 4)).alias(name) for name, c in stats.items()], enough(F.round(F.avg("crossed") + 1.234567e-7, 5)).alias("zcr"), F.count("*").alias("n"))
 
 
 @query("SELECT conv_id, turn, CAST(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS chars FROM conversations")
@@ -177,9 +182,12 @@ def running_bytes(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", F.sum(F.length("text")).over(w).alias("chars"))
 
 
-@query("SELECT source, count(*) AS files, CAST(sum(n_chars) AS BIGINT) AS size, count(*) <= 10 AND max(n_chars) <= 1048576 AND sum(n_chars) <= 2097152 AS allowed FROM documents GROUP BY source")
+@query("SELECT source, doc_id // 50 AS meeting, count(*) AS files, CAST(sum(n_chars) AS BIGINT) AS size, count(*) <= 10 AND max(n_chars) <= 1048576 AND sum(n_chars) <= 2097152 AS allowed, sum(n_chars) > 409600 AS warned FROM documents GROUP BY 1, 2")
 def attachment_quota(spark, sf):
-    return table(spark, sf, "documents").groupBy("source").agg(F.count("*").alias("files"), F.sum("n_chars").alias("size"), ((F.count("*") <= 10) & (F.max("n_chars") <= 1048576) & (F.sum("n_chars") <= 2097152)).alias("allowed"))
+    """Each meeting's attachments: may they be uploaded, and are they more than a model takes well (400 KB)?"""
+    size = F.sum("n_chars")
+    meeting = F.floor(F.col("doc_id") / 50).alias("meeting")
+    return table(spark, sf, "documents").groupBy("source", meeting).agg(F.count("*").alias("files"), size.alias("size"), ((F.count("*") <= 10) & (F.max("n_chars") <= 1048576) & (size <= 2097152)).alias("allowed"), (size > 409600).alias("warned"))
 
 
 @query("SELECT conv_id, CAST(floor(turn / 4) AS BIGINT) AS part, md5(string_agg(text, chr(10) ORDER BY turn)) AS digest FROM conversations GROUP BY 1, 2")
@@ -266,11 +274,12 @@ def insert_or_ignore(spark, sf):
     return P.insert_new(c.where("turn < 3"), c.withColumn("text", F.concat(F.lit("new "), "text")), ["conv_id", "turn"])
 
 
-@query("SELECT conv_id, turn, CASE WHEN turn >= 2 THEN 'new ' || text ELSE text END AS text, CASE WHEN turn < 3 THEN length(text) ELSE 0 END AS end_ms FROM conversations")
+@query("SELECT conv_id, turn, CASE WHEN turn >= 2 THEN 'new ' || text ELSE text END AS text, CASE WHEN turn < 3 THEN length(text) ELSE 0 END AS end_ms, CAST(CASE WHEN turn >= 2 THEN turn * 0.5 ELSE turn END AS DOUBLE) AS embedding, CASE WHEN turn >= 2 THEN 2 ELSE 1 END AS updated_at FROM conversations")
 def upsert_chunks(spark, sf):
-    """A chunk's text is updated in place; a chunk without a plan gets bounds of 0."""
-    c = table(spark, sf, "conversations").select("conv_id", "turn", "text", F.length("text").cast("bigint").alias("end_ms"))
-    return P.upsert(c.where("turn < 3"), c.where("turn >= 2").withColumn("text", F.concat(F.lit("new "), "text")), ["conv_id", "turn"], ["text"], {"end_ms": 0})
+    """A chunk's text, embedding and time of change are updated in place; a chunk without a plan gets bounds of 0."""
+    c = table(spark, sf, "conversations").select("conv_id", "turn", "text", F.length("text").cast("bigint").alias("end_ms"), F.array(F.col("turn").cast("double")).alias("embedding"), F.lit(1).alias("updated_at"))
+    new = c.where("turn >= 2").select("conv_id", "turn", F.concat(F.lit("new "), "text").alias("text"), F.transform("embedding", lambda x: x * 0.5).alias("embedding"), F.lit(2).alias("updated_at"))
+    return P.upsert(c.where("turn < 3"), new, ["conv_id", "turn"], ["text", "embedding", "updated_at"], {"end_ms": 0}).withColumn("embedding", F.get("embedding", F.lit(0)))
 
 
 @query("SELECT conv_id, turn, CASE WHEN turn < 3 THEN text ELSE 'new ' || text END AS text FROM conversations")
@@ -292,8 +301,15 @@ def settings_last_write(spark, sf):
     return P.last_written(table(spark, sf, "events"), "event_type", ["ts", "event_id"], "value")
 
 
-@query("SELECT doc_id, source FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND l.toxic = 1)")
+@query("""WITH gone AS (SELECT DISTINCT conv_id FROM conversations WHERE role = 'user' AND length(text) > 300)
+SELECT 'turns' AS kind, conv_id, count(*) AS rows FROM conversations WHERE conv_id NOT IN (SELECT conv_id FROM gone) GROUP BY conv_id
+UNION ALL SELECT 'documents', doc_id, count(*) FROM documents WHERE doc_id NOT IN (SELECT conv_id FROM gone) GROUP BY doc_id
+UNION ALL SELECT 'labels', doc_id, count(*) FROM labels WHERE doc_id NOT IN (SELECT conv_id FROM gone) GROUP BY doc_id""")
 def cascade_delete(spark, sf):
-    """The rows left when parents are deleted and their children go with them."""
-    gone = table(spark, sf, "labels").where("toxic = 1").select("doc_id")
-    return P.pending(table(spark, sf, "documents").select("doc_id", "source"), gone, "doc_id")
+    """Meetings are deleted, and the rows of all their children with them: what is left, by kind and meeting."""
+    c = table(spark, sf, "conversations")
+    gone = c.where("role = 'user' and length(text) > 300").select("conv_id").distinct()
+    children = {"turns": c.select("conv_id"), "documents": table(spark, sf, "documents").select(F.col("doc_id").alias("conv_id")), "labels": table(spark, sf, "labels").select(F.col("doc_id").alias("conv_id"))}
+    left = P.cascaded(gone, children, "conv_id")
+    told = [df.groupBy("conv_id").agg(F.count("*").alias("rows")).select(F.lit(kind).alias("kind"), "conv_id", "rows") for kind, df in left.items()]
+    return told[0].unionByName(told[1]).unionByName(told[2])
