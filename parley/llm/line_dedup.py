@@ -21,7 +21,7 @@ need(a, b) = 4 / 9 * (|a| + |b|) shingles in common, of which at most min(|K_a|,
 with c, then |K_a| < need(a, c) <= need(a, b), as no node is smaller than c. So two nodes of which one does not
 link with c must share shingles of R: need(a, b) - |K_a| or more, and one at least. The new bands are the shingles of R, of
 which a prefix that leaves so many out is enough. They have centres of their own and are split again, until
-all are small or of one component; every pair that shares a band is decided. The first line of a component, by
+all are small, by a measure that grows with each split, or of one component; every pair that shares a band is decided. The first line of a component, by
 document and place, is kept.
 """
 
@@ -42,8 +42,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 LONG_BAND, SHORT_BAND, LEAST = 6, 4, 10
 #: Lines of at most SHORT shingles have short bands at all shingles, lines of more than SHORT * SIMILARITY long ones.
 SHORT = 25
-#: Bands of at most so many nodes are compared by all pairs, larger ones split.
-ALL = 16
+#: Bands of at most so many nodes are compared by all pairs, larger ones split; after each split so many times as many.
+ALL, MORE = 16, 4
 #: Bits of a key that number the lines of a batch.
 LINE_BITS = 14
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -225,8 +225,11 @@ def fuzzy_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def _grouped(tokens: DataFrame, scratch: Scratch) -> DataFrame:
-    """tokens(row, size, band) of bands with several rows, with the centre and the number of the band's rows."""
-    met = tokens.groupBy("band").agg(F.min(F.struct("size", "row"))["row"].alias("centre"), F.count("*").alias("rows")).where("rows > 1")
+    """tokens(row, size, band) of bands with several rows, with the centre and the number of the band's rows. Of bands with the same
+    rows one is enough."""
+    mark = lambda k: F.bit_xor(F.xxhash64("row", F.lit(k)))
+    met = tokens.groupBy("band").agg(F.min_by("row", "size").alias("centre"), F.count("*").alias("rows"), mark(1).alias("x"), mark(2).alias("y")).where("rows > 1")
+    met = met.groupBy("rows", "x", "y").agg(F.min(F.struct("band", "centre")).alias("b")).select("b.band", "b.centre", "rows")
     return scratch.save(tokens.join(_few(scratch.save(met)), "band"))
 
 
@@ -263,17 +266,17 @@ def _split(large: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
 
 def _linked(groups: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
     """(row, root) of the rows of groups(band, row, size, centre, rows), all pairs that share a band being decided."""
-    labels = scratch.save(groups.select("row").distinct().withColumn("root", F.col("row")))
+    labels, most = scratch.save(groups.select("row").distinct().withColumn("root", F.col("row"))), ALL
     while True:
         found = scratch.save(_verified(texts, _ordered(groups.where("row <> centre").select(F.col("centre").alias("a"), F.col("row").alias("b")))))
         if found.limit(1).count():
             labels = _relabelled(labels, found, scratch)
         left = _mixed(groups, labels, scratch)
-        x, y = (left.where(F.col("rows") <= ALL).select("band", F.col("row").alias(c), F.col("root").alias(f"root_{c}")) for c in "ab")
+        x, y = (left.where(F.col("rows") <= most).select("band", F.col("row").alias(c), F.col("root").alias(f"root_{c}")) for c in "ab")
         found = scratch.save(_verified(texts, x.join(y, "band").where("a < b and root_a <> root_b").select("a", "b").distinct()))
         if found.limit(1).count():
             labels = _relabelled(labels, found, scratch)
-        large = left.where(F.col("rows") > ALL)
+        large = left.where(F.col("rows") > most)
         if not large.limit(1).count():
             return labels
         split = _split(large, texts, scratch)
@@ -281,6 +284,7 @@ def _linked(groups: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
         groups = _grouped(split, scratch)
         groups = _mixed(groups, labels, scratch).drop("root")
         scratch.drop(split)
+        most *= MORE
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
