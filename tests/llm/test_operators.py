@@ -142,6 +142,69 @@ def test_mixing(spark, awkward, nothing, source):
     assert mixing.mix_sources(nothing).count() == 0
 
 
+def seats_one_by_one(votes, seats):
+    got = [0] * len(votes)
+    for _ in range(seats if sum(votes) else 0):
+        got[max(range(len(votes)), key=lambda i: (votes[i] / (2 * got[i] + 1), -i))] += 1
+    return got
+
+
+def test_words_taken_by_a_plain_version(spark, monkeypatch):
+    """Shares, blocks, shards and the words taken of each document, step by step."""
+    monkeypatch.setattr(mixing, "BLOCKS", 400)
+    monkeypatch.setattr(mixing, "ROWS", 20)
+    docs = docs_of(spark)
+    order = {r.doc_id: (r.h, r.doc_id, r.n) for r in docs.selectExpr("doc_id", r"coalesce(regexp_count(text, '[^\\x20\\x09-\\x0D]+'), 0) n").selectExpr("doc_id", "n", "xxhash64(doc_id, cast(n as long), 11) h").collect()}
+    of = {r.doc_id: r.source for r in docs.select("doc_id", "source").collect()}
+    sources = sorted(set(of.values()), key=lambda s: (s is None, s or ""))
+    size = {s: sum(order[i][2] for i in of if of[i] == s) for s in sources}
+    total, target, full = sum(size.values()), {}, set()
+    while True:
+        left, weight = total - sum(target[s] for s in full), {s: (5, 2, 1)[k % 3] for k, s in enumerate(sources) if s not in full}
+        target |= {s: left * w / sum(weight.values()) for s, w in weight.items()}
+        over = {s for s in weight if target[s] > 3 * size[s]}
+        target |= {s: 3.0 * size[s] for s in over}
+        full |= over
+        if not over:
+            break
+    block = max(1, total // 400)
+    blocks = dict(zip(sources, seats_one_by_one([target[s] for s in sources], total // block)))
+    want = {}
+    for s in sources:
+        own = [order[i] for i in of if of[i] == s]
+        n = max(1, len(own) // 20)
+        shards = [sorted(o for o in own if ((o[0] % 2**64) >> 20) % n == k) for k in range(n)]
+        shards = [x for x in shards if x]
+        sizes = [sum(o[2] for o in x) for x in shards]
+        quota = [min(q * block, 3 * z) for q, z in zip(seats_one_by_one(sizes, blocks[s]), sizes)]
+        for k in range(len(quota)):
+            quota[k] += max(0, min(blocks[s] * block - sum(quota), 3 * sizes[k] - quota[k]))
+        for x, q in zip(shards, quota):
+            while q and sum(o[2] for o in x):
+                for _, i, z in x:
+                    want[i] = want.get(i, 0) + min(q, z)
+                    q -= min(q, z)
+    got = {r.doc_id: r.taken for r in mixing.mix_sources(docs).collect()}
+    assert got == {i: want.get(i, 0) for i in of} and len(set(sources)) > 2
+
+
+def test_mixtures_converge():
+    """Shares of random documents against expectation-maximisation one by one, run on and on."""
+    rng = np.random.default_rng(4)
+    sizes = [1, 2, 5, 40, 300, 7]
+    starts = np.cumsum([0, *sizes[:-1]])
+    like, count = rng.random((sum(sizes), 4)) ** 3 + 1e-4, rng.integers(1, 9, sum(sizes)).astype(float)
+    allowed = np.array([[1, 1, 1, 1], [1, 1, 0, 0], [1, 0, 0, 0], [1, 1, 1, 0], [1, 1, 1, 1], [0, 1, 1, 1]], float)
+    share, fit = language._mixture(like, count, starts, np.repeat(np.arange(6), sizes), allowed)
+    for k, (begin, n) in enumerate(zip(starts, sizes)):
+        x, c, p = like[begin : begin + n], count[begin : begin + n], allowed[k] / allowed[k].sum()
+        for _ in range(20_000):
+            z = x * p
+            p = ((z / z.sum(1, keepdims=True)) * c[:, None]).sum(0) / c.sum()
+        best = (np.log((x * p).sum(1)) * c).sum()
+        assert best - 0.01 * c.sum() <= fit[k] <= best + 1e-6 and np.abs(share[k] - p).max() < 0.15 and (share[k][allowed[k] == 0] == 0).all()
+
+
 @pytest.mark.parametrize("source", ["given", "awkward"])
 def test_sharding(spark, awkward, nothing, source):
     docs = docs_of(spark) if source == "given" else awkward
@@ -193,6 +256,7 @@ def test_language(spark, awkward, nothing):
     half = spark.createDataFrame([(1, " ".join(r.text for r in docs_of(spark).where("lang in ('en', 'de')").limit(8).collect()))], "doc_id long, text string")
     assert {m.lang for m in language.identify(half, model).first().mixture} == {"de", "en"}
     assert language.identify(awkward, language.learn(nothing)).where("lang_pred <> 'und'").count() == 0
+    assert language.identify(nothing, model).count() == 0
 
 
 def test_toxicity(spark, awkward, nothing):
@@ -202,6 +266,7 @@ def test_toxicity(spark, awkward, nothing):
     got = toxicity.score(spark.createDataFrame(list(enumerate(tried)), "doc_id long, text string"), model).orderBy("doc_id").collect()
     assert [int(r.score >= 0.5) for r in got] == list(tried.values())
     assert toxicity.score(awkward, model).count() == len(AWKWARD) and toxicity.without_toxic(awkward, model).count() == len(AWKWARD)
+    assert toxicity.score(nothing, model).count() == toxicity.without_toxic(nothing, model).count() == 0
     assert toxicity.score(awkward, toxicity.learn(nothing.withColumn("toxic", nothing["size"]))).where("score >= 0.5").count() == 0
 
 
