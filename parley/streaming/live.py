@@ -105,7 +105,7 @@ class _PartState(StatefulProcessor):
         self.dirty.updateValue((k,), (True,))
         return max(count, k + 1)
 
-    def _flushed(self, key, count: int, whole: int) -> tuple[list[tuple], int]:
+    def _flushed(self, count: int, whole: int) -> tuple[list[tuple], int]:
         """The parts that changed; those beyond the bound keep their text in one piece."""
         told = []
         for (k,) in sorted(self.dirty.keys()):
@@ -124,7 +124,7 @@ class _PartState(StatefulProcessor):
             if (row.text or "").strip():
                 count = self._take(row, count)
         if self.flush is None:
-            told, whole = self._flushed(key, count, whole)
+            told, whole = self._flushed(count, whole)
         elif not waits and count:
             self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + int(self.flush * 1000))
             waits = True
@@ -133,7 +133,7 @@ class _PartState(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         count, whole, _ = self.meeting.get()
-        told, whole = self._flushed(key, count, whole)
+        told, whole = self._flushed(count, whole)
         self.meeting.update((count, whole, False))
         yield from _out(self.key, key, ("part", "speaker", "chunks", "text"), told)
 

@@ -215,3 +215,51 @@ def test_keys_of_other_kinds(spark):
         assert sorted(map(str, got.select(key).collect())) == sorted(map(str, df.select(key).collect()))
     got = folds.fold(df, ["d", "s"], ["event_id"], folds.Average, "d date, s string, event_id long, average double")
     assert got.count() == 3
+
+
+def test_token_stream(spark):
+    token = lambda text, speaker=0, final=True, translation=False: (text, speaker, final, translation)
+    events = [
+        (1, [token("Hel", final=False)]), (2, [token("Hello "), token("there", final=False), token("<end>")]), (3, []), (4, None), (5, [token("Xin ", translation=True), token("chào", final=False, translation=True)]),
+        (6, [token("all. ", 0), token("Good ", 1), token("day", 1, False)]), (7, [token("day", 1)]), (8, [token(" ", 2)]),
+    ]
+    df = spark.createDataFrame([(1, i, t) for i, t in events], "m int, event long, tokens array<struct<text:string,speaker:int,is_final:boolean,is_translation:boolean>>")
+    got = sorted((r.event, {"flush": 0, "show": 1, "end": 2}[r.kind], r.chunk, r.speaker, r.text, r.translation) for r in M.shown(df, "m").collect())
+    assert got == [
+        (1, 1, 0, 0, "Hel", None), (2, 1, 0, 0, "Hello there", None), (5, 1, 0, 0, "Hello", "Xin chào"), (6, 0, 0, 0, "Hello", "Xin"), (6, 1, 1, 1, "all. Good day", None), (7, 1, 1, 1, "all. Good day", None),
+        (8, 0, 1, 1, "all. Good day", None),
+    ]
+
+
+def test_edits(spark):
+    edits = [("append", "lost", "a"), ("add", "one", "a"), ("replace", "ONE", "a"), ("append", "two", "b"), ("replace", "TWO", "c"), ("revert", None, None), ("append", "3", None), ("add", "x", None), ("revert", None, None), ("add", "y", "z"), ("append", None, "z")]
+    df = spark.createDataFrame([(7, i, *e) for i, e in enumerate(edits)], "m int, i int, edit string, text string, chunk string")
+    assert rows_of(M.edited(df, "m", "i"), "part") == [(7, 0, "ONE 3", ["a", "b"]), (7, 1, "y ", ["z"])]
+    assert M.edited(df.where("i in (1, 5)"), "m", "i").count() == 0
+
+
+def test_hold_and_vector_average(spark):
+    rows = [(0.0, "a", 0.5, 0.9), (1.0, "a", 0.7, 0.7), (5.0, "b", 0.66, 0.63), (9.9, "b", 0.66, 0.63), (15.0, "b", 0.66, 0.63), (16.0, "b", 0.67, 0.61), (16.5, "b", 0.9, 0.1)]
+    df = spark.createDataFrame([(1, i, *r) for i, r in enumerate(rows)], "m int, event_id long, at double, speaker string, similarity double, own double")
+    assert rows_of(M.held(df, "m").select("event_id", "speaker", "held"), "event_id") == [(0, None, False), (1, "a", False), (2, "a", True), (3, "a", True), (4, None, False), (5, None, False), (6, "b", False)]
+    rows = [(None, None), ([1.0, 0.0], [None, 2.0]), (None, [4.0, None]), ([3.0, 2.0], [8.0, 4.0])]
+    df = spark.createDataFrame([(1, i, *r) for i, r in enumerate(rows)], "m int, event_id long, vector array<double>, stats array<double>")
+    got = M.averaged_vectors(df, "m", ["event_id"], 0.5, 0.25).orderBy("event_id").collect()
+    assert [(r.vector, r.stats) for r in got] == [(None, None), ([1.0, 0.0], [None, 2.0]), ([1.0, 0.0], [4.0, 2.0]), ([2.0, 1.0], [5.0, 2.5])]
+
+
+def test_summaries_by_levels(spark):
+    """Any number of levels, against repeated grouping of lists."""
+    from parley.operators import transcript as P
+
+    sizes = [1, 2, 3, 4, 5, 16, 17, 70]
+    df = spark.createDataFrame([(n, i * 3, f"t{i}") for n in sizes for i in range(n)], "k int, i int, text string")
+    want = {}
+    for n in sizes:
+        texts, levels = [f"t{i}" for i in range(n)], 0
+        while len(texts) > 1:
+            texts, levels = ["(" + "+".join(texts[i : i + 4]) + ")" for i in range(0, len(texts), 4)], levels + 1
+        want[n] = (texts[0], levels)
+    told = P.summarised(df, "k", "i", "text", lambda t: F.concat(F.lit("("), F.array_join(t, "+"), F.lit(")")))
+    assert {r.k: (r.text, r.levels) for r in told.collect()} == want
+    assert P.summarised(df.limit(0), "k", "i", "text", lambda t: F.get(t, F.lit(0))).count() == 0
