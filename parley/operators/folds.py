@@ -75,15 +75,16 @@ def overlap(tail: str, text: str, least: int = 6, most: int = 120) -> int:
 
 class Assembly(_Fold):
     """Chunk texts without what repeats the end of the last part given. Rows: order, text. Gives order, text;
-    blank chunks and those that are all repetition give nothing, and the tail is carried over them."""
+    blank chunks and those that are all repetition give nothing, and the tail is carried over them. Texts are
+    trimmed of the characters of blank, of all white space where it is None."""
 
-    def __init__(self, keep: int = 120):
-        self.tail, self.keep = "", keep
+    def __init__(self, keep: int = 120, blank: str | None = None):
+        self.tail, self.keep, self.blank = "", keep, blank
 
     def step(self, row):
-        text = (row.text or "").strip()
+        text = (row.text or "").strip(self.blank)
         if text and (k := overlap(self.tail, text)):
-            text = text[k:].lstrip()
+            text = text[k:].lstrip(self.blank)
         if text:
             self.tail = text[-self.keep :]
             yield row.turn, text

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,10 +20,10 @@ def _kind(df: DataFrame, column: str) -> str:
     return df.schema[column].dataType.simpleString()
 
 
-def assembled(chunks: DataFrame, key: str, order: str, text: str) -> DataFrame:
-    """key, order, text of the chunks that say something new, without their laps (see folds.Assembly)."""
+def assembled(chunks: DataFrame, key: str, order: str, text: str, blank: str | None = None) -> DataFrame:
+    """key, order, text of the chunks that say something new, without their laps, trimmed of the characters of blank (see folds.Assembly)."""
     rows = chunks.select(key, F.col(order).alias("turn"), F.col(text).alias("text"))
-    return folds.fold(rows, [key], ["turn"], folds.Assembly, f"{key} {_kind(chunks, key)}, turn {_kind(rows, 'turn')}, text string").withColumnsRenamed({"turn": order, "text": text})
+    return folds.fold(rows, [key], ["turn"], partial(folds.Assembly, blank=blank), f"{key} {_kind(chunks, key)}, turn {_kind(rows, 'turn')}, text string").withColumnsRenamed({"turn": order, "text": text})
 
 
 def planned(pauses: DataFrame, key: str) -> DataFrame:

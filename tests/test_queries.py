@@ -52,3 +52,18 @@ def test_stream_equals_batch(spark, tmp_path):
     job.awaitTermination()
     shape = lambda df: sorted((r.w.start, r.event_type, r.events) for r in df.collect())
     assert shape(spark.table("hours")) == shape(jobs.tumbling(events))
+
+
+def test_assembled_texts_are_trimmed_as_in_sql(spark, tmp_path):
+    """Laps that begin with a line break, a tab or a no-break space: SQL takes off the spaces alone."""
+    long = "the agenda of this meeting and what was said about it.\nIts end of some more words than that."
+    texts = ["the first words.\nThe second line ends it here, as agreed", " \tTabs lead here \n", "\xa0\u3000wide spaces\u2003", "odd\n", long, "\nand the rest of it", "\n", "\n \x1f"]
+    rows = [(c, t, ("user", "assistant", "tool")[(c + t) % 3], texts[(c * 3 + t * (1 + c % 2)) % len(texts)]) for c in range(8) for t in range(12)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view conversations as select * from read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    told = con.execute(ORACLES["assemble_transcript"])
+    columns = [c[0] for c in told.description]
+    want = told.fetchall()
+    got = [tuple(r) for r in QUERIES["assemble_transcript"](spark, str(tmp_path)).select(*columns).collect()]
+    assert len(want) > 50 and sorted(got) == sorted(want)
