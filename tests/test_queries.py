@@ -6,6 +6,7 @@ import math
 import os
 
 import duckdb
+import numpy as np
 import pytest
 
 from parley.plans import live, meetings  # noqa: F401
@@ -67,3 +68,25 @@ def test_assembled_texts_are_trimmed_as_in_sql(spark, tmp_path):
     want = told.fetchall()
     got = [tuple(r) for r in QUERIES["assemble_transcript"](spark, str(tmp_path)).select(*columns).collect()]
     assert len(want) > 50 and sorted(got) == sorted(want)
+
+
+def test_pairs_of_many_blocks_are_whole_and_small(spark, tmp_path):
+    """All pairs in blocks of any size, with ids beyond 2^53, short vectors as zero, and files of fewer bytes a pair than a cosine takes."""
+    from pyspark.sql import functions as F
+
+    from parley.operators import vectors as V
+
+    rng = np.random.default_rng(5)
+    points = rng.standard_normal((1_500, 64)).astype(np.float32)
+    points[3] = 1e-10
+    ids = [2**60 + i for i in range(len(points))]
+    df = spark.createDataFrame([(i, p.tolist(), 1) for i, p in zip(ids, points)], "vec_id long, embedding array<float>, label int")
+    unit = points.astype(float) / np.where(np.linalg.norm(points.astype(float), axis=1) < 1e-8, 1, np.linalg.norm(points.astype(float), axis=1))[:, None]
+    want = unit @ unit.T
+    for block in (400, 2_000):
+        V.pairs(df, "vec_id", "label", "embedding", block).select("a", "b", F.round("cosine", 5).alias("cosine")).coalesce(1).write.parquet(str(tmp_path / str(block)))
+        got = spark.read.parquet(str(tmp_path / str(block))).toPandas()
+        a, b = got["a"].to_numpy() - 2**60, got["b"].to_numpy() - 2**60
+        assert (a < b).all() and len(set((a * len(points) + b).tolist())) == len(got) == len(points) * (len(points) - 1) // 2
+        assert np.abs(got["cosine"].to_numpy() - want[a, b]).max() < 1e-5
+        assert sum(os.path.getsize(f) for f in glob.glob(f"{tmp_path}/{block}/*.parquet")) < 5 * len(got)
