@@ -15,13 +15,14 @@ of the union being common, some four neighbours are, so no link between short li
 
 In each band all nodes are compared with its centre, the node with the fewest shingles, and the links joined to
 components (large and small star steps). Bands whose nodes are then of several components are compared further,
-and exactly: those of at most ALL nodes by all pairs of different components; larger ones are split. Let K be what a
+and exactly: those with at most ALL pairs of different components for each node by all these pairs, as where most
+nodes are of one component, however many they are; others are split. Let K be what a
 node has in common with the centre c and R the rest of it. Two nodes a and b link when they have
 need(a, b) = 4 / 9 * (|a| + |b|) shingles in common, of which at most min(|K_a|, |K_b|) are in c. If a does not link
 with c, then |K_a| < need(a, c) <= need(a, b), as no node is smaller than c. So two nodes of which one does not
 link with c must share shingles of R: need(a, b) - |K_a| or more, and one at least. The new bands are the shingles of R, of
 which a prefix that leaves so many out is enough. They have centres of their own and are split again, until
-all are small, by a measure that grows with each split, or of one component; every pair that shares a band is decided. The first line of a component, by
+all are compared by pairs, by a measure that grows with each split, or of one component; every pair that shares a band is decided. The first line of a component, by
 document and place, is kept.
 """
 
@@ -42,8 +43,9 @@ SHINGLE, SIMILARITY = 5, 0.8
 LONG_BAND, SHORT_BAND, LEAST = 6, 4, 10
 #: Lines of at most SHORT shingles have short bands at all shingles, lines of more than SHORT * SIMILARITY long ones.
 SHORT = 25
-#: Bands of at most so many nodes are compared by all pairs, larger ones split; after each split so many times as many.
-ALL, MORE = 16, 4
+#: Bands with at most so many pairs of different components a node are compared by these pairs, others split; after each split so many times as many.
+#: A node that is split gives up to a shingle for each that it has beyond its centre, which takes the time of some tens of pairs.
+ALL, MORE = 64, 4
 #: Bits of a key that number the lines of a batch.
 LINE_BITS = 14
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -234,12 +236,20 @@ def _grouped(tokens: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def _mixed(groups: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
-    """The rows of groups with their roots, of bands that hold several components."""
+    """The rows of groups with their roots, of bands that hold several components, and the number of the band's pairs of different components."""
     labelled = groups.join(labels, "row")
-    mixed = labelled.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band")
+    of = labelled.groupBy("band", "root").agg(F.count("*").alias("k")).groupBy("band").agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.col("k")).alias("q"))
+    mixed = of.where("n * n > q").select("band", ((F.col("n") * F.col("n") - F.col("q")) / 2).cast("bigint").alias("pairs"))
     return scratch.save(labelled.join(_few(scratch.save(mixed)), "band"))
 
 
+def _apart(left: DataFrame) -> DataFrame:
+    """(a, b): the pairs of different components that share a band of left, without those whose sizes alone keep them from the similarity."""
+    x, y = (left.select("band", F.col("row").alias(c), F.col("root").alias(f"root_{c}"), F.col("size").alias(f"size_{c}")) for c in "ab")
+    near = "a < b and root_a <> root_b and 5 * least(size_a, size_b) >= 4 * greatest(size_a, size_b)"
+    return x.join(y, "band").where(near).select("a", "b").distinct()
+
+
 def _relabelled(labels: DataFrame, found: DataFrame, scratch: Scratch) -> DataFrame:
     """labels(row, root) after the links found(a, b): components of the old roots, which are few."""
     of = lambda c: labels.select(F.col("row").alias(c), F.col("root").alias(f"root_{c}"))
@@ -272,17 +282,17 @@ def _linked(groups: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
         if found.limit(1).count():
             labels = _relabelled(labels, found, scratch)
         left = _mixed(groups, labels, scratch)
-        x, y = (left.where(F.col("rows") <= most).select("band", F.col("row").alias(c), F.col("root").alias(f"root_{c}")) for c in "ab")
-        found = scratch.save(_verified(texts, x.join(y, "band").where("a < b and root_a <> root_b").select("a", "b").distinct()))
+        few = F.col("pairs") <= most * F.col("rows")
+        found = scratch.save(_verified(texts, _apart(left.where(few))))
         if found.limit(1).count():
             labels = _relabelled(labels, found, scratch)
-        large = left.where(F.col("rows") > most)
+        large = left.where(~few)
         if not large.limit(1).count():
             return labels
         split = _split(large, texts, scratch)
         scratch.drop(groups, left)
         groups = _grouped(split, scratch)
-        groups = _mixed(groups, labels, scratch).drop("root")
+        groups = _mixed(groups, labels, scratch).drop("root", "pairs")
         scratch.drop(split)
         most *= MORE
 

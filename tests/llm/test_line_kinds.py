@@ -82,3 +82,14 @@ def test_splitting_bands_equals_all_pairs(spark, monkeypatch):
         monkeypatch.setattr(line_dedup, "ALL", size)
         told.append(components(spark, lines))
     assert told[0] == told[1] == brute(lines)
+
+
+def test_a_band_of_one_component_and_few_others_is_not_split(spark, monkeypatch):
+    """400 near copies of one line and 12 lines beyond them in the same bands: they are decided by their few pairs, in one round."""
+    stem = letters("one", 220)
+    lines = [stem + letters(("copy", i), 12) for i in range(400)] + [stem + letters(("far", i), 90) for i in range(10)]
+    lines += [lines[400][:-9] + letters("near far", 9), lines[7] + letters("near copy", 8)]
+    splits = []
+    monkeypatch.setattr(line_dedup, "_split", lambda *args, split=line_dedup._split: splits.append(1) or split(*args))
+    found = components(spark, lines)
+    assert found == brute(lines) and len(set(found)) > 5 and not splits
