@@ -24,6 +24,9 @@ link with c must share shingles of R: need(a, b) - |K_a| or more, and one at lea
 which a prefix that leaves so many out is enough. They have centres of their own and are split again, until
 all are compared by pairs, by a measure that grows with each split, or of one component; every pair that shares a band is decided. The first line of a component, by
 document and place, is kept.
+
+Before lines are compared, parity bitmaps of their shingles tell most pairs apart, and never a pair that links: a bit in which two
+bitmaps differ is a shingle that only one of the lines has, and lines that link have at most a ninth of |a| + |b| of these.
 """
 
 from __future__ import annotations
@@ -46,15 +49,19 @@ SHORT = 25
 #: Bands with at most so many pairs of different components a node are compared by these pairs, others split; after each split so many times as many.
 #: A node that is split gives up to a shingle for each that it has beyond its centre, which takes the time of some tens of pairs.
 ALL, MORE = 64, 4
+#: Words of 64 bits of a parity bitmap: lines of at most NARROW shingles fill half of them.
+WORDS, NARROW = 16, 400
 #: Bits of a key that number the lines of a batch.
 LINE_BITS = 14
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 #: Tables of at most so many rows of one to four numbers are broadcast (60 MB at most); larger ones are joined by shuffles.
 BROADCAST_ROWS = 1_000_000
+#: The same for tables of one number, and for bitmaps.
+BROADCAST_KEYS, BROADCAST_MAPS = 2_000_000, 350_000
 
 
-def _few(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def _few(df: DataFrame, most: int | None = None) -> DataFrame:
+    return F.broadcast(df) if df.count() <= (BROADCAST_ROWS if most is None else most) else df
 
 
 def shingle_keys(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray]]:
@@ -144,6 +151,45 @@ def similar(a: pa.Array, b: pa.Array) -> np.ndarray:
     return out
 
 
+def parities(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(number of shingles, bitmap of WORDS words) of each line; a bit is set where an odd number of its shingles falls on it."""
+    sizes, maps = np.zeros(len(column), np.int64), np.zeros((len(column), WORDS), np.uint64)
+    step = 2_000
+    for i in range(0, len(column), step):
+        for first, end, keys in shingle_keys(column.slice(i, step)):
+            line = (keys >> np.uint64(64 - LINE_BITS)).astype(np.int64)
+            size = np.bincount(line, minlength=end - first)
+            bit = (mix(keys & np.uint64((1 << (64 - LINE_BITS)) - 1)) & np.where(size > NARROW, np.uint64(64 * WORDS - 1), np.uint64(32 * WORDS - 1))[line]).astype(np.int64)
+            odd = np.bincount(line * (64 * WORDS) + bit, minlength=(end - first) * 64 * WORDS) & 1
+            sizes[i + first : i + end] = size
+            maps[i + first : i + end] = np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64).reshape(-1, WORDS)
+    return sizes, maps
+
+
+def _mapped(batches):
+    for b in batches:
+        sizes, maps = parities(b.column(1))
+        columns = [pa.array(np.ascontiguousarray(maps[:, k]).view(np.int64)) for k in range(WORDS)]
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sizes), *columns], names=["row", "line", "shingles", *MAP])
+
+
+#: The columns of a bitmap.
+MAP = [f"w{k}" for k in range(WORDS)]
+
+
+def _side(texts: DataFrame, c: str) -> DataFrame:
+    return texts.select(F.col("row").alias(c), F.col("shingles").alias(f"shingles_{c}"), *(F.col(w).alias(f"{w}_{c}") for w in MAP))
+
+
+def _may_link():
+    """Whether nothing in the bitmaps of a and b keeps them from the similarity. A wide bitmap is folded for a narrow one."""
+    words, half = [F.col(f"{w}_a").bitwiseXOR(F.col(f"{w}_b")) for w in MAP], WORDS // 2
+    whole = sum((F.bit_count(w) for w in words[1:]), F.bit_count(words[0]))
+    folded = [F.bit_count(x.bitwiseXOR(y)) for x, y in zip(words[:half], words[half:], strict=True)]
+    differ = F.when((F.col("shingles_a") > NARROW) == (F.col("shingles_b") > NARROW), whole).otherwise(sum(folded[1:], folded[0]))
+    return 9 * differ <= F.col("shingles_a") + F.col("shingles_b")
+
+
 def rests(a: pa.Array, b: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(row, hash) of the shingles that lines of b have beyond those of a, without as many of each line as any line that is not smaller than
     a's must share with it beyond a's: those of the greatest hashes."""
@@ -182,6 +228,10 @@ def _verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     return met.mapInArrow(compare, "a long, b long")
 
 
+def _cleaned(line: str):
+    return F.lower(F.btrim(line, F.lit(" \t\r\f\v")))
+
+
 def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
@@ -195,8 +245,8 @@ def fuzzy_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     equal places are kept alike. Null ids come first. Other columns are ignored, whatever their names.
     """
     scratch = Scratch(docs.sparkSession)
-    lines = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(F.col(text_col), "\n")).alias("line_no", "line"))
-    lines = lines.withColumn("line", F.lower(F.btrim("line", F.lit(" \t\r\f\v")))).where("line <> ''")
+    whole = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(F.col(text_col), "\n")).alias("line_no", "line"))
+    lines = whole.withColumn("line", _cleaned("line")).where("line <> ''")
     # the numbers of rows are read back from the table, never made again
     keyed = lines.select("line", F.monotonically_increasing_id().alias("row"), "doc_id", "line_no", F.xxhash64("line").alias("one"), F.xxhash64("line", F.lit(1)).alias("two"))
     kind = keyed.schema["doc_id"].dataType.simpleString()
@@ -207,12 +257,13 @@ def fuzzy_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     # equal lines are described by one of them
     repeats = _few(again.where("row <> node").select("row"))
-    tokens = keyed.select("row", "size", F.explode("bands").alias("band")).join(repeats, "row", "left_anti")
+    tokens = keyed.select("row", "size", "bands").join(repeats, "row", "left_anti").select("row", "size", F.explode("bands").alias("band"))
     groups = _grouped(tokens, scratch)
     wanted = scratch.save(groups.select("row").distinct())
     places = _few(keyed.select("row", F.col("doc_id").alias("at_doc"), F.col("line_no").alias("at_line"), "one").join(_few(wanted), "row", "left_semi"))
-    there = lines["doc_id"].eqNullSafe(places["at_doc"]) & (lines["line_no"] == places["at_line"]) & (F.xxhash64(lines["line"]) == places["one"])
-    texts = scratch.save(lines.join(places, there).select("row", "line").dropDuplicates(["row"]))
+    there = whole["doc_id"].eqNullSafe(places["at_doc"]) & (whole["line_no"] == places["at_line"])
+    texts = whole.join(places, there).withColumn("line", _cleaned("line")).where(F.xxhash64("line") == F.col("one")).select("row", "line").dropDuplicates(["row"])
+    texts = scratch.save(texts.mapInArrow(_mapped, f"row long, line string, shingles long, {', '.join(f'{w} long' for w in MAP)}"))
 
     roots = _linked(groups, texts, scratch).withColumnsRenamed({"row": "of", "root": "top"})
     scratch.drop(texts, groups)
@@ -230,9 +281,14 @@ def _grouped(tokens: DataFrame, scratch: Scratch) -> DataFrame:
     """tokens(row, size, band) of bands with several rows, with the centre and the number of the band's rows. Of bands with the same
     rows one is enough."""
     mark = lambda k: F.bit_xor(F.xxhash64("row", F.lit(k)))
+    # most bands have one row: they go before anything else is shuffled
+    shared = scratch.save(tokens.groupBy("band").agg(F.count("*").alias("rows")).where("rows > 1").select("band"))
+    tokens = scratch.save(tokens.join(_few(shared, BROADCAST_KEYS), "band", "left_semi"))
     met = tokens.groupBy("band").agg(F.min_by("row", "size").alias("centre"), F.count("*").alias("rows"), mark(1).alias("x"), mark(2).alias("y")).where("rows > 1")
     met = met.groupBy("rows", "x", "y").agg(F.min(F.struct("band", "centre")).alias("b")).select("b.band", "b.centre", "rows")
-    return scratch.save(tokens.join(_few(scratch.save(met)), "band"))
+    groups = scratch.save(tokens.join(_few(scratch.save(met)), "band"))
+    scratch.drop(tokens)
+    return groups
 
 
 def _mixed(groups: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
@@ -243,11 +299,22 @@ def _mixed(groups: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.save(labelled.join(_few(scratch.save(mixed)), "band"))
 
 
-def _apart(left: DataFrame) -> DataFrame:
-    """(a, b): the pairs of different components that share a band of left, without those whose sizes alone keep them from the similarity."""
-    x, y = (left.select("band", F.col("row").alias(c), F.col("root").alias(f"root_{c}"), F.col("size").alias(f"size_{c}")) for c in "ab")
-    near = "a < b and root_a <> root_b and 5 * least(size_a, size_b) >= 4 * greatest(size_a, size_b)"
-    return x.join(y, "band").where(near).select("a", "b").distinct()
+def _apart(left: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b): the pairs of different components that share a band of left, without those whose sizes or bitmaps alone keep them from the similarity."""
+    maps = _few(_side(texts, "row").withColumnRenamed("row", "of"), BROADCAST_MAPS)
+    left = left.join(maps, F.col("row") == F.col("of"))
+    x, y = (left.select("band", F.col("row").alias(c), F.col("root").alias(f"root_{c}"), F.col("shingles_row").alias(f"shingles_{c}"), *(F.col(f"{w}_row").alias(f"{w}_{c}") for w in MAP)) for c in "ab")
+    near = "a < b and root_a <> root_b and 5 * least(shingles_a, shingles_b) >= 4 * greatest(shingles_a, shingles_b)"
+    return x.join(y, "band").where(near).where(_may_link()).select("a", "b").distinct()
+
+
+def _near(groups: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b): the pairs of a row and the centre of one of its bands, without those whose bitmaps alone keep them from the similarity."""
+    pairs = _ordered(groups.where("row <> centre").select(F.col("centre").alias("a"), F.col("row").alias("b")))
+    few = texts.count() <= BROADCAST_MAPS
+    for c in "ab":
+        pairs = pairs.join(F.broadcast(_side(texts, c)) if few else _side(texts, c), c)
+    return pairs.where(_may_link()).select("a", "b")
 
 
 def _relabelled(labels: DataFrame, found: DataFrame, scratch: Scratch) -> DataFrame:
@@ -278,12 +345,12 @@ def _linked(groups: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
     """(row, root) of the rows of groups(band, row, size, centre, rows), all pairs that share a band being decided."""
     labels, most = scratch.save(groups.select("row").distinct().withColumn("root", F.col("row"))), ALL
     while True:
-        found = scratch.save(_verified(texts, _ordered(groups.where("row <> centre").select(F.col("centre").alias("a"), F.col("row").alias("b")))))
+        found = scratch.save(_verified(texts, _near(groups, texts)))
         if found.limit(1).count():
             labels = _relabelled(labels, found, scratch)
         left = _mixed(groups, labels, scratch)
         few = F.col("pairs") <= most * F.col("rows")
-        found = scratch.save(_verified(texts, _apart(left.where(few))))
+        found = scratch.save(_verified(texts, _apart(left.where(few), texts)))
         if found.limit(1).count():
             labels = _relabelled(labels, found, scratch)
         large = left.where(~few)

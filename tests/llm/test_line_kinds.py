@@ -2,6 +2,8 @@
 
 import hashlib
 
+import pyarrow as pa
+
 from parley.llm import line_dedup
 
 
@@ -93,3 +95,30 @@ def test_a_band_of_one_component_and_few_others_is_not_split(spark, monkeypatch)
     monkeypatch.setattr(line_dedup, "_split", lambda *args, split=line_dedup._split: splits.append(1) or split(*args))
     found = components(spark, lines)
     assert found == brute(lines) and len(set(found)) > 5 and not splits
+
+
+def test_few_pairs_of_a_hot_band_are_compared(spark, monkeypatch):
+    """120 lines that share their bands and do not link, and 12 near copies: nearly all pairs are told apart by bitmaps, before texts are joined to them."""
+    stem = letters("hot", 200)
+    lines = [stem + letters(("end", i), 48) for i in range(120)]
+    lines += [lines[i * 7][:-6] + letters(("copy", i), 6) for i in range(12)]
+    met = []
+    monkeypatch.setattr(line_dedup, "_verified", lambda texts, pairs, verified=line_dedup._verified: met.append(pairs.count()) or verified(texts, pairs))
+    assert components(spark, lines) == brute(lines)
+    assert sum(met) < 3 * len(lines)
+
+
+def test_bitmaps_keep_all_links(spark):
+    """Lines about the bound between narrow and wide bitmaps, and longer ones, with near copies at and beyond the similarity."""
+    lines = []
+    for k in range(6):
+        for n in (30, 380, 404, 430, 900):
+            own = letters(f"map {k} {n}", n)
+            lines += [own, own[: n - n // 10] + letters(("map", k, n), 3 * k), own[: n - 7 * k] if k else own + "x"]
+    sizes, maps = line_dedup.parities(pa.array(lines))
+    texts = spark.createDataFrame([(i, int(sizes[i]), *map(int, maps[i].view("int64"))) for i in range(len(lines))], ", ".join(f"{c} long" for c in ("row", "shingles", *line_dedup.MAP)))
+    pairs = {(r.a, r.b) for r in line_dedup._side(texts, "a").crossJoin(line_dedup._side(texts, "b")).where("a < b").where(line_dedup._may_link()).select("a", "b").collect()}
+    every = [(a, b) for b in range(len(lines)) for a in range(b)]
+    links = [p for p, found in zip(every, line_dedup.similar(*(pa.array([lines[p[i]] for p in every]) for i in (0, 1))), strict=True) if found]
+    assert len({(sizes[a] > line_dedup.NARROW, sizes[b] > line_dedup.NARROW) for a, b in links}) > 2
+    assert len(links) > 60 and pairs >= set(links) and len(pairs) < 2 * len(links)
