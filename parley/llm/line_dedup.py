@@ -217,13 +217,13 @@ def rests(a: pa.Array, b: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs(a, b) of nodes whose lines have the similarity. texts: row, line."""
+    """The pairs(a, b) of nodes whose lines have the similarity. texts: row, line. pairs is read more than once; only its own texts are shuffled."""
 
     def compare(batches):
         for b in batches:
             yield pa.RecordBatch.from_arrays(list(b.columns[:2]), names=["a", "b"]).filter(pa.array(similar(b.column(2), b.column(3))))
 
-    side = lambda c: texts.select(F.col("row").alias(c), F.col("line").alias(f"line_{c}"))
+    side = lambda c: texts.select(F.col("row").alias(c), F.col("line").alias(f"line_{c}")).join(_few(pairs.select(c).distinct(), BROADCAST_KEYS), c, "left_semi")
     met = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "line_a", "line_b")
     return met.mapInArrow(compare, "a long, b long")
 
@@ -345,12 +345,12 @@ def _linked(groups: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
     """(row, root) of the rows of groups(band, row, size, centre, rows), all pairs that share a band being decided."""
     labels, most = scratch.save(groups.select("row").distinct().withColumn("root", F.col("row"))), ALL
     while True:
-        found = scratch.save(_verified(texts, _near(groups, texts)))
+        found = scratch.save(_verified(texts, scratch.save(_near(groups, texts))))
         if found.limit(1).count():
             labels = _relabelled(labels, found, scratch)
         left = _mixed(groups, labels, scratch)
         few = F.col("pairs") <= most * F.col("rows")
-        found = scratch.save(_verified(texts, _apart(left.where(few), texts)))
+        found = scratch.save(_verified(texts, scratch.save(_apart(left.where(few), texts))))
         if found.limit(1).count():
             labels = _relabelled(labels, found, scratch)
         large = left.where(~few)
