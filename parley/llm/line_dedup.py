@@ -32,10 +32,11 @@ bitmaps differ is a shingle that only one of the lines has, and lines that link
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parley.llm.graph import components
@@ -47,29 +48,47 @@ LONG_BAND, SHORT_BAND, LEAST = 6, 4, 10
 #: Lines of at most SHORT shingles have short bands at all shingles, lines of more than SHORT * SIMILARITY long ones.
 SHORT = 25
 #: Bands with at most so many pairs of different components a node are compared by these pairs, others split; after each split so many times as many.
-#: A node that is split gives up to a shingle for each that it has beyond its centre, which takes the time of some tens of pairs.
-ALL, MORE = 64, 4
+#: A node that is split gives up to a shingle for each that it has beyond its centre, and meets the same nodes in the bands of many of
+#: these: a split takes the time of some thousands of pairs a node.
+ALL, MORE = 4_096, 4
+#: Rows of bands with more than MANY pairs of different components a node are compared with the NEXT ones in the order of their sizes first.
+MANY, NEXT = 64, 8
 #: Words of 64 bits of a parity bitmap: lines of at most NARROW shingles fill half of them.
 WORDS, NARROW = 16, 400
-#: Bits of a key that number the lines of a batch.
-LINE_BITS = 14
+#: Bits of a key that number the lines of a batch; bytes of lines whose shingles are hashed at a time, which fit a processor's cache.
+LINE_BITS, SLICE = 14, 150_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 #: Tables of at most so many rows of one to four numbers are broadcast (60 MB at most); larger ones are joined by shuffles.
 BROADCAST_ROWS = 1_000_000
 #: The same for tables of one number, and for bitmaps.
 BROADCAST_KEYS, BROADCAST_MAPS = 2_000_000, 350_000
+#: Bits by which bands are told from those of a single row, before these are shuffled: 64 in a word, so 2 ** 21 words are broadcast at most.
+BAND_BITS = 27
 
 
 def _few(df: DataFrame, most: int | None = None) -> DataFrame:
     return F.broadcast(df) if df.count() <= (BROADCAST_ROWS if most is None else most) else df
 
 
+def _bits(df: DataFrame, place) -> DataFrame:
+    """word, bits: which places there are, 64 in a word. The numbers of rows lie close, so a word stands for many of them."""
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), place.bitwiseAND(F.lit(63)).cast("int"))
+    return df.select(F.shiftright(place, 6).alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+
+
+def _among(df: DataFrame, bits: DataFrame, place, there: bool = True) -> DataFrame:
+    """The rows of df whose place is among those of bits, or is not."""
+    held = F.call_function("shiftrightunsigned", F.col("bits"), place.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
+    met = df.join(_few(bits, 1 << (BAND_BITS - 6)), F.shiftright(place, 6) == F.col("word"), "inner" if there else "left")
+    return met.where(held if there else F.coalesce(~held, F.lit(True))).select(*df.columns)
+
+
 def shingle_keys(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray]]:
     """(first line, end line, keys) of some lines at a time: sorted, each once, with the number of the line among
     these in the upper LINE_BITS bits and the hash of a shingle in the others. A line of fewer than SHINGLE
     characters is one shingle, an empty or null one has none."""
     data, offsets = raw(column)
-    for first, last in slices(offsets):
+    for first, last in slices(offsets, SLICE):
         while first < last:
             end = min(last, first + (1 << LINE_BITS) - 1)
             part = offsets[first : end + 1]
@@ -131,7 +150,7 @@ def _banded(batches):
             counts.append(count)
             sizes.append(size)
         cuts = np.concatenate(([0], np.cumsum(np.concatenate(counts)))).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(np.concatenate(sizes).astype(np.int64)), pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.concatenate(bands)))], names=[*b.schema.names[1:], "size", "bands"])
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate(sizes).astype(np.int64)), pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.concatenate(bands)))], names=[*b.schema.names, "size", "bands"])
 
 
 def similar(a: pa.Array, b: pa.Array) -> np.ndarray:
@@ -228,8 +247,14 @@ def _verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     return met.mapInArrow(compare, "a long, b long")
 
 
-def _cleaned(line: str):
-    return F.lower(F.btrim(line, F.lit(" \t\r\f\v")))
+#: What is trimmed from both ends of a line.
+BLANKS = " \t\r\f\v"
+
+
+def _trimmed(line: str):
+    """btrim looks at every character of a line: only lines that have something to trim are given to it."""
+    at_end = [end(F.col(line), F.lit(c)) for c in BLANKS for end in (F.startswith, F.endswith)]
+    return F.when(reduce(Column.__or__, at_end), F.btrim(line, F.lit(BLANKS))).otherwise(F.col(line))
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -246,34 +271,33 @@ def fuzzy_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     scratch = Scratch(docs.sparkSession)
     whole = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(F.col(text_col), "\n")).alias("line_no", "line"))
-    lines = whole.withColumn("line", _cleaned("line")).where("line <> ''")
+    lines = whole.withColumn("line", _trimmed("line")).where("line <> ''").withColumn("line", F.lower("line"))
     # the numbers of rows are read back from the table, never made again
     keyed = lines.select("line", F.monotonically_increasing_id().alias("row"), "doc_id", "line_no", F.xxhash64("line").alias("one"), F.xxhash64("line", F.lit(1)).alias("two"))
     kind = keyed.schema["doc_id"].dataType.simpleString()
-    keyed = scratch.save(keyed.mapInArrow(_banded, f"row long, doc_id {kind}, line_no int, one long, two long, size long, bands array<long>"))
+    keyed = scratch.save(keyed.mapInArrow(_banded, f"line string, row long, doc_id {kind}, line_no int, one long, two long, size long, bands array<long>"))
     again = keyed.groupBy("one", "two").agg(F.min("row").alias("node"), F.count("*").alias("rows")).where("rows > 1").drop("rows")
-    again = keyed.select("row", "one", "two").join(_few(scratch.save(again)), ["one", "two"]).select("row", "node")
+    again = keyed.select("row", "doc_id", "line_no", "one", "two").join(_few(scratch.save(again)), ["one", "two"]).select("row", "node", "doc_id", "line_no")
     again = scratch.save(again)
 
     # equal lines are described by one of them
-    repeats = _few(again.where("row <> node").select("row"))
-    tokens = keyed.select("row", "size", "bands").join(repeats, "row", "left_anti").select("row", "size", F.explode("bands").alias("band"))
-    groups = _grouped(tokens, scratch)
-    wanted = scratch.save(groups.select("row").distinct())
-    places = _few(keyed.select("row", F.col("doc_id").alias("at_doc"), F.col("line_no").alias("at_line"), "one").join(_few(wanted), "row", "left_semi"))
-    there = whole["doc_id"].eqNullSafe(places["at_doc"]) & (whole["line_no"] == places["at_line"])
-    texts = whole.join(places, there).withColumn("line", _cleaned("line")).where(F.xxhash64("line") == F.col("one")).select("row", "line").dropDuplicates(["row"])
-    texts = scratch.save(texts.mapInArrow(_mapped, f"row long, line string, shingles long, {', '.join(f'{w} long' for w in MAP)}"))
+    row = F.col("row")
+    repeats = scratch.save(_bits(again.where("row <> node"), row))
+    groups = _grouped(_among(keyed.select("row", "size", "bands"), repeats, row, there=False).select("row", "size", F.explode("bands").alias("band")), scratch)
+    wanted = scratch.save(_bits(groups, row))
+    texts = scratch.save(_among(keyed.select("row", "line"), wanted, row).mapInArrow(_mapped, f"row long, line string, shingles long, {', '.join(f'{w} long' for w in MAP)}"))
 
     roots = _linked(groups, texts, scratch).withColumnsRenamed({"row": "of", "root": "top"})
     scratch.drop(texts, groups)
 
     # lines with equal or similar ones are named by the first of all; each other line is its own
     place = F.struct("doc_id", "line_no")
-    member = keyed.select("row", "doc_id", "line_no").join(again, "row", "left").withColumn("of", F.coalesce("node", "row"))
-    member = member.join(roots, "of", "left").withColumn("top", F.coalesce("top", "node")).select("doc_id", "line_no", "top")
-    firsts = _few(scratch.save(member.where("top is not null").groupBy("top").agg(F.min(place).alias("first"))))
-    found = member.join(firsts, "top", "left").withColumn("first", F.coalesce("first", place))
+    alone = _among(_among(keyed.select("row", "doc_id", "line_no"), wanted, row), scratch.save(_bits(again, row)), row, there=False)
+    member = again.union(alone.select("row", row.alias("node"), "doc_id", "line_no")).join(_few(roots), F.col("node") == F.col("of"), "left")
+    member = scratch.save(member.select("row", "doc_id", "line_no", F.coalesce("top", "node").alias("top")))
+    firsts = scratch.save(member.groupBy("top").agg(F.min(place).alias("first"), F.count("*").alias("rows")).where("rows > 1").drop("rows"))
+    named = scratch.save(member.join(_few(firsts), "top").select("row", "first"))
+    found = keyed.select("row", "doc_id", "line_no").join(_few(named), "row", "left").withColumn("first", F.coalesce("first", place))
     return found.select("doc_id", "line_no", F.col("first.doc_id").alias("component_doc"), F.col("first.line_no").alias("component_line"), place.eqNullSafe(F.col("first")).alias("kept"))
 
 
@@ -281,9 +305,10 @@ def _grouped(tokens: DataFrame, scratch: Scratch) -> DataFrame:
     """tokens(row, size, band) of bands with several rows, with the centre and the number of the band's rows. Of bands with the same
     rows one is enough."""
     mark = lambda k: F.bit_xor(F.xxhash64("row", F.lit(k)))
-    # most bands have one row: they go before anything else is shuffled
-    shared = scratch.save(tokens.groupBy("band").agg(F.count("*").alias("rows")).where("rows > 1").select("band"))
-    tokens = scratch.save(tokens.join(_few(shared, BROADCAST_KEYS), "band", "left_semi"))
+    # most bands have one row: nearly all of these go before anything else is shuffled
+    place = F.call_function("shiftrightunsigned", F.col("band"), F.lit(64 - BAND_BITS))
+    shared = scratch.save(_bits(tokens.groupBy("band").agg(F.count("*").alias("rows")).where("rows > 1"), place))
+    tokens = scratch.save(_among(tokens, shared, place))
     met = tokens.groupBy("band").agg(F.min_by("row", "size").alias("centre"), F.count("*").alias("rows"), mark(1).alias("x"), mark(2).alias("y")).where("rows > 1")
     met = met.groupBy("rows", "x", "y").agg(F.min(F.struct("band", "centre")).alias("b")).select("b.band", "b.centre", "rows")
     groups = scratch.save(tokens.join(_few(scratch.save(met)), "band"))
@@ -292,10 +317,10 @@ def _grouped(tokens: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def _mixed(groups: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
-    """The rows of groups with their roots, of bands that hold several components, and the number of the band's pairs of different components."""
+    """The rows of groups with their roots, of bands that hold several components, with the root that most of the band's rows have and the number of its pairs of different components."""
     labelled = groups.join(labels, "row")
-    of = labelled.groupBy("band", "root").agg(F.count("*").alias("k")).groupBy("band").agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.col("k")).alias("q"))
-    mixed = of.where("n * n > q").select("band", ((F.col("n") * F.col("n") - F.col("q")) / 2).cast("bigint").alias("pairs"))
+    of = labelled.groupBy("band", "root").agg(F.count("*").alias("k")).groupBy("band").agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.col("k")).alias("q"), F.max_by("root", F.struct("k", "root")).alias("main"))
+    mixed = of.where("n * n > q").select("band", "main", ((F.col("n") * F.col("n") - F.col("q")) / 2).cast("bigint").alias("pairs"))
     return scratch.save(labelled.join(_few(scratch.save(mixed)), "band"))
 
 
@@ -303,20 +328,34 @@ def _apart(left: DataFrame, texts: DataFrame) -> DataFrame:
     """(a, b): the pairs of different components that share a band of left, without those whose sizes or bitmaps alone keep them from the similarity."""
     maps = _few(_side(texts, "row").withColumnRenamed("row", "of"), BROADCAST_MAPS)
     left = left.join(maps, F.col("row") == F.col("of"))
-    x, y = (left.select("band", F.col("row").alias(c), F.col("root").alias(f"root_{c}"), F.col("shingles_row").alias(f"shingles_{c}"), *(F.col(f"{w}_row").alias(f"{w}_{c}") for w in MAP)) for c in "ab")
-    near = "a < b and root_a <> root_b and 5 * least(shingles_a, shingles_b) >= 4 * greatest(shingles_a, shingles_b)"
-    return x.join(y, "band").where(near).where(_may_link()).select("a", "b").distinct()
+    x, y = (left.select("band", "main", F.col("row").alias(c), F.col("root").alias(f"root_{c}"), F.col("shingles_row").alias(f"shingles_{c}"), *(F.col(f"{w}_row").alias(f"{w}_{c}") for w in MAP)) for c in "ab")
+    # rows of the root that most have are only met, never compared with each other: what the join looks at grows with the pairs
+    near = "root_a <> root_b and (root_b = main or a < b) and 5 * least(shingles_a, shingles_b) >= 4 * greatest(shingles_a, shingles_b)"
+    return _ordered(x.where("root_a <> main").drop("main").join(y, "band").where(near).where(_may_link()))
 
 
-def _near(groups: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b): the pairs of a row and the centre of one of its bands, without those whose bitmaps alone keep them from the similarity."""
-    pairs = _ordered(groups.where("row <> centre").select(F.col("centre").alias("a"), F.col("row").alias("b")))
+def _told(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs(a, b), without those whose bitmaps alone keep them from the similarity."""
     few = texts.count() <= BROADCAST_MAPS
     for c in "ab":
         pairs = pairs.join(F.broadcast(_side(texts, c)) if few else _side(texts, c), c)
     return pairs.where(_may_link()).select("a", "b")
 
 
+def _near(groups: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b): the pairs of a row and the centre of one of its bands."""
+    return _told(_ordered(groups.where("row <> centre").select(F.col("centre").alias("a"), F.col("row").alias("b"))), texts)
+
+
+def _beside(many: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b): the pairs of different components of a row of many and the NEXT ones of its band in the order of their sizes. Near copies of one
+    line have few components left then, however many they are."""
+    order = Window.partitionBy("band").orderBy("size", "row")
+    ahead = F.array(*(F.lead(F.struct("row", "root"), k).over(order) for k in range(1, NEXT + 1)))
+    pairs = many.select("row", "root", ahead.alias("ahead")).select(F.col("row").alias("a"), "root", F.explode("ahead").alias("other"))
+    return _told(_ordered(pairs.where("root <> other.root").select("a", F.col("other.row").alias("b"))), texts)
+
+
 def _relabelled(labels: DataFrame, found: DataFrame, scratch: Scratch) -> DataFrame:
     """labels(row, root) after the links found(a, b): components of the old roots, which are few."""
     of = lambda c: labels.select(F.col("row").alias(c), F.col("root").alias(f"root_{c}"))
@@ -344,22 +383,29 @@ def _split(large: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
 def _linked(groups: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
     """(row, root) of the rows of groups(band, row, size, centre, rows), all pairs that share a band being decided."""
     labels, most = scratch.save(groups.select("row").distinct().withColumn("root", F.col("row"))), ALL
-    while True:
-        found = scratch.save(_verified(texts, scratch.save(_near(groups, texts))))
-        if found.limit(1).count():
+
+    def linked(pairs: DataFrame) -> bool:
+        nonlocal labels
+        found = scratch.save(_verified(texts, scratch.save(pairs)))
+        if any_found := bool(found.limit(1).count()):
             labels = _relabelled(labels, found, scratch)
+        return any_found
+
+    while True:
+        linked(_near(groups, texts))
         left = _mixed(groups, labels, scratch)
+        many = left.where(F.col("pairs") > MANY * F.col("rows"))
+        if many.limit(1).count() and linked(_beside(many, texts)):
+            left = _mixed(left.drop("root", "main", "pairs"), labels, scratch)
         few = F.col("pairs") <= most * F.col("rows")
-        found = scratch.save(_verified(texts, scratch.save(_apart(left.where(few), texts))))
-        if found.limit(1).count():
-            labels = _relabelled(labels, found, scratch)
+        linked(_apart(left.where(few), texts))
         large = left.where(~few)
         if not large.limit(1).count():
             return labels
         split = _split(large, texts, scratch)
         scratch.drop(groups, left)
         groups = _grouped(split, scratch)
-        groups = _mixed(groups, labels, scratch).drop("root", "pairs")
+        groups = _mixed(groups, labels, scratch).drop("root", "main", "pairs")
         scratch.drop(split)
         most *= MORE
 

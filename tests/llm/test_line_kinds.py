@@ -108,6 +108,39 @@ def test_few_pairs_of_a_hot_band_are_compared(spark, monkeypatch):
     assert sum(met) < 3 * len(lines)
 
 
+def test_bands_of_some_hundred_lines_are_not_split(spark, monkeypatch):
+    """300 lines that share their bands, with more than MANY pairs of different components a line: pairs decide them, and few pairs need their texts."""
+    lines, splits, met = [letters("hot", 200) + letters(("end", i), 48) for i in range(300)], [], []
+    lines += [lines[i * 7][:-6] + letters(("copy", i), 6) for i in range(30)]
+    monkeypatch.setattr(line_dedup, "_split", lambda *args, split=line_dedup._split: splits.append(1) or split(*args))
+    monkeypatch.setattr(line_dedup, "_verified", lambda texts, pairs, verified=line_dedup._verified: met.append(pairs.count()) or verified(texts, pairs))
+    assert components(spark, lines) == brute(lines)
+    assert len(lines) > 2 * line_dedup.MANY and not splits and sum(met) < 4 * len(lines)
+
+
+def test_pairs_of_one_component_are_not_compared(spark):
+    """Of a band's rows only those beyond its largest component meet all others, and no pair of different components is left out."""
+    rows = [(1, 10 + i, 5, 1 if i < 6 else i // 2) for i in range(11)] + [(2, 40 + i, 5, 40 + i % 3) for i in range(6)]
+    groups = spark.createDataFrame([r[:3] for r in rows], "band long, row long, size long").selectExpr("*", "row as centre", "1L as rows")
+    labels = spark.createDataFrame([(r[1], r[3]) for r in rows], "row long, root long")
+    texts = spark.createDataFrame([(r[1], 5, *[0] * line_dedup.WORDS) for r in rows], ", ".join(f"{c} long" for c in ("row", "shingles", *line_dedup.MAP)))
+    left = line_dedup._mixed(groups, labels, line_dedup.Scratch(spark))
+    want = {(a[1], b[1]) for a in rows for b in rows if a[1] < b[1] and a[0] == b[0] and a[3] != b[3]}
+    assert {r.band: r.main for r in left.collect()}[1] == 1 and left.agg({"pairs": "max"}).first()[0] == sum(a < 30 for a, _ in want)
+    assert sorted((r.a, r.b) for r in line_dedup._apart(left, texts).collect()) == sorted(want)
+
+
+def test_places_in_bits(spark):
+    """Rows and bands by the places of a bitmap: of rows exactly those that are there, of bands at least these."""
+    numbers = [k * 7919 + (k % 5 << 33) for k in range(4_000)]
+    given, held = spark.createDataFrame([(n,) for n in numbers], "row long"), set(numbers[::3])
+    bits = line_dedup._bits(given.where(line_dedup.F.col("row").isin(list(held))), line_dedup.F.col("row"))
+    for there in (True, False):
+        assert {r.row for r in line_dedup._among(given, bits, line_dedup.F.col("row"), there).collect()} == {n for n in numbers if (n in held) == there}
+    tokens = spark.range(20_000).selectExpr("id as row", "5L as size", "xxhash64(if(id % 40 < 2, id div 40, id), id % 40 < 2) as band")
+    assert line_dedup._grouped(tokens, line_dedup.Scratch(spark)).count() == 1_000
+
+
 def test_bitmaps_keep_all_links(spark):
     """Lines about the bound between narrow and wide bitmaps, and longer ones, with near copies at and beyond the similarity."""
     lines = []
