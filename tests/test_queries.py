@@ -90,3 +90,18 @@ def test_pairs_of_many_blocks_are_whole_and_small(spark, tmp_path):
         assert (a < b).all() and len(set((a * len(points) + b).tolist())) == len(got) == len(points) * (len(points) - 1) // 2
         assert np.abs(got["cosine"].to_numpy() - want[a, b]).max() < 1e-5
         assert sum(os.path.getsize(f) for f in glob.glob(f"{tmp_path}/{block}/*.parquet")) < 5 * len(got)
+
+
+def test_pairs_take_little_more_than_their_cosines(spark, tmp_path):
+    """Files of all pairs of one label, over several blocks: less than three bytes a pair, of which a cosine takes two."""
+    from pyspark.sql import functions as F
+
+    from parley.operators import vectors as V
+
+    rng = np.random.default_rng(6)
+    points = rng.standard_normal((3_100, 64)).astype(np.float32)
+    df = spark.createDataFrame([(3 * i, p.tolist(), 1) for i, p in enumerate(points)], "vec_id long, embedding array<float>, label int")
+    V.pairs(df, "vec_id", "label", "embedding").select("a", "b", F.round("cosine", 5).alias("cosine")).coalesce(1).write.parquet(str(tmp_path / "pairs"))
+    n = len(points) * (len(points) - 1) // 2
+    assert spark.read.parquet(str(tmp_path / "pairs")).where("a < b").distinct().count() == n
+    assert sum(os.path.getsize(f) for f in glob.glob(f"{tmp_path}/pairs/*.parquet")) < 3 * n
